@@ -32,7 +32,7 @@ def is_test(keys: Sequence[str], percent: int = 20) -> Column:
 
 def fold_of(keys: Sequence[str], folds: int) -> Column:
     """Fold 0 … folds-1; independent of ``is_test``, which uses the remainder that is divided away here."""
-    return F.pmod(F.floor(key_mix(keys) / 100), F.lit(folds)).cast("int")
+    return F.pmod(F.call_function("div", key_mix(keys), F.lit(100)), F.lit(folds)).cast("int")
 
 
 def split_group(keys: Sequence[str], folds: int, percent: int = 20) -> Column:

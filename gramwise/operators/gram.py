@@ -217,19 +217,16 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
     p = len(numeric)
     cells = rows.groupBy("__group", *categorical).agg(*_cell_aggregates(numeric)).persist()
     try:
-        centre = cells.agg(
+        keys = ["__group", *categorical]
+        head = cells.agg(
             F.sum("__n").alias("n"),
             *[(F.sum(F.col("__n") * F.col(f"__m{i}")) / F.sum("__n")).alias(f"s{i}") for i in range(p)],
+            *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(keys)],
         ).first()
-        if not centre["n"]:
+        if not head["n"]:
             raise ValueError("no complete rows")
-        shift = [centre[f"s{i}"] for i in range(p)]
-
-        stacked = ", ".join(f"{i}, `{c}`" for i, c in enumerate(categorical))
-        levels = cells.selectExpr("__group", f"stack({len(categorical)}, {stacked}) as (variable, level)").distinct()
-        size = levels.groupBy("variable").agg(F.count_distinct("level").alias("k")).agg(F.sum("k")).first()[0]
-        n_groups = cells.select("__group").distinct().count()
-        _check_size(n_groups, size + p)
+        shift = [head[f"s{i}"] for i in range(p)]
+        _check_size(head["k0"], p + sum(head[f"k{i}"] for i in range(1, len(keys))))
 
         n = F.col("__n")
         d = [F.col(f"__m{i}") - F.lit(shift[i]) for i in range(p)]

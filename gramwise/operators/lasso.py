@@ -18,45 +18,94 @@ from gramwise.operators.ols import LinearModel
 from gramwise.operators.report import small_frame
 
 
-def _coordinate_descent(
-    q: np.ndarray, c: np.ndarray, alpha: float, w: np.ndarray, tolerance: float, max_iter: int
-) -> np.ndarray:
-    """Minimise ``w'Qw/2 - c'w + alpha |w|_1`` for a stack of problems at once (first axis)."""
-    diagonal = np.einsum("fjj->fj", q)
-    live = diagonal > 0
-    safe = np.where(live, diagonal, 1.0)
-    gradient = np.einsum("fij,fj->fi", q, w)
-    size = np.sqrt(np.maximum(diagonal, 0.0))
-    limit = tolerance * max(float(np.max(np.abs(c) / np.where(live, size, np.inf), initial=0.0)), 1e-300)
+def _coordinate_descent(q: np.ndarray, c: np.ndarray, alpha: float, w: np.ndarray, max_iter: int) -> np.ndarray:
+    """Minimise ``w'Qw/2 - c'w + alpha |w|_1`` one coefficient at a time."""
+    diagonal = np.diag(q)
+    live = np.flatnonzero(diagonal > 0)
+    w = np.where(diagonal > 0, w, 0.0)
+    gradient = c - q @ w
     for _ in range(max_iter):
         largest = 0.0
-        for j in range(q.shape[1]):
-            old = w[:, j]
-            z = c[:, j] - gradient[:, j] + safe[:, j] * old
-            new = np.where(live[:, j], np.sign(z) * np.maximum(np.abs(z) - alpha, 0.0) / safe[:, j], 0.0)
-            step = new - old
-            if step.any():
-                gradient += q[:, :, j] * step[:, None]
-                w[:, j] = new
-                largest = max(largest, float(np.max(np.abs(step) * size[:, j])))
-        if largest <= limit:
+        for j in live:
+            z = gradient[j] + diagonal[j] * w[j]
+            new = np.sign(z) * max(abs(z) - alpha, 0.0) / diagonal[j]
+            step = new - w[j]
+            if step:
+                gradient -= q[:, j] * step
+                w[j] = new
+                largest = max(largest, abs(step) * diagonal[j])
+        if largest <= 1e-12 * max(alpha, 1e-300):
             break
     return w
 
 
-def _polish(q: np.ndarray, c: np.ndarray, alpha: float, w: np.ndarray) -> np.ndarray:
-    """Solve exactly for the selected coefficients when that keeps their signs."""
-    active = np.flatnonzero(w)
-    if not len(active):
-        return w
-    sub = q[np.ix_(active, active)]
-    if np.linalg.cond(sub) > 1e12:
-        return w
-    exact = np.linalg.solve(sub, c[active] - alpha * np.sign(w[active]))
-    if (np.sign(exact) != np.sign(w[active])).any():
-        return w
-    out = np.zeros_like(w)
-    out[active] = exact
+def _violation(q: np.ndarray, c: np.ndarray, alpha: float, w: np.ndarray) -> float:
+    """How far ``w`` is from meeting the optimality conditions, relative to the penalty."""
+    gradient = c - q @ w
+    gap = np.where(w != 0, np.abs(gradient - alpha * np.sign(w)), np.maximum(np.abs(gradient) - alpha, 0.0))
+    return float(gap.max(initial=0.0)) / max(alpha, 1e-300)
+
+
+def lasso_path(q: np.ndarray, c: np.ndarray, alphas: Sequence[float], max_iter: int = 100_000) -> np.ndarray:
+    """Solutions for descending penalties.
+
+    Between two penalties at which a variable enters or leaves, the solution is linear in the penalty, so the
+    path is followed from one such point to the next and read off at the wanted penalties.  Each solution is
+    checked; where dependent variables make the walk inexact, coordinate descent finishes the work.
+    """
+    p = len(c)
+    out = np.zeros((len(alphas), p))
+    filled = 0
+    position = float(np.max(np.abs(c), initial=0.0))
+    while filled < len(alphas) and alphas[filled] >= position:
+        filled += 1
+    active: list[int] = []
+    sign = np.zeros(p)
+    usable = np.diag(q) > 0
+    blocked: set[int] = set()
+    first = int(np.argmax(np.abs(c))) if p else 0
+    if position > 0:
+        active, sign[first] = [first], np.sign(c[first])
+    events = 0
+    while filled < len(alphas) and active and events < 20 * (p + 1):
+        events += 1
+        a = np.array(active)
+        both = np.linalg.solve(q[np.ix_(a, a)], np.column_stack([c[a], sign[a]]))
+        u, v = both[:, 0], both[:, 1]
+        below = position * (1.0 - 1e-12)
+        base, slope = c - q[:, a] @ u, q[:, a] @ v
+        rest = np.array([j for j in range(p) if usable[j] and j not in blocked and j not in active], dtype=int)
+        nearest, entering, leaving = 0.0, None, None
+        for side in (1.0, -1.0):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                candidate = side * base[rest] / (1.0 - side * slope[rest])
+            candidate = np.where((candidate > 0) & (candidate < below), candidate, 0.0)
+            if len(rest) and candidate.max() > nearest:
+                nearest, entering = float(candidate.max()), (int(rest[candidate.argmax()]), side)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            candidate = np.where(v != 0, u / v, 0.0)
+        candidate = np.where((candidate > 0) & (candidate < below), candidate, 0.0)
+        if candidate.max() > nearest:
+            nearest, leaving = float(candidate.max()), int(a[candidate.argmax()])
+        while filled < len(alphas) and alphas[filled] >= nearest:
+            out[filled, a] = u - alphas[filled] * v
+            filled += 1
+        position = nearest
+        if leaving is not None:
+            active.remove(leaving)
+            sign[leaving] = 0.0
+            blocked.clear()
+        elif entering is not None:
+            j, side = entering
+            if q[j, j] - q[j, a] @ np.linalg.solve(q[np.ix_(a, a)], q[a, j]) > 1e-10 * q[j, j]:
+                active.append(j)
+                sign[j] = side
+            else:
+                blocked.add(j)
+    for i, alpha in enumerate(alphas):
+        if i >= filled or _violation(q, c, alpha, out[i]) > 1e-8:
+            start = out[i] if i < filled else out[max(i - 1, 0)]
+            out[i] = _coordinate_descent(q, c, alpha, start.copy(), max_iter)
     return out
 
 
@@ -72,15 +121,13 @@ def lasso(
     terms: Sequence[Term],
     alpha: float,
     scale: np.ndarray | None = None,
-    tolerance: float = 1e-10,
     max_iter: int = 100_000,
 ) -> LinearModel:
     """Lasso at one penalty.  With ``scale``, the penalty applies to coefficients of x / scale, and the model
     returned is in the units of x."""
     scale = np.ones(len(terms)) if scale is None else scale
     q, c, mean = _system(moments, label, terms, scale)
-    w = _coordinate_descent(q[None], c[None], alpha, np.zeros((1, len(terms))), tolerance, max_iter)[0]
-    w = _polish(q, c, alpha, w) / scale
+    w = lasso_path(q, c, [alpha], max_iter)[0] / scale
     return LinearModel(float(mean[-1] - w @ mean[:-1]), tuple(terms), w)
 
 
@@ -115,7 +162,6 @@ def lasso_cv(
     n_alphas: int = 100,
     eps: float = 1e-3,
     standardize: bool = False,
-    tolerance: float = 1e-7,
     max_iter: int = 100_000,
 ) -> LassoCv:
     """Choose the penalty by k-fold cross-validation and refit on all folds.
@@ -139,20 +185,15 @@ def lasso_cv(
         raise ValueError("no variable is related to the label")
     alphas = top * np.logspace(0.0, np.log10(eps), n_alphas)
 
-    parts = [grams.moments([f for f in folds if f != held]) for held in folds]
-    held_out = [grams.moments([held]) for held in folds]
-    systems = [_system(m, label, terms, scale) for m in parts]
-    q, c = np.stack([s[0] for s in systems]), np.stack([s[1] for s in systems])
-    w = np.zeros((len(folds), k))
     mse = np.empty((n_alphas, len(folds)))
-    for i, alpha in enumerate(alphas):
-        w = _coordinate_descent(q, c, alpha, w, tolerance, max_iter)
-        for f, (fit, test) in enumerate(zip(systems, held_out, strict=True)):
-            b = w[f] / scale
-            mean, cross = test.at([*terms, y])
-            bias = (mean[k] - fit[2][k]) - b @ (mean[:k] - fit[2][:k])
-            spread = cross[k, k] - 2.0 * b @ cross[:k, k] + b @ cross[:k, :k] @ b
-            mse[i, f] = spread / test.n + bias * bias
+    for f, held in enumerate(folds):
+        fit, test = grams.moments([g for g in folds if g != held]), grams.moments([held])
+        q, c, fit_mean = _system(fit, label, terms, scale)
+        b = lasso_path(q, c, alphas, max_iter) / scale
+        mean, cross = test.at([*terms, y])
+        bias = (mean[k] - fit_mean[k]) - b @ (mean[:k] - fit_mean[:k])
+        spread = cross[k, k] - 2.0 * b @ cross[:k, k] + np.einsum("ai,ij,aj->a", b, cross[:k, :k], b)
+        mse[:, f] = spread / test.n + bias * bias
     best = int(np.argmin(mse.mean(axis=1)))
-    model = lasso(train, label, terms, float(alphas[best]), scale, max_iter=max_iter)
+    model = lasso(train, label, terms, float(alphas[best]), scale, max_iter)
     return LassoCv(model, float(alphas[best]), alphas, mse, scale)
