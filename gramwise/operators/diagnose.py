@@ -60,7 +60,7 @@ def im_test(df: DataFrame, fit: OlsFit, moments: Moments) -> DataFrame:
 
     Three auxiliary regressions from one cross-product matrix: the squared residual on the regressors, their
     squares and products; the third-order residual term on the regressors; the fourth-order term on a
-    constant.  Regressors are standardised first, which leaves the statistics unchanged and the products well
+    constant.  Each statistic is n times the R-squared about zero.  Regressors are standardised first, which leaves the statistics unchanged and the products well
     scaled.  Products that repeat another column do not count as degrees of freedom.
     """
     terms = list(fit.model.terms)
@@ -90,13 +90,12 @@ def im_test(df: DataFrame, fit: OlsFit, moments: Moments) -> DataFrame:
     linear = [Term(c) for c in single]
     hetero = fit_moments(grams, "second", [*linear, *map(Term, double)])
     skew = fit_moments(grams, "third", linear)
-    fourth_mean, fourth_scatter = grams.at([Term("fourth")])
-    squared = fourth_mean[0] ** 2
-    kurtosis = grams.n * squared / (squared + fourth_scatter[0, 0] / grams.n)
+    mean, squares = grams.at([Term("third"), Term("fourth")])
+    about_zero = np.diag(squares) + grams.n * mean**2
     parts = [
         ("heteroskedasticity", grams.n * hetero.r2, hetero.rank),
-        ("skewness", grams.n * skew.r2, skew.rank),
-        ("kurtosis", float(kurtosis), 1),
+        ("skewness", grams.n * (1.0 - skew.rss / about_zero[0]), skew.rank),
+        ("kurtosis", grams.n * grams.n * mean[1] ** 2 / about_zero[1], 1),
     ]
     parts.append(("total", sum(p[1] for p in parts), sum(p[2] for p in parts)))
     rows = [(name, x, k, dist.chi2_upper(x, k)) for name, x, k in parts]

@@ -56,7 +56,7 @@ def forest_cv(
     depth: int = 30,
     bins: int = 32,
     seed: int = 42,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> ForestCv:
     """Grid search over the number of trees and the features tried per split, by the folds in column ``fold``;
     the setting with the least mean squared error is refitted on all rows.
@@ -68,8 +68,7 @@ def forest_cv(
         *order, F.col(fold).cast("int").alias("__fold"), F.col(label).cast("double").alias("__label"),
         *[F.col(c).cast("double").alias(c) for c in features if c not in order],
     )
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _assembled(rows.repartition(parts, *order).sortWithinPartitions(*order, "__label"), features)
+    placed = _assembled(rows.repartition(*order).sortWithinPartitions(*order, "__label"), features)
     placed = placed.select("__fold", "__label", "__features").persist()
     try:
         forest = RandomForestRegressor(

@@ -13,7 +13,7 @@ from gramwise.operators.gram import Term, gram_table
 from gramwise.operators.lasso import lasso, lasso_cv
 from gramwise.operators.ols import fit_moments, mean_vif, ols, vif, with_residuals
 from gramwise.operators.prepare import by_magnitude, missing_report, top_k
-from gramwise.operators.report import small_frame, statistics_frame
+from gramwise.operators.report import statistics_frame
 from gramwise.plans import cross_section as cs
 from gramwise.plans import panel as pl
 from gramwise.plans.discount import DiscountStudy
@@ -26,7 +26,9 @@ FOLDS = 15
 PANEL_YEARS = (1995, 2001)
 PANEL_FOLDS = 5
 ONE_YEAR = 1999
-ELASTICITY, MARGIN_AT_ZERO, MARGIN_SLOPE = -0.35, 0.45, -1.0  # given constants of the sweep without a fit
+# Given constants of the sweep without a fit; many digits, so that no product ends in an exact half.
+ELASTICITY, MARGIN_AT_ZERO, MARGIN_SLOPE = -0.3517836419057, 0.4512907316842, -0.9932175084361
+LASSO_ALPHA = 2e-5
 
 QUERIES: dict[str, Query] = {}
 
@@ -70,7 +72,7 @@ def quarter_margin(spark: SparkSession, sf: str) -> DataFrame:
         F.avg(ratio(F.col("profit"), F.col("sales"))).alias("mean_margin"),
         ratio(F.sum("profit"), F.sum("sales")).alias("margin"),
     )
-    return rounded(by_quarter, total_sales=0, total_profit=0)
+    return rounded(by_quarter, total_sales=2, total_profit=0)
 
 
 @register
@@ -87,7 +89,7 @@ def rounded_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def baseline_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(summary.baseline_totals(sales(spark, sf, "profit", "sales")), total_profit=0, total_sales=0)
+    return rounded(summary.baseline_totals(sales(spark, sf, "profit", "sales")), total_profit=0, total_sales=2)
 
 
 @register
@@ -106,7 +108,7 @@ def category_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rounded_sweep(df: DataFrame) -> DataFrame:
-    return rounded(df, **{"total_profit": 0, "total_sales": 0, "profit_change_$": 0})
+    return rounded(df, **{"total_profit": 0, "total_sales": 2, "profit_change_$": 0})
 
 
 @register
@@ -132,7 +134,7 @@ def best_cap(spark: SparkSession, sf: str) -> DataFrame:
 def profit_curve(spark: SparkSession, sf: str) -> DataFrame:
     lines = sales(spark, sf, "sales", "discount", "profit")
     sweep = scenario.cap_sweep(lines, scenario.cap_grid(), _given_margin(), ELASTICITY)
-    return rounded(scenario.profit_curve(sweep), total_profit=0, total_sales=0)
+    return rounded(scenario.profit_curve(sweep), total_profit=0, total_sales=2)
 
 
 @register
@@ -220,8 +222,9 @@ def lasso_margin(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validated Lasso of the margin: the chosen penalty, the variables left and the test metrics."""
     study = _study(spark, sf)
     cv = study.lasso()
-    kept = small_frame(spark, "alpha double, n_selected bigint", [(cv.alpha, (cv.model.coef != 0).sum())])
-    return kept.join(study.metrics(_lines(spark, sf), cv.model))
+    metrics = study.metrics(_lines(spark, sf), cv.model)
+    chosen = {"alpha": F.lit(cv.alpha), "n_selected": F.lit(int((cv.model.coef != 0).sum())).cast("bigint")}
+    return metrics.withColumns(chosen)
 
 
 @register
@@ -247,6 +250,14 @@ def lasso_one_feature(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(model.table(spark), default=8)
 
 
+@register
+def lasso_all_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Discount and all dummies at one penalty, on the training rows."""
+    study = _study(spark, sf)
+    model = lasso(study.grams.moments(study.folds), "margin", study.terms, LASSO_ALPHA)
+    return rounded(model.table(spark), default=8)
+
+
 @register
 def lasso_three_features(spark: SparkSession, sf: str) -> DataFrame:
     """Standardised regressors, one of which the penalty removes."""
@@ -292,7 +303,7 @@ def _panel(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def panel_macro(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(pl.prepare_macro(macro_table(spark, sf), 1996, 2000), gdp_usd=0)
+    return rounded(pl.prepare_macro(macro_table(spark, sf), 1996, 2000), gdp_usd=2)
 
 
 @register
@@ -302,7 +313,7 @@ def panel_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def panel_join(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_panel(spark, sf), gdp_usd=0)
+    return rounded(_panel(spark, sf), gdp_usd=2)
 
 
 @register
@@ -311,7 +322,7 @@ def panel_csv(spark: SparkSession, sf: str) -> DataFrame:
     panel = _panel(spark, sf)
     folder = f"{text.shared_folder(spark)}/panel_csv"
     text.write_csv(panel, folder)
-    return rounded(text.read_csv(spark, folder, dict(panel.dtypes)), gdp_usd=0)
+    return rounded(text.read_csv(spark, folder, dict(panel.dtypes)), gdp_usd=2)
 
 
 def _panel_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,7 +334,7 @@ def _panel_with_gaps(spark: SparkSession, sf: str) -> DataFrame:
 def panel_complete_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Model columns and label of the rows without a gap."""
     panel = _panel_with_gaps(spark, sf)
-    return rounded(pl.model_rows(panel).select("score", *pl.model_columns(panel)), gdp_usd=0)
+    return rounded(pl.model_rows(panel).select("score", *pl.model_columns(panel)), gdp_usd=2)
 
 
 @register
@@ -404,7 +415,9 @@ def summarize(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def derived_variables(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_section(spark, sf).select("unit", cs.LABEL, "gdppc_thousands", "interraction_gdppc_trade"))
+    """Shown in single precision: means of prices often end in an exact half decimal, never in a half bit."""
+    names = [cs.LABEL, "gdppc_thousands", "interraction_gdppc_trade"]
+    return _section(spark, sf).select("unit", *[F.col(c).cast("float").cast("double").alias(c) for c in names])
 
 
 def _coefficients(spark: SparkSession, model: cs.CrossSectionModel) -> DataFrame:

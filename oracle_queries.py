@@ -8,7 +8,7 @@ query.
 from __future__ import annotations
 
 from gramwise.plans.catalog import (
-    ELASTICITY, FOLDS, MARGIN_AT_ZERO, MARGIN_SLOPE, ONE_YEAR, PANEL_YEARS,
+    ELASTICITY, FOLDS, LASSO_ALPHA, MARGIN_AT_ZERO, MARGIN_SLOPE, ONE_YEAR, PANEL_YEARS,
 )
 from gramwise.plans.cross_section import FULL, LABEL, REDUCED, SUMMARY
 from gramwise.plans.panel import REGRESSORS
@@ -78,7 +78,7 @@ scores as (
 )"""
 MACRO_COLUMNS = {
     "country_code": None, "region": None, "currency_unit": None, "years_since_2000": None, "years_since_century": None,
-    "gdp_usd": 0, "inflation_rate": 6, "unemployment_rate": 6, "fdi_pct_gdp": 6, "healthcare_capacity_index": 6,
+    "gdp_usd": 2, "inflation_rate": 6, "unemployment_rate": 6, "fdi_pct_gdp": 6, "healthcare_capacity_index": 6,
     "digital_connectivity_index": 6, "governance_quality_index": 6, "income_group_code": None,
 }
 PANEL = f"""{MACRO},
@@ -119,7 +119,7 @@ def sweep(long: str, name: str = "fit", last: str = "__y") -> str:
   from (select distinct term from {long})
 ),
 {name}_gram as (
-  select a.k as i, b.k as j, coalesce(s, 0.0::double) as v, a.k = 1 and false as swept,
+  select a.k as i, b.k as j, coalesce(s, 0.0::double) as v,
          max(case when a.k = b.k then coalesce(s, 0.0::double) end) over (partition by a.k) as scale
   from {name}_terms a cross join {name}_terms b left join (
     select x.term as t1, y.term as t2, sum(x.v * y.v) as s from {long} x join {long} y using (id) group by 1, 2
@@ -248,7 +248,7 @@ CONSTANT_LINES = (
     f" {MARGIN_AT_ZERO}::double as m0, {MARGIN_SLOPE}::double as slope from lineitem"
 )
 SWEEP_COLUMNS = {
-    "discount_cap": 6, "total_profit": 0, "total_sales": 0, "profit_change_$": 0, "profit_change_%": 6,
+    "discount_cap": 6, "total_profit": 0, "total_sales": 2, "profit_change_$": 0, "profit_change_%": 6,
     "sales_change_%": 6,
 }
 
@@ -358,7 +358,7 @@ long2 as ({numbers('zs', linear | products | {'__y': 'u * u - 1.0'})}),
 long3 as ({numbers('zs', linear | {'__y': 'u * u * u - 3.0 * u'})}),
 {sweep('long3', 'skw')},
 moments as (
-  select count(*) as n, var_pop(u * u - 1.0) * count(*) as t2, var_pop(u * u * u - 3.0 * u) * count(*) as t3,
+  select count(*) as n, var_pop(u * u - 1.0) * count(*) as t2, sum((u * u * u - 3.0 * u) * (u * u * u - 3.0 * u)) as t3,
          avg(u * u * u * u - 6.0 * u * u + 3.0) as m4,
          avg((u * u * u * u - 6.0 * u * u + 3.0) * (u * u * u * u - 6.0 * u * u + 3.0)) as s4
   from zs
@@ -392,7 +392,7 @@ long as ({numbers(source, columns, intercept=False)}),
 
 ORACLES: dict[str, str] = {
     "quarter_margin": f"""
-select {QUARTER} as quarter, count(*) as n, {r('sum(l_extendedprice)', 0)} as total_sales,
+select {QUARTER} as quarter, count(*) as n, {r('sum(l_extendedprice)', 2)} as total_sales,
        {r(f'sum({PROFIT})', 0)} as total_profit, {r(f'avg({PROFIT} / nullif(l_extendedprice, 0))')} as mean_margin,
        {r(f'sum({PROFIT}) / nullif(sum(l_extendedprice), 0)')} as margin
 from lineitem join orders on l_orderkey = o_orderkey group by 1""",
@@ -402,7 +402,7 @@ select ship_mode, region, round_even(avg(margin) * 100.0::double, 2) as margin_p
        round_even(avg(discount) * 100.0::double, 2) as discount_pct
 from lines group by 1, 2""",
     "baseline_totals": f"""
-select {r(f'sum({PROFIT})', 0)} as total_profit, {r('sum(l_extendedprice)', 0)} as total_sales,
+select {r(f'sum({PROFIT})', 0)} as total_profit, {r('sum(l_extendedprice)', 2)} as total_sales,
        {r(f'sum({PROFIT}) / nullif(sum(l_extendedprice), 0)')} as margin,
        count(*) filter ({PROFIT} is null or l_extendedprice is null) as n_null
 from lineitem""",
@@ -423,7 +423,7 @@ with {SALES}
 select {r('discount_cap')} as discount_cap, {r('total_profit', 0)} as total_profit
 from result order by round(total_profit, 3) desc, discount_cap limit 1""",
     "profit_curve": f"""{constant_sweep('level')}
-select {rounded({'discount_cap': 6, 'total_profit': 0, 'total_sales': 0})},
+select {rounded({'discount_cap': 6, 'total_profit': 0, 'total_sales': 2})},
        row_number() over (order by round(total_profit, 3) desc, discount_cap) = 1 as is_max from result""",
     "capped_rows": f"""
 select {KEYS}, {r('sales')} as sales, {r('discount')} as discount, {r('dn')} as discount_new,
@@ -506,6 +506,32 @@ with s as (
 w as (select *, sign(c) * greatest(abs(c) - 2e-4::double, 0.0::double) / v as b from s)
 select '_cons' as term, {r('my - b * mx', 8)} as estimate from w
 union all select 'discount', {r('b', 8)} from w""",
+    "lasso_all_features": f"""
+with recursive {MARGIN_FIT},
+mean as (select a.j as k, a.v / n.v as mean, n.v as n from fit_gram a, (select v from fit_gram where i = 1 and j = 1) n
+         where a.i = 1),
+centred as (
+  select i - 1 as i, j - 1 as j, v / a.n - a.mean * b.mean as q
+  from fit_gram g join mean a on a.k = g.i join mean b on b.k = g.j where i > 1 and j > 1
+),
+p as (select max(i) - 1 as p from centred),
+cd as (
+  select 0 as step, i, 0.0::double as w, q as gradient from centred, p where j = p + 1 and i <= p
+  union all
+  select step + 1, i, case when i = jj then w + delta else w end, gradient - q * delta
+  from (
+    select *, max(case when i = jj then sign(gradient + q * w)
+               * greatest(abs(gradient + q * w) - {LASSO_ALPHA}::double, 0.0::double) / q - w end) over () as delta
+    from (
+      select cd.step, cd.i, cd.w, cd.gradient, c.q, c.j as jj
+      from cd, p, centred c where c.i = cd.i and c.j = (cd.step % p.p) + 1 and cd.step < 40 * p.p
+    )
+  )
+),
+w as (select term, w, mean from cd, p, fit_terms t, mean m where step = 40 * p.p and t.k = i + 1 and m.k = i + 1)
+select term, {r('w', 8)} as estimate from w
+union all
+select '_cons', {r('any_value(y.mean) - sum(w.w * w.mean)', 8)} from w, (select mean from mean order by k desc limit 1) y""",
     "lasso_three_features": f"""
 with recursive raw as (
   select l_discount as x1, l_quantity as x2, l_tax as x3, {PROFIT} / nullif(l_extendedprice, 0) as y from lineitem
@@ -601,7 +627,7 @@ with {PANEL}
 select "Year", "Country", {rounded(MACRO_COLUMNS)}, {r('score')} as score from panel""",
     "panel_complete_rows": f"""
 with {PANEL}
-select {rounded({'score': 6, **{c: (0 if c == 'gdp_usd' else 6) for c in REGRESSORS}, 'income_group_code': None})}
+select {rounded({'score': 6, **{c: (2 if c == 'gdp_usd' else 6) for c in REGRESSORS}, 'income_group_code': None})}
 from panel where unemployment_rate <= 0.4::double""",
     "panel_missing": f"""
 with {PANEL}
@@ -632,7 +658,8 @@ with {SECTION}
 )}""",
     "derived_variables": f"""
 with {SECTION}
-select unit, {rounded({LABEL: 6, 'gdppc_thousands': 6, 'interraction_gdppc_trade': 6})} from section""",
+select unit, {", ".join(f"{c}::float::double as {c}" for c in (LABEL, 'gdppc_thousands', 'interraction_gdppc_trade'))}
+from section""",
     "ols_full": f"with recursive {section_fit(FULL)}, {t_table('fit', 'select count(*) from section', 8)}",
     "ols_reduced": f"with recursive {section_fit(REDUCED)}, {t_table('fit', 'select count(*) from section', 8)}",
     "ols_full_fit": f"""
