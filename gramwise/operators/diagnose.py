@@ -19,8 +19,6 @@ from gramwise.operators.order import quantiles, value_ranks
 from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
-RANKS_PER_ROW = 10_000
-
 
 def residual_shape(df: DataFrame, residual: str = "residual") -> dict[str, float]:
     """Skewness, kurtosis (3 for a normal), Jarque–Bera and the omnibus test of D'Agostino and Pearson."""
@@ -161,61 +159,63 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
     return sum(c * x**i for i, c in enumerate(coefficients))
 
 
-def normal_scores(df: DataFrame, column: str) -> dict[str, float]:
-    """Sums over the ordered sample that the tests need: of the normal scores squared and of scores times
-    values, with the two smallest and the two largest values."""
+def normal_scores(df: DataFrame, column: str) -> dict:
+    """What the tests need of the ordered sample: sums over all rows of the normal score (``m``), its square
+    and its product with the centred value, and both at the two smallest and the two largest ranks.
+
+    Equal values share the score of their mean rank, so one row per distinct value is enough.
+    """
     x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     head = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).first()
     n, mean = head["n"], head["mean"]
     if n < 4:
         raise ValueError("at least four values are needed")
-    runs = value_ranks(x, "x").withColumnRenamed("n", "run")
-    start, length = F.col("before"), F.col("run")
-    # A long run of equal values becomes many rows, spread over the tasks before the ranks are written out.
-    short = runs.where(length <= RANKS_PER_ROW).select("value", start.alias("start"), length.alias("length"))
-    piece = F.col("piece") * F.lit(RANKS_PER_ROW)
-    long = (
-        runs.where(length > RANKS_PER_ROW)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((length - 1) / RANKS_PER_ROW))))
-        .select("value", (start + piece).alias("start"), F.least(F.lit(RANKS_PER_ROW), length - piece).alias("length"))
-        .repartition("start")
-    )
-    ranked = short.unionByName(long).select(
-        (F.col("value") - F.lit(mean)).alias("d"),
-        F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("length"))).alias("rank"),
-    )
-    score = normal_quantile((F.col("rank") - F.lit(0.375)) / F.lit(n + 0.25))
-    at = {"x1": 1, "x2": 2, "y2": n - 1, "y1": n}
-    row = (
-        ranked.withColumn("score", score)
-        .agg(
-            F.sum(F.col("score") * F.col("score")).alias("ss"),
-            F.sum(F.col("score") * F.col("d")).alias("sx"),
-            *[F.max(F.when(F.col("rank") == r, F.col("d"))).alias(name) for name, r in at.items()],
-        )
-        .first()
+    if not head["var"] > 0:
+        raise ValueError("all values are equal")
+    mean_rank = F.col("before") + (F.col("n") + 1) / 2.0
+    score = normal_quantile((mean_rank - F.lit(0.375)) / F.lit(n + 0.25))
+    ranked = value_ranks(x, "x").select(
+        "n", "before", score.alias("m"), (F.col("value") - F.lit(mean)).alias("d")
     )
-    return {"n": n, "spread": head["var"] * n, **row.asDict()}
+    count, m, d = F.col("n"), F.col("m"), F.col("d")
+    ends = {}
+    for rank in (1, 2, n - 1, n):
+        here = (F.col("before") < rank) & (F.col("before") + count >= rank)
+        ends[rank] = F.max(F.when(here, F.struct(m, d))).alias(f"end{rank}")
+    row = ranked.agg(
+        F.sum(count * m).alias("m"), F.sum(count * m * m).alias("mm"), F.sum(count * m * d).alias("md"), *ends.values()
+    ).first()
+    return {
+        "n": n, "spread": head["var"] * n, "m": row["m"], "mm": row["mm"], "md": row["md"],
+        "ends": [tuple(row[f"end{rank}"]) for rank in ends],
+    }
 
 
 def shapiro_wilk(df: DataFrame, column: str = "residual") -> DataFrame:
-    """W, V, z and p of the Shapiro–Wilk test.  The p-value is calibrated for 4 to 2000 values; beyond that it
-    is null and ``shapiro_francia`` should be used."""
+    """W, V, z and p of the Shapiro–Wilk test, with mean ranks for ties.
+
+    The p-value is calibrated for 4 to 2000 values; beyond that V, z and p are null and ``shapiro_francia``
+    should be read instead.
+    """
     s = normal_scores(df, column)
-    n = s["n"]
-    if not s["spread"] > 0:
-        raise ValueError("all values are equal")
-    quantile = NormalDist().inv_cdf
-    m1, m2 = (quantile((i - 0.375) / (n + 0.25)) for i in (1, 2))
-    root = math.sqrt(s["ss"])
-    a1 = _poly(_WEIGHT_LAST, n**-0.5) - m1 / root
-    tails = [(a1, m1, s["y1"] - s["x1"])]
+    n, ends = s["n"], s["ends"]
+    root = math.sqrt(s["mm"])
+    last = _poly(_WEIGHT_LAST, n**-0.5) + ends[3][0] / root
+    second = _poly(_WEIGHT_NEXT, n**-0.5) + ends[2][0] / root
     if n > 5:
-        a2 = _poly(_WEIGHT_NEXT, n**-0.5) - m2 / root
-        tails.append((a2, m2, s["y2"] - s["x2"]))
-    norm = math.sqrt((s["ss"] - 2 * sum(m * m for _, m, _ in tails)) / (1 - 2 * sum(a * a for a, _, _ in tails)))
-    middle = (s["sx"] - sum(-m * width for _, m, width in tails)) / norm
-    w = min((middle + sum(a * width for a, _, width in tails)) ** 2 / s["spread"], 1.0)
+        weights = {0: -last, 1: -second, 2: second, 3: last}
+        norm = (s["mm"] - 2 * ends[3][0] ** 2 - 2 * ends[2][0] ** 2) / (1 - 2 * last**2 - 2 * second**2)
+    else:
+        weights = {0: -last, 3: last}
+        norm = (s["mm"] - 2 * ends[3][0] ** 2) / (1 - 2 * last**2)
+    # Every row weighs m / sqrt(norm), but for the rows at the ends.
+    a, aa, ad = s["m"] / math.sqrt(norm), s["mm"] / norm, s["md"] / math.sqrt(norm)
+    for i, weight in weights.items():
+        usual = ends[i][0] / math.sqrt(norm)
+        a += weight - usual
+        aa += weight**2 - usual**2
+        ad += (weight - usual) * ends[i][1]
+    w = min(ad**2 / ((aa - a * a / n) * s["spread"]), 1.0)
     v = z = p = None
     if n <= 2000 and w < 1.0:
         v, z = _shapiro_wilk_score(w, n)
@@ -237,7 +237,7 @@ def shapiro_francia(df: DataFrame, column: str = "residual") -> DataFrame:
     """W' (squared correlation with the normal scores), z and p after Royston (1993); p up to 5000 values."""
     s = normal_scores(df, column)
     n = s["n"]
-    w = s["sx"] ** 2 / (s["ss"] * s["spread"])
+    w = s["md"] ** 2 / ((s["mm"] - s["m"] ** 2 / n) * s["spread"])
     z = p = None
     if 5 <= n <= 5000 and w < 1.0:
         u = math.log(n)

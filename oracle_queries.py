@@ -337,8 +337,11 @@ def quantile(p: str) -> str:
 
 ORDERED = f"""
 ordered as (
-  select x, k, n, {quantile('((k - 0.375::double) / (n + 0.25::double))')} as m
-  from (select x, row_number() over (order by x) as k, count(*) over () as n from sample)
+  select x, k, n, {quantile('((mean_rank - 0.375::double) / (n + 0.25::double))')} as m
+  from (
+    select *, avg(k) over (partition by x) as mean_rank
+    from (select x, row_number() over (order by x) as k, count(*) over () as n from sample)
+  )
 )"""
 
 AUXILIARY = [(a, b) for i, a in enumerate(FULL) for b in FULL[i:]]
@@ -747,21 +750,20 @@ from grid cross join x group by g""",
 with recursive {FULL_ROWS},
 sample as (select residual as x from res),
 {ORDERED},
-s as (select any_value(n) as n, sum(m * m) as ss, sum(power(x - mean, 2)) as spread
-      from ordered, (select avg(x) as mean from sample)),
 t as (
-  select *, power(n, -0.5) as u, (select m from ordered where k = 1) as m1, (select m from ordered where k = 2) as m2
-  from s
+  select any_value(n) as n, sum(m * m) as ss, power(any_value(n), -0.5) as u, max(m) filter (k = n) as m1,
+         max(m) filter (k = n - 1) as m2
+  from ordered
 ),
 a as (
-  select *, u * (0.221157 + u * (-0.147981 + u * (-2.07119 + u * (4.434685 - 2.706056 * u)))) - m1 / sqrt(ss) as a1,
-         u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 - 3.582633 * u)))) - m2 / sqrt(ss) as a2
+  select *, u * (0.221157 + u * (-0.147981 + u * (-2.07119 + u * (4.434685 - 2.706056 * u)))) + m1 / sqrt(ss) as a1,
+         u * (0.042981 + u * (-0.293762 + u * (-1.752461 + u * (5.682633 - 3.582633 * u)))) + m2 / sqrt(ss) as a2
   from t
 ),
 f as (select *, sqrt((ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) as fac from a),
 w as (
-  select any_value(f.n) as n, power(sum(x * case when k = 1 then -a1 when k = 2 then -a2 when k = f.n then a1
-         when k = f.n - 1 then a2 else m / fac end), 2) / any_value(spread) as w
+  select any_value(f.n) as n, power(corr(x, case when k = 1 then -a1 when k = 2 then -a2 when k = f.n then a1
+         when k = f.n - 1 then a2 else m / fac end), 2) as w
   from ordered, f
 ),
 z as (
@@ -777,8 +779,6 @@ select n, {r('w')} as w, case when n <= 2000 then {r('exp(gap - mu)', 5)} end as
     "shapiro_francia": f"""
 with sample as (select l_quantity as x from lineitem),
 {ORDERED}
-select count(*) as n, {r('power(sum(m * (x - mean)), 2) / (sum(m * m) * sum(power(x - mean, 2)))', 7)} as w,
-       null::double as z
-from ordered, (select avg(x) as mean from sample)""",
+select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z from ordered""",
     "im_test": im_sql(),
 }
