@@ -74,7 +74,10 @@ def test_shapiro_wilk_weights_of_men(spark):
 
 
 def test_shapiro_francia(cars):
-    assert diagnose.shapiro_francia(cars, "mpg").first()["w"] == pytest.approx(0.94872, abs=5e-6)
+    row = diagnose.shapiro_francia(cars, "mpg").first()
+    assert row["w"] == pytest.approx(0.94872, abs=5e-6)
+    assert row["z"] == pytest.approx(2.510, abs=5e-4)
+    assert row["p"] == pytest.approx(0.00604, abs=5e-6)
 
 
 def test_vif_is_the_inverse_of_the_unexplained_share(spark, cars):
