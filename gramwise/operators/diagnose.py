@@ -165,26 +165,30 @@ def normal_scores(df: DataFrame, column: str) -> dict:
 
     Equal values share the score of their mean rank, so one row per distinct value is enough.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    head = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).first()
-    n, mean = head["n"], head["mean"]
-    if n < 4:
-        raise ValueError("at least four values are needed")
-    if not head["var"] > 0:
-        raise ValueError("all values are equal")
-    mean_rank = F.col("before") + (F.col("n") + 1) / 2.0
-    score = normal_quantile((mean_rank - F.lit(0.375)) / F.lit(n + 0.25))
-    ranked = value_ranks(x, "x").select(
-        "n", "before", score.alias("m"), (F.col("value") - F.lit(mean)).alias("d")
-    )
-    count, m, d = F.col("n"), F.col("m"), F.col("d")
-    ends = {}
-    for rank in (1, 2, n - 1, n):
-        here = (F.col("before") < rank) & (F.col("before") + count >= rank)
-        ends[rank] = F.max(F.when(here, F.struct(m, d))).alias(f"end{rank}")
-    row = ranked.agg(
-        F.sum(count * m).alias("m"), F.sum(count * m * m).alias("mm"), F.sum(count * m * d).alias("md"), *ends.values()
-    ).first()
+    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull()).persist()
+    try:
+        head = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).first()
+        n, mean = head["n"], head["mean"]
+        if n < 4:
+            raise ValueError("at least four values are needed")
+        if not head["var"] > 0:
+            raise ValueError("all values are equal")
+        mean_rank = F.col("before") + (F.col("n") + 1) / 2.0
+        score = normal_quantile((mean_rank - F.lit(0.375)) / F.lit(n + 0.25))
+        ranked = value_ranks(x, "x", rows=n).select(
+            "n", "before", score.alias("m"), (F.col("value") - F.lit(mean)).alias("d")
+        )
+        count, m, d = F.col("n"), F.col("m"), F.col("d")
+        ends = {}
+        for rank in (1, 2, n - 1, n):
+            here = (F.col("before") < rank) & (F.col("before") + count >= rank)
+            ends[rank] = F.max(F.when(here, F.struct(m, d))).alias(f"end{rank}")
+        row = ranked.agg(
+            F.sum(count * m).alias("m"), F.sum(count * m * m).alias("mm"), F.sum(count * m * d).alias("md"),
+            *ends.values(),
+        ).first()
+    finally:
+        x.unpersist()
     return {
         "n": n, "spread": head["var"] * n, "m": row["m"], "mm": row["mm"], "md": row["md"],
         "ends": [tuple(row[f"end{rank}"]) for rank in ends],

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,16 @@ def rounded(df: DataFrame, default: int = 6, **digits: int) -> DataFrame:
     )
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Keep a table that several jobs read; for results that are complete when the block ends."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 # ---------------------------------------------------------------- discount what-if
 
 
@@ -483,24 +494,24 @@ def residual_scatter(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def residual_shape(spark: SparkSession, sf: str) -> DataFrame:
-    section = _section(spark, sf)
-    fit = cs.CrossSectionModel.estimate(section).fit
-    return rounded(statistics_frame(spark, diagnose.residual_shape(with_residuals(section, fit))), default=5)
+    with kept(_section(spark, sf)) as section:
+        return rounded(statistics_frame(spark, diagnose.residual_shape(_residuals(section))), default=5)
 
 
-def _residuals(spark: SparkSession, sf: str) -> DataFrame:
-    section = _section(spark, sf)
+def _residuals(section: DataFrame) -> DataFrame:
     return with_residuals(section, cs.CrossSectionModel.estimate(section).fit).select("residual")
 
 
 @register
 def residual_density(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnose.density(_residuals(spark, sf)))
+    with kept(_section(spark, sf)) as section:
+        return rounded(diagnose.density(_residuals(section)))
 
 
 @register
 def shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(diagnose.shapiro_wilk(_residuals(spark, sf)).drop("p"), v=5, z=5)
+    with kept(_section(spark, sf)) as section:
+        return rounded(diagnose.shapiro_wilk(_residuals(section)).drop("p"), v=5, z=5)
 
 
 @register
@@ -511,6 +522,6 @@ def shapiro_francia(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def im_test(spark: SparkSession, sf: str) -> DataFrame:
-    section = _section(spark, sf)
-    model = cs.CrossSectionModel.estimate(section)
-    return rounded(diagnose.im_test(section, model.fit, model.moments).drop("p"), default=4)
+    with kept(_section(spark, sf)) as section:
+        model = cs.CrossSectionModel.estimate(section)
+        return rounded(diagnose.im_test(section, model.fit, model.moments).drop("p"), default=4)
