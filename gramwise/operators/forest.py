@@ -19,6 +19,8 @@ from gramwise.operators.report import small_frame
 FULL_TREES = (100, 500, 1000)
 FULL_SUBSETS = ("sqrt", "log2")
 
+COPIES_PER_PIECE = 10_000
+
 
 @dataclass(frozen=True)
 class ForestCv:
@@ -44,6 +46,26 @@ def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="__features").transform(complete_cases(df, features))
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """The same rows, in partitions that depend on their content only.
+
+    Copies are counted before they are sent and written out again in pieces that land in different partitions,
+    so a row that occurs very often does not fill one of them.
+    """
+    columns = rows.columns
+    last = F.col("__copies") - 1
+    pieces = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", last, F.lit(COPIES_PER_PIECE)))
+    size = F.least(F.lit(COPIES_PER_PIECE), F.col("__copies") - F.col("__piece") * COPIES_PER_PIECE)
+    return (
+        rows.groupBy(*columns)
+        .agg(F.count("*").alias("__copies"))
+        .withColumn("__piece", F.explode(pieces))
+        .repartition(*columns, "__piece")
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
+        .select(*columns)
+    )
+
+
 def forest_cv(
     df: DataFrame,
     label: str,
@@ -61,14 +83,14 @@ def forest_cv(
     """Grid search over the number of trees and the features tried per split, by the folds in column ``fold``;
     the setting with the least mean squared error is refitted on all rows.
 
-    MLlib draws its bootstrap samples by partition, so rows are placed by the ``order`` columns first to make
-    the result repeatable.
+    MLlib draws its bootstrap samples by partition, so rows are placed by their content first to make the result
+    repeatable.
     """
     rows = complete_cases(df, [label, *features]).select(
         *order, F.col(fold).cast("int").alias("__fold"), F.col(label).cast("double").alias("__label"),
         *[F.col(c).cast("double").alias(c) for c in features if c not in order],
     )
-    placed = _assembled(rows.repartition(*order).sortWithinPartitions(*order, "__label"), features)
+    placed = _assembled(_placed(rows).sortWithinPartitions(*order, "__label"), features)
     placed = placed.select("__fold", "__label", "__features").persist()
     try:
         forest = RandomForestRegressor(

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gramwise.operators.prepare import complete_cases
 
-MAX_ENTRIES = 20_000_000  # doubles the driver may hold: groups * p * p
+MAX_ENTRIES = 10_000_000  # numbers the driver may gather: groups * p * p
 WIDE = 16  # numeric columns from which the batch product beats one aggregate per pair
 
 NULL_LEVEL = "nan"
@@ -238,30 +238,40 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
         sets = [["__group"]]
         sets += [["__group", c] for c in categorical]
         sets += [["__group", a, b] for a, b in combinations(categorical, 2)]
-        margins = cells.groupingSets(sets, "__group", *categorical).agg(*sums).collect()
+        margins = cells.groupingSets(sets, "__group", *categorical).agg(*sums).toArrow().to_pandas()
     finally:
         cells.unpersist()
 
-    found = {c: sorted({r[c] for r in margins if r[c] is not None}) for c in categorical}
+    present = {c: margins[c].notna() for c in categorical}
+    found = {c: sorted(margins.loc[present[c], c].unique()) for c in categorical}
     terms = [Term(c) for c in numeric] + [Term(c, v) for c in categorical for v in found[c]]
-    at = {t: i for i, t in enumerate(terms, 1)}
-    groups: dict[int, np.ndarray] = {}
-    for row in margins:
-        m = groups.setdefault(row["__group"], np.zeros((len(terms) + 1, len(terms) + 1)))
-        where = [at[Term(c, row[c])] for c in categorical if row[c] is not None]
-        if not where:
-            m[0, 0] = row["n"]
-            for i in range(p):
-                m[0, i + 1] = m[i + 1, 0] = row[f"f{i}"]
-            for i, j in combinations_with_replacement(range(p), 2):
-                m[i + 1, j + 1] = m[j + 1, i + 1] = row[f"s{i}_{j}"]
-        elif len(where) == 1:
-            (a,) = where
-            m[0, a] = m[a, 0] = m[a, a] = row["n"]
-            for i in range(p):
-                m[i + 1, a] = m[a, i + 1] = row[f"f{i}"]
-        else:
-            a, b = where
-            m[a, b] = m[b, a] = row["n"]
+    position = {t: i for i, t in enumerate(terms, 1)}
+    groups = sorted(int(g) for g in margins["__group"].unique())
+    slot = margins["__group"].map({g: i for i, g in enumerate(groups)}).to_numpy()
+    column = {c: margins[c].map({v: position[Term(c, v)] for v in found[c]}).fillna(0).to_numpy(int) for c in categorical}
+    depth = sum(mask.to_numpy(int) for mask in present.values())
+    m = np.zeros((len(groups), len(terms) + 1, len(terms) + 1))
+
+    def put(rows: np.ndarray, a, b, values: str) -> None:
+        g, v = slot[rows], margins[values].to_numpy()[rows]
+        m[g, a, b] = v
+        m[g, b, a] = v
+
+    whole = np.flatnonzero(depth == 0)
+    put(whole, 0, 0, "n")
+    for i in range(p):
+        put(whole, 0, i + 1, f"f{i}")
+    for i, j in combinations_with_replacement(range(p), 2):
+        put(whole, i + 1, j + 1, f"s{i}_{j}")
+    for c in categorical:
+        rows = np.flatnonzero((depth == 1) & present[c].to_numpy())
+        at = column[c][rows]
+        put(rows, 0, at, "n")
+        put(rows, at, at, "n")
+        for i in range(p):
+            put(rows, i + 1, at, f"f{i}")
+    for c, other in combinations(categorical, 2):
+        rows = np.flatnonzero((depth == 2) & present[c].to_numpy() & present[other].to_numpy())
+        put(rows, column[c][rows], column[other][rows], "n")
     full_shift = np.concatenate([shift, np.zeros(len(terms) - p)])
-    return GramTable(tuple(terms), full_shift, {g: groups[g] for g in sorted(groups)})
+    return GramTable(tuple(terms), full_shift, dict(zip(groups, m, strict=True)))

@@ -12,9 +12,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import bucket_above
+from gramwise.operators.report import small_frame
 
 ROWS_PER_BIN = 1_000_000
-MAX_BINS = 10_000
+MAX_BINS = 2_000
+ROWS_PER_RANGE = 2_000_000
+MAX_RANGES = 50_000
+
+
+def _histogram(x: DataFrame, cuts: Iterable[float]) -> list:
+    """Rows, smallest and largest value of every non-empty interval between the cuts, in order."""
+    return (
+        bucket_above(x, "x", sorted(cuts), "bin")
+        .groupBy("bin")
+        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .orderBy("bin")
+        .collect()
+    )
+
+
+def _subdivide(low: float, high: float, pieces: int) -> set[float]:
+    """Cuts inside [low, high]; the first ones set the smallest value apart, so that a cut always gains."""
+    return {float(np.nextafter(low, -np.inf)), high, *(float(c) for c in np.linspace(low, high, pieces) if c < high)}
+
+
+def _values(df: DataFrame, column: str) -> DataFrame:
+    return df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
 
 
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int = 2048) -> dict[int, float]:
@@ -24,27 +47,15 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int
     single value.  Only the histograms are shuffled, so neither sorting nor a frequent value costs anything;
     a handful of passes resolves all the digits of a double.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    x = _values(df, column)
     whole = x.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).first()
     bad = [r for r in ranks if not 1 <= r <= whole["n"]]
     if bad:
         raise ValueError(f"rank {bad[0]} of {whole['n']} rows")
     bracket = {r: (whole["low"], whole["high"]) for r in ranks}
     while any(low < high for low, high in bracket.values()):
-        cuts: set[float] = set()
-        for low, high in set(bracket.values()):
-            cuts.add(float(np.nextafter(low, -np.inf)))
-            cuts.update(float(c) for c in np.linspace(low, high, bins) if c < high)
-            cuts.add(high)
-        table = (
-            bucket_above(x, "x", sorted(cuts), "bin")
-            .groupBy("bin")
-            .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-            .orderBy("bin")
-            .collect()
-        )
         below = 0
-        for row in table:
+        for row in _histogram(x, set().union(*(_subdivide(*b, bins) for b in set(bracket.values())))):
             for r in ranks:
                 if below < r <= below + row["n"]:
                     bracket[r] = (row["low"], row["high"])
@@ -52,6 +63,36 @@ def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int
     return {r: bracket[r][0] for r in ranks}
 
 
+def balanced_ranges(x: DataFrame, pieces: int) -> tuple[list[float], list[int]]:
+    """Cut points between ranges of about equal size, and the exact number of rows below each range.
+
+    Starts from even cuts and divides the ranges that hold too many rows, counting again after each round.  A
+    range with a single value is never divided.  Small neighbours are joined, so there are about two times
+    ``pieces`` ranges at most.
+    """
+    whole = x.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).first()
+    most = max(whole["n"] / pieces, 1.0)
+    cuts = _subdivide(whole["low"], whole["high"], 2 * pieces)
+    while True:
+        table = _histogram(x, cuts)
+        crowded = [r for r in table if r["n"] > most and r["low"] < r["high"]]
+        if not crowded:
+            break
+        spare = 8 * pieces // len(crowded)
+        cuts = {r["high"] for r in table}.union(
+            *(_subdivide(r["low"], r["high"], max(spare, 2 * math.ceil(r["n"] / most))) for r in crowded)
+        )
+    ends, starts, size, below = [], [0], 0, 0
+    for i, row in enumerate(table):
+        size += row["n"]
+        below += row["n"]
+        if i + 1 < len(table) and size + table[i + 1]["n"] > most:
+            ends.append(row["high"])
+            starts.append(below)
+            size = 0
+    return ends, starts
+
+
 def quantiles(df: DataFrame, column: str, n: int, probabilities: Sequence[float]) -> list[float]:
     """Quantiles as the inverse distribution function, averaged where it jumps (``n`` rows are not null)."""
     pairs = []
@@ -77,31 +118,21 @@ def value_ranks(
     """Distinct values with their count ``n`` and the number of rows ``before`` them in ascending order.
 
     Equal values are combined before the shuffle, so a value held by a third of the rows is one row here.  The
-    distinct values are cut into ranges of similar size; each range is ranked by itself and then moved up by
-    the count of the ranges below.  The cut points only balance the work: any choice gives the same ranks.
-    ``rows`` saves a pass when the number of values is known.
+    values are cut into ranges of similar size, whose exact positions are known from the histogram that chose
+    them; each range is then ranked by itself.  ``rows`` saves a pass when the number of values is known.
     """
-    x = df.select(F.col(column).cast("double").alias("value")).where(F.col("value").isNotNull())
+    x = _values(df, column)
     bins = min(max_bins, math.ceil((x.count() if rows is None else rows) / rows_per_bin))
-    values = x.groupBy("value").agg(F.count("*").alias("n"))
-    if bins <= 1:
-        earlier = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        return values.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    fractions = [i / bins for i in range(1, bins)]
-    cuts = sorted(set(x.agg(F.percentile_approx("value", fractions, 20 * bins)).first()[0]))
-    binned = bucket_above(values, "value", cuts, "bin")
-    inside = Window.partitionBy("bin").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        binned.groupBy("bin")
-        .agg(F.sum("n").alias("rows"))
-        .select("bin", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("offset"))
-    )
-    # offsets has at most max_bins rows
-    return (
-        binned.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-        .join(F.broadcast(offsets), "bin")
-        .select("value", "n", (F.col("offset") + F.col("inside")).alias("before"))
+    values = x.groupBy("x").agg(F.count("*").alias("n"))
+    if bins <= 1:  # few enough rows for one task
+        earlier = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+        return values.select(F.col("x").alias("value"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    cuts, starts = balanced_ranges(x, bins)
+    inside = Window.partitionBy("bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    position = small_frame(df.sparkSession, "bin int, start bigint", list(enumerate(starts)))
+    ranked = bucket_above(values, "x", cuts, "bin").withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return ranked.join(position, "bin").select(
+        F.col("x").alias("value"), "n", (F.col("start") + F.col("inside")).alias("before")
     )
 
 
@@ -110,23 +141,31 @@ def _check_names(keys: Sequence[str], column: str) -> None:
         raise ValueError("the residual cannot be part of the order")
 
 
-def durbin_watson(df: DataFrame, column: str, order_by: Sequence[str], partitions: int | None = None) -> DataFrame:
+def durbin_watson(
+    df: DataFrame,
+    column: str,
+    order_by: Sequence[str],
+    rows: int | None = None,
+    rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
     """Sum of squared differences of neighbours over the sum of squares, in the order of the key columns.
 
     Rows with equal keys are ordered by the value itself, and rows equal in both are combined first: their
     differences are zero.  Spark range-partitions and sorts; every task walks its range once and returns one
-    row, and the differences across neighbouring ranges are added from those rows.
+    row, and the differences across neighbouring ranges are added from those rows.  The number of ranges
+    follows the number of rows, which ``rows`` gives if it is known.
     """
     _check_names(order_by, column)
-    rows = (
+    total = df.where(F.col(column).isNotNull()).count() if rows is None else rows
+    combined = (
         df.select(*order_by, F.col(column).cast("double").alias("__e"))
         .where(F.col("__e").isNotNull())
         .groupBy(*order_by, "__e")
         .agg(F.count("*").cast("double").alias("__n"))
     )
     keys = [*[F.col(k).asc_nulls_last() for k in order_by], F.col("__e").asc()]
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(count, *keys).sortWithinPartitions(*keys).select("__e", "__n")
+    ranges = min(MAX_RANGES, max(1, math.ceil(total / rows_per_range)))
+    sorted_rows = combined.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("__e", "__n")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         first = last = None
@@ -151,8 +190,8 @@ def durbin_watson(df: DataFrame, column: str, order_by: Sequence[str], partition
                 ),
             )
 
-    ranges = sorted_rows.mapInArrow(walk, "part int, first double, last double, steps double, squares double")
+    walked = sorted_rows.mapInArrow(walk, "part int, first double, last double, steps double, squares double")
     jump = F.col("first") - F.lag("last").over(Window.orderBy("part"))  # one row per range
-    return ranges.withColumn("jump", F.coalesce(jump * jump, F.lit(0.0))).agg(
+    return walked.withColumn("jump", F.coalesce(jump * jump, F.lit(0.0))).agg(
         F.try_divide(F.sum(F.col("steps") + F.col("jump")), F.sum("squares")).alias("durbin_watson")
     )

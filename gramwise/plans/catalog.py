@@ -294,7 +294,7 @@ def durbin_watson(spark: SparkSession, sf: str) -> DataFrame:
     """Residuals of margin on discount and quantity, in the order of the line keys."""
     lines = sales(spark, sf, *SALES_KEYS, "discount", "quantity", "margin")
     fit = ols(lines, "margin", ["discount", "quantity"])
-    return rounded(order.durbin_watson(with_residuals(lines, fit), "residual", SALES_KEYS))
+    return rounded(order.durbin_watson(with_residuals(lines, fit), "residual", SALES_KEYS, rows=int(fit.n)))
 
 
 @register
@@ -377,7 +377,7 @@ def ols_origin_summary(spark: SparkSession, sf: str) -> DataFrame:
     fit = pl.one_year_ols(panel, ONE_YEAR)
     rows = with_residuals(panel, fit)
     shape = diagnose.residual_shape(rows)
-    watson = order.durbin_watson(rows, "residual", ["Country"]).first()[0]
+    watson = order.durbin_watson(rows, "residual", ["Country"], rows=int(fit.n)).first()[0]
     return statistics_frame(spark, {**fit.statistics(), **shape, "durbin_watson": watson})
 
 

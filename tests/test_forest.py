@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gramwise.operators import forest
 from gramwise.operators.forest import FULL_SUBSETS, FULL_TREES, forest_cv
 
 
@@ -32,5 +33,12 @@ def test_forest(spark, planted):
     assert again.grid == found.grid
 
 
+def test_placement_keeps_copies_and_splits_them(spark, monkeypatch):
+    monkeypatch.setattr(forest, "COPIES_PER_PIECE", 10)
+    df = spark.range(60).select(F.when(F.col("id") < 45, 1).otherwise(F.col("id")).alias("a"), F.lit(2.0).alias("b"))
+    placed = forest._placed(df)
+    assert sorted(placed.collect()) == sorted(df.collect())
+
+
 def test_full_grid():
     assert FULL_TREES == (100, 500, 1000) and FULL_SUBSETS == ("sqrt", "log2")

@@ -5,7 +5,7 @@ import pytest
 from gramwise.operators import diagnose
 from gramwise.operators.gram import gram_table
 from gramwise.operators.ols import ols, with_residuals
-from gramwise.operators.order import durbin_watson, order_statistics, quantiles, value_ranks
+from gramwise.operators.order import balanced_ranges, durbin_watson, order_statistics, quantiles, value_ranks
 
 
 def _hot(n=3000, seed=5):
@@ -46,6 +46,18 @@ def test_value_ranks(spark, rows_per_bin):
         assert r["n"] == np.sum(x == r["value"]) and r["before"] == np.sum(x < r["value"])
 
 
+def test_balanced_ranges(spark):
+    x = np.concatenate([_hot(), np.random.default_rng(6).lognormal(0, 4, 2000)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).repartition(6)
+    cuts, starts = balanced_ranges(df, 20)
+    assert len(starts) == len(cuts) + 1 <= 60
+    assert starts == [0, *(int(np.sum(x <= c)) for c in cuts)]
+    edges = [-np.inf, *cuts, np.inf]
+    for low, high in zip(edges, edges[1:]):
+        inside = x[(x > low) & (x <= high)]
+        assert 0 < len(inside) and (len(inside) <= len(x) / 20 or len(np.unique(inside)) == 1)
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_durbin_watson(spark, partitions):
     rng = np.random.default_rng(7)
@@ -55,7 +67,7 @@ def test_durbin_watson(spark, partitions):
     ordered = frame.sort_values(["a", "b", "e"]).e.to_numpy()
     expected = np.sum(np.diff(ordered) ** 2) / np.sum(ordered**2)
     df = spark.createDataFrame(frame).repartition(partitions)
-    assert durbin_watson(df, "e", ["a", "b"], partitions).first()[0] == pytest.approx(expected, rel=1e-12)
+    assert durbin_watson(df, "e", ["a", "b"], rows_per_range=1000 // partitions).first()[0] == pytest.approx(expected, rel=1e-12)
 
 
 def test_shapiro_wilk_on_a_normal_and_a_skewed_sample(spark):
