@@ -40,6 +40,13 @@ def split_group(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
     return F.when(is_test(keys, percent), F.lit(-1)).otherwise(fold_of(keys, folds))
 
 
+def hash_split(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
+    """Like ``split_group`` for keys of any type, such as text."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(100 * folds))
+    fold = F.call_function("div", slot, F.lit(100))
+    return F.when(slot % 100 < percent, F.lit(-1)).otherwise(fold).cast("int")
+
+
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted categories per column.  Gathers at most ``MAX_LEVELS`` and refuses beyond that."""
     found = categories(df, columns).where(F.col("category").isNotNull()).limit(MAX_LEVELS + 1).collect()

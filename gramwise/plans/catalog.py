@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -64,7 +65,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _study(spark: SparkSession, sf: str) -> DiscountStudy:
-    return DiscountStudy.fit(_lines(spark, sf), SALES_KEYS, SALES_CATEGORIES, FOLDS)
+    return DiscountStudy.fit(_lines(spark, sf), features.split_group(SALES_KEYS, FOLDS), SALES_CATEGORIES, FOLDS)
 
 
 def _given_margin():
@@ -289,6 +290,18 @@ def lasso_cv_one_feature(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(path, default=10)
 
 
+@register
+def lasso_cv_three_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with standardised regressors; the coefficients of the refit stand next to the chosen penalty."""
+    columns = ["discount", "quantity", "tax"]
+    lines = sales(spark, sf, *SALES_KEYS, *columns, "margin")
+    grams = gram_table(lines, [*columns, "margin"], group=features.split_group(SALES_KEYS, FOLDS))
+    cv = lasso_cv(grams, "margin", [Term(c) for c in columns], range(FOLDS), standardize=True)
+    best = F.col("alpha") == F.lit(cv.alpha)
+    refit = {f"b_{c}": F.when(best, F.lit(cv.model.coefficient(c))) for c in columns}
+    return rounded(cv.path(spark).withColumn("is_best", best).withColumns(refit), default=9)
+
+
 @register
 def durbin_watson(spark: SparkSession, sf: str) -> DataFrame:
     """Residuals of margin on discount and quantity, in the order of the line keys."""
@@ -331,7 +344,7 @@ def panel_join(spark: SparkSession, sf: str) -> DataFrame:
 def panel_csv(spark: SparkSession, sf: str) -> DataFrame:
     """The panel written as CSV and read back by column name."""
     panel = _panel(spark, sf)
-    folder = f"{text.shared_folder(spark)}/panel_csv"
+    folder = f"{text.shared_folder(spark)}/panel-{uuid.uuid4().hex}"
     text.write_csv(panel, folder)
     return rounded(text.read_csv(spark, folder, dict(panel.dtypes)), gdp_usd=2)
 

@@ -2,47 +2,71 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramwise.functions.columns import log_positive
-from gramwise.operators.features import is_test, split_group
+from gramwise.functions.columns import log_positive, parse_date, quarter_label, ratio
 from gramwise.operators.gram import GramTable, Term, gram_table
 from gramwise.operators.lasso import LassoCv, lasso_cv
 from gramwise.operators.ols import LinearModel, OlsFit, elasticity, fit_moments, holdout_metrics
 from gramwise.operators.report import small_frame
 from gramwise.operators.scenario import best_cap, cap_grid, cap_sweep, profit_curve
+from gramwise.sources.csv import read_csv
 
 LOG_DISCOUNT = "log1p_discount"
 LOG_SALES = "log_sales"
 
 
+# The columns of the retail file, their types and their names here.
+RETAIL_COLUMNS = {
+    "Order Date": ("string", "order_date"),
+    "Sales": ("double", "sales"),
+    "Profit": ("double", "profit"),
+    "Discount": ("double", "discount"),
+    "Sub-Category": ("string", "sub_category"),
+    "Segment": ("string", "segment"),
+    "Region": ("string", "region"),
+    "Ship Mode": ("string", "ship_mode"),
+}
+CATEGORIES = ("sub_category", "segment", "region", "ship_mode", "quarter")
+
+
+def read_lines(
+    spark: SparkSession, path: str, keys: Mapping[str, str] | None = None, date_format: str = "M/d/yyyy"
+) -> DataFrame:
+    """Order lines from CSV with their quarter and margin.  ``keys`` names further columns to keep, with types."""
+    types = {name: kind for name, (kind, _) in RETAIL_COLUMNS.items()} | dict(keys or {})
+    lines = read_csv(spark, path, types).withColumnsRenamed({n: to for n, (_, to) in RETAIL_COLUMNS.items()})
+    return lines.withColumn("order_date", parse_date(F.col("order_date"), date_format)).withColumns(
+        {"quarter": quarter_label(F.col("order_date")), "margin": ratio(F.col("profit"), F.col("sales"))}
+    )
+
+
 @dataclass(frozen=True)
 class DiscountStudy:
     """Models of the margin and of log sales, all fitted from one pass over the order lines.
 
-    The margin models learn from the training rows, the elasticity from all rows.  A split by key hash takes
-    the place of a shuffle of row numbers: the same rows are in the test part for any partitioning, but they
-    are not the rows that another library's random split would pick.
+    The margin models learn from the training rows, the elasticity from all rows.  ``part`` tells them apart: -1
+    for a test row, else the fold (see ``split_group`` and ``hash_split``).  It takes the place of a shuffle of row
+    numbers: the same rows are in the test part for any partitioning, but they are not the rows that another
+    library's random split would pick.
     """
 
-    keys: tuple[str, ...]
+    part: Column
     categorical: tuple[str, ...]
     grams: GramTable
     folds: tuple[int, ...]
 
     @classmethod
     def fit(
-        cls, lines: DataFrame, keys: Sequence[str], categorical: Sequence[str], folds: int = 15
+        cls, lines: DataFrame, part: Column, categorical: Sequence[str] = CATEGORIES, folds: int = 15
     ) -> DiscountStudy:
-        rows = with_logs(lines)
-        grams = gram_table(
-            rows, ["discount", LOG_DISCOUNT, "margin", LOG_SALES], categorical, split_group(keys, folds)
-        )
-        return cls(tuple(keys), tuple(categorical), grams, tuple(range(folds)))
+        numeric = ["discount", LOG_DISCOUNT, "margin", LOG_SALES]
+        grams = gram_table(with_logs(lines), numeric, categorical, part)
+        return cls(part, tuple(categorical), grams, tuple(range(folds)))
 
     @property
     def terms(self) -> list[Term]:
@@ -63,7 +87,7 @@ class DiscountStudy:
 
     def metrics(self, lines: DataFrame, model: LinearModel) -> DataFrame:
         """Test metrics on the rows that the fit did not see."""
-        held_out = with_logs(lines).where(is_test(self.keys))
+        held_out = with_logs(lines).where(self.part == -1)
         return holdout_metrics(held_out, "margin", model.predict())
 
     def sweep(

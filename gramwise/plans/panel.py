@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import recode
-from gramwise.operators.features import Scaler
+from gramwise.operators.features import Scaler, hash_split
 from gramwise.operators.forest import ForestCv, forest_cv
 from gramwise.operators.gram import Term, gram_table
 from gramwise.operators.lasso import LassoCv, lasso_cv
@@ -16,6 +16,7 @@ from gramwise.operators.ols import OlsFit, ols
 from gramwise.operators.prepare import (
     complete_cases, inner_join, project_except, rename, rename_by_position, sort_missing_last, within,
 )
+from gramwise.sources.csv import header, read_csv
 
 # Names, income codes, regressors and exclusions of the panel analysis.
 MACRO_NAMES = {"country_name": "Country", "year": "Year"}
@@ -27,6 +28,22 @@ REGRESSORS = (
 EXCLUDED = ("Year", "Country", "country_code", "region", "currency_unit", "years_since_2000", "years_since_century")
 
 
+TEXT_COLUMNS = ("country_name", "country_code", "region", "currency_unit", "income_group")
+
+
+def read_macro(spark: SparkSession, path: str) -> DataFrame:
+    """The macro table from CSV: named text columns, the year, and numbers in all other columns."""
+    names = header(spark, path)
+    return read_csv(
+        spark, path, {n: "string" if n in TEXT_COLUMNS else "int" if n == "year" else "double" for n in names}
+    )
+
+
+def read_score(spark: SparkSession, path: str) -> DataFrame:
+    """Year, country and score: the first three columns of an exported sheet, whatever their names."""
+    return read_csv(spark, path, dict(zip(header(spark, path), ("int", "string", "double"), strict=True)))
+
+
 def prepare_macro(macro: DataFrame, first: int, last: int) -> DataFrame:
     coded = rename(macro, MACRO_NAMES).withColumn("income_group_code", recode(F.col("income_group"), INCOME_CODES))
     return within(coded.drop("income_group"), "Year", first, last)
@@ -61,9 +78,7 @@ def model_rows(panel: DataFrame, score: str = "score") -> DataFrame:
 
 def split_panel(panel: DataFrame, folds: int, percent: int = 20, score: str = "score") -> DataFrame:
     """Complete rows with ``part``: -1 for the test rows, else the fold, by a hash of country and year."""
-    slot = F.pmod(F.xxhash64("Country", "Year"), F.lit(100 * folds))
-    part = F.when(slot % 100 < percent, F.lit(-1)).otherwise(F.call_function("div", slot, F.lit(100)))
-    return model_rows(panel, score).withColumn("part", part.cast("int"))
+    return model_rows(panel, score).withColumn("part", hash_split(["Country", "Year"], folds, percent))
 
 
 def scaled_split(parts: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -15,6 +15,10 @@ MISSING_TOKENS = (
 )
 
 
+def header(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_csv(
     spark: SparkSession,
     path: str,

@@ -588,6 +588,53 @@ errors as (
 path as (select alpha, avg(mse) as mean_mse from errors group by 1)
 select {r('alpha', 10)} as alpha, {r('mean_mse', 10)} as mean_mse,
        row_number() over (order by path.mean_mse, path.alpha desc) = 1 as is_best from path""",
+    "lasso_cv_three_features": f"""
+with recursive raw as (
+  select l_discount as x1, l_quantity as x2, l_tax as x3, {PROFIT} / nullif(l_extendedprice, 0) as y, {PART} as part
+  from lineitem
+),
+train as (
+  select (x1 - avg(x1) over ()) / stddev_pop(x1) over () as x1, (x2 - avg(x2) over ()) / stddev_pop(x2) over () as x2,
+         (x3 - avg(x3) over ()) / stddev_pop(x3) over () as x3, y, part
+  from raw where part >= 0
+),
+units as (select stddev_pop(x1) as s1, stddev_pop(x2) as s2, stddev_pop(x3) as s3 from raw where part >= 0),
+grid as (
+  select top * power(10.0::double, -3.0::double * k / 99.0::double) as alpha
+  from (select greatest(abs(covar_pop(x1, y)), abs(covar_pop(x2, y)), abs(covar_pop(x3, y))) as top from train),
+       range(0, 100) as s(k)
+),
+held as (
+  select f.part as fold, covar_pop(x1, y) as c1, covar_pop(x2, y) as c2, covar_pop(x3, y) as c3, var_pop(x1) as q11,
+         var_pop(x2) as q22, var_pop(x3) as q33, covar_pop(x1, x2) as q12, covar_pop(x1, x3) as q13,
+         covar_pop(x2, x3) as q23, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, avg(y) as my
+  from (select distinct part from train union all select -1) f join train t on t.part <> f.part group by 1
+),
+cd as (
+  select 0 as k, fold, alpha, 0.0::double as w1, 0.0::double as w2, 0.0::double as w3 from held cross join grid
+  union all
+  select k + 1, fold, alpha, a1, a2,
+         sign(c3 - q13 * a1 - q23 * a2) * greatest(abs(c3 - q13 * a1 - q23 * a2) - alpha, 0.0::double) / q33
+  from (
+    select *, sign(c2 - q12 * a1 - q23 * w3) * greatest(abs(c2 - q12 * a1 - q23 * w3) - alpha, 0.0::double) / q22 as a2
+    from (
+      select cd.*, held.* exclude (fold), sign(c1 - q12 * w2 - q13 * w3)
+             * greatest(abs(c1 - q12 * w2 - q13 * w3) - alpha, 0.0::double) / q11 as a1
+      from cd join held using (fold) where k < 60
+    )
+  )
+),
+fits as (select cd.*, m1, m2, m3, my from cd join held using (fold) where k = 60),
+errors as (
+  select alpha, fold, avg(power(y - my - w1 * (x1 - m1) - w2 * (x2 - m2) - w3 * (x3 - m3), 2)) as mse
+  from fits join train on part = fold group by 1, 2
+),
+path as (select alpha, avg(mse) as mean_mse from errors group by 1),
+ranked as (select *, row_number() over (order by mean_mse, alpha desc) = 1 as best from path)
+select {r('p.alpha', 9)} as alpha, {r('mean_mse', 9)} as mean_mse, best as is_best,
+       case when best then {r('w1 / s1', 9)} end as b_discount, case when best then {r('w2 / s2', 9)} end as b_quantity,
+       case when best then {r('w3 / s3', 9)} end as b_tax
+from ranked p join fits f on f.alpha = p.alpha and f.fold = -1, units""",
     "durbin_watson": f"""
 with recursive obs as (
   select row_number() over () as id, *, {PROFIT} / nullif(l_extendedprice, 0) as margin from lineitem
