@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gramwise.functions import distributions as dist
 from gramwise.functions.columns import bucket_above, normal_quantile
+from gramwise.operators.cache import kept
 from gramwise.operators.gram import Moments, Term, batch_gram
 from gramwise.operators.ols import OlsFit, fit_moments, with_residuals
 from gramwise.operators.order import quantiles, value_ranks
@@ -108,8 +109,7 @@ def density(df: DataFrame, column: str = "residual", points: int = 50) -> DataFr
     only the count, mean and variance of the rows within its reach.  Rows are summed once into the intervals
     between the ends of all the supports; no row meets a grid point.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull()).persist()
-    try:
+    with kept(df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())) as x:
         row = x.agg(
             F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
             F.min("x").alias("low"), F.max("x").alias("high"),
@@ -130,8 +130,6 @@ def density(df: DataFrame, column: str = "residual", points: int = 50) -> DataFr
             .agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var"))
             .collect()
         )
-    finally:
-        x.unpersist()
     index = np.array([b["bin"] for b in bins])
     bin_n, bin_mean, bin_var = (np.array([float(b[k]) for b in bins]) for k in ("n", "mean", "var"))
     position = {c: i for i, c in enumerate(cuts)}
@@ -165,8 +163,7 @@ def normal_scores(df: DataFrame, column: str) -> dict:
 
     Equal values share the score of their mean rank, so one row per distinct value is enough.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull()).persist()
-    try:
+    with kept(df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())) as x:
         head = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).first()
         n, mean = head["n"], head["mean"]
         if n < 4:
@@ -187,8 +184,6 @@ def normal_scores(df: DataFrame, column: str) -> dict:
             F.sum(count * m).alias("m"), F.sum(count * m * m).alias("mm"), F.sum(count * m * d).alias("md"),
             *ends.values(),
         ).first()
-    finally:
-        x.unpersist()
     return {
         "n": n, "spread": head["var"] * n, "m": row["m"], "mm": row["mm"], "md": row["md"],
         "ends": [tuple(row[f"end{rank}"]) for rank in ends],

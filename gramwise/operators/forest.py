@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -12,6 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gramwise.operators.cache import kept
 from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
@@ -20,6 +22,8 @@ FULL_TREES = (100, 500, 1000)
 FULL_SUBSETS = ("sqrt", "log2")
 
 COPIES_PER_PIECE = 10_000
+ROWS_PER_PARTITION = 100_000
+MAX_PARTITIONS = 20_000
 
 
 @dataclass(frozen=True)
@@ -50,17 +54,18 @@ def _placed(rows: DataFrame) -> DataFrame:
     """The same rows, in partitions that depend on their content only.
 
     Copies are counted before they are sent and written out again in pieces that land in different partitions,
-    so a row that occurs very often does not fill one of them.
+    so a row that occurs very often does not fill one of them.  The number of partitions follows the rows alone.
     """
     columns = rows.columns
     last = F.col("__copies") - 1
     pieces = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", last, F.lit(COPIES_PER_PIECE)))
     size = F.least(F.lit(COPIES_PER_PIECE), F.col("__copies") - F.col("__piece") * COPIES_PER_PIECE)
+    parts = min(MAX_PARTITIONS, math.ceil(rows.count() / ROWS_PER_PARTITION)) or 1
     return (
         rows.groupBy(*columns)
         .agg(F.count("*").alias("__copies"))
         .withColumn("__piece", F.explode(pieces))
-        .repartition(*columns, "__piece")
+        .repartition(parts, *columns, "__piece")
         .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size)))
         .select(*columns)
     )
@@ -91,26 +96,23 @@ def forest_cv(
         *[F.col(c).cast("double").alias(c) for c in features if c not in order],
     )
     placed = _assembled(_placed(rows).sortWithinPartitions(*order, "__label"), features)
-    placed = placed.select("__fold", "__label", "__features").persist()
-    try:
-        forest = RandomForestRegressor(
-            featuresCol="__features", labelCol="__label", maxDepth=depth, maxBins=bins, seed=seed
-        )
-        grid = ParamGridBuilder().addGrid(forest.numTrees, list(trees)).addGrid(
-            forest.featureSubsetStrategy, list(subsets)
-        ).build()
-        search = CrossValidator(
-            estimator=forest,
-            estimatorParamMaps=grid,
-            evaluator=RegressionEvaluator(labelCol="__label", metricName="mse"),
-            numFolds=folds,
-            foldCol="__fold",
-            parallelism=parallelism,
-        ).fit(placed)
-    finally:
-        placed.unpersist()
+    forest = RandomForestRegressor(
+        featuresCol="__features", labelCol="__label", maxDepth=depth, maxBins=bins, seed=seed
+    )
+    builder = ParamGridBuilder().addGrid(forest.numTrees, list(trees))
+    grid = builder.addGrid(forest.featureSubsetStrategy, list(subsets)).build()
+    search = CrossValidator(
+        estimator=forest,
+        estimatorParamMaps=grid,
+        evaluator=RegressionEvaluator(labelCol="__label", metricName="mse"),
+        numFolds=folds,
+        foldCol="__fold",
+        parallelism=parallelism,
+    )
+    with kept(placed.select("__fold", "__label", "__features")) as train:
+        found = search.fit(train)
     scored = tuple(
         (g[forest.numTrees], g[forest.featureSubsetStrategy], float(m))
-        for g, m in zip(grid, search.avgMetrics, strict=True)
+        for g, m in zip(grid, found.avgMetrics, strict=True)
     )
-    return ForestCv(search.bestModel, tuple(features), scored)
+    return ForestCv(found.bestModel, tuple(features), scored)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramwise.operators.cache import kept
 from gramwise.operators.prepare import complete_cases
 
 MAX_ENTRIES = 10_000_000  # numbers the driver may gather: groups * p * p
@@ -215,8 +216,7 @@ def batch_gram(
 
 def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]) -> GramTable:
     p = len(numeric)
-    cells = rows.groupBy("__group", *categorical).agg(*_cell_aggregates(numeric)).persist()
-    try:
+    with kept(rows.groupBy("__group", *categorical).agg(*_cell_aggregates(numeric))) as cells:
         keys = ["__group", *categorical]
         head = cells.agg(
             F.sum("__n").alias("n"),
@@ -239,8 +239,6 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
         sets += [["__group", c] for c in categorical]
         sets += [["__group", a, b] for a, b in combinations(categorical, 2)]
         margins = cells.groupingSets(sets, "__group", *categorical).agg(*sums).toArrow().to_pandas()
-    finally:
-        cells.unpersist()
 
     present = {c: margins[c].notna() for c in categorical}
     found = {c: sorted(margins.loc[present[c], c].unique()) for c in categorical}

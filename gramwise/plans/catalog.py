@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import parse_date, quarter_label, ratio, round_half_even
 from gramwise.operators import diagnose, features, order, scenario, summary
+from gramwise.operators.cache import kept
 from gramwise.operators.gram import Term, gram_table
 from gramwise.operators.lasso import lasso, lasso_cv
 from gramwise.operators.ols import fit_moments, mean_vif, ols, vif, with_residuals
@@ -47,16 +47,6 @@ def rounded(df: DataFrame, default: int = 6, **digits: int) -> DataFrame:
     )
 
 
-@contextmanager
-def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """Keep a table that several jobs read; for results that are complete when the block ends."""
-    df.persist()
-    try:
-        yield df
-    finally:
-        df.unpersist()
-
-
 # ---------------------------------------------------------------- discount what-if
 
 
@@ -403,7 +393,7 @@ def panel_lasso(spark: SparkSession, sf: str) -> DataFrame:
 
 def _forest(spark: SparkSession, sf: str):
     panel = _panel(spark, sf)
-    parts = pl.split_panel(panel, 3).persist()
+    parts = pl.split_panel(panel, 3)
     columns = pl.model_columns(panel)
     return pl.panel_forest(parts, columns, 3, trees=(5, 10)), parts, columns
 

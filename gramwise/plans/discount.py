@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramwise.functions.columns import log_positive, parse_date, quarter_label, ratio
+from gramwise.functions.columns import log_positive, parse_date, quarter_label, ratio, round_half_even
 from gramwise.operators.gram import GramTable, Term, gram_table
 from gramwise.operators.lasso import LassoCv, lasso_cv
 from gramwise.operators.ols import LinearModel, OlsFit, elasticity, fit_moments, holdout_metrics
@@ -95,6 +95,10 @@ class DiscountStudy:
     ) -> DataFrame:
         return cap_sweep(lines, caps or cap_grid(), model, self.elasticity_value(), mode=mode)
 
+    def report(self, lines: DataFrame, model: LinearModel, mode: str = "level") -> DataFrame:
+        """The sweep as it is written to a file: six columns, rounded to two digits."""
+        return round_half_even(self.sweep(lines, model, mode=mode).drop("n_null"), 2)
+
     def best(self, lines: DataFrame, model: LinearModel, mode: str = "level") -> DataFrame:
         return best_cap(self.sweep(lines, model, mode=mode))
 

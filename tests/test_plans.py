@@ -84,9 +84,10 @@ def test_discount_study(spark, retail, tmp_path):
     curve = study.curve(lines, lasso.model).where("is_max").collect()
     assert [r["discount_cap"] for r in curve] == [best["discount_cap"]]
 
-    write_csv(study.sweep(lines, lasso.model).drop("n_null"), str(tmp_path / "sweep"), single_file=True)
-    back = read_csv(spark, str(tmp_path / "sweep"), {"discount_cap": "double", "profit_change_$": "double"})
-    assert back.count() == 81
+    write_csv(study.report(lines, lasso.model), str(tmp_path / "sweep"), single_file=True)
+    back = read_csv(spark, str(tmp_path / "sweep"), {"discount_cap": "double", "profit_change_$": "double"}).toPandas()
+    np.testing.assert_allclose(back.discount_cap, sweep.discount_cap)
+    np.testing.assert_allclose(back["profit_change_$"], sweep["profit_change_$"], atol=0.00501)
 
 
 def test_panel_study(spark, tmp_path):
