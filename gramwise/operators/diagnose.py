@@ -109,7 +109,7 @@ def density(df: DataFrame, column: str = "residual", points: int = 50) -> DataFr
     only the count, mean and variance of the rows within its reach.  Rows are summed once into the intervals
     between the ends of all the supports; no row meets a grid point.
     """
-    with kept(df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())) as x:
+    with kept(complete_cases(df.select(F.col(column).cast("double").alias("x")))) as x:
         row = x.agg(
             F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"),
             F.min("x").alias("low"), F.max("x").alias("high"),
@@ -163,7 +163,7 @@ def normal_scores(df: DataFrame, column: str) -> dict:
 
     Equal values share the score of their mean rank, so one row per distinct value is enough.
     """
-    with kept(df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())) as x:
+    with kept(complete_cases(df.select(F.col(column).cast("double").alias("x")))) as x:
         head = x.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("var")).first()
         n, mean = head["n"], head["mean"]
         if n < 4:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import indicator
+from gramwise.operators.prepare import nan_to_null
 from gramwise.operators.summary import categories
 
 MAX_LEVELS = 10_000
@@ -81,7 +82,7 @@ class Scaler:
     @classmethod
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> Scaler:
         stats = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
-        row = df.agg(*stats).first()
+        row = nan_to_null(df.select(*columns)).agg(*stats).first()
         if any(row[f"mean_{c}"] is None for c in columns):
             raise ValueError("cannot scale columns without values")
         return cls({c: row[f"mean_{c}"] for c in columns}, {c: row[f"sd_{c}"] or 1.0 for c in columns})

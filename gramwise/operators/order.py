@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import bucket_above
+from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
 ROWS_PER_BIN = 1_000_000
@@ -37,7 +38,7 @@ def _subdivide(low: float, high: float, pieces: int) -> set[float]:
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    return complete_cases(df.select(F.col(column).cast("double").alias("x")))
 
 
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int = 2048) -> dict[int, float]:
@@ -156,13 +157,9 @@ def durbin_watson(
     follows the number of rows, which ``rows`` gives if it is known.
     """
     _check_names(order_by, column)
-    total = df.where(F.col(column).isNotNull()).count() if rows is None else rows
-    combined = (
-        df.select(*order_by, F.col(column).cast("double").alias("__e"))
-        .where(F.col("__e").isNotNull())
-        .groupBy(*order_by, "__e")
-        .agg(F.count("*").cast("double").alias("__n"))
-    )
+    present = complete_cases(df.select(*order_by, F.col(column).cast("double").alias("__e")), ["__e"])
+    total = present.count() if rows is None else rows
+    combined = present.groupBy(*order_by, "__e").agg(F.count("*").cast("double").alias("__n"))
     keys = [*[F.col(k).asc_nulls_last() for k in order_by], F.col("__e").asc()]
     ranges = min(MAX_RANGES, max(1, math.ceil(total / rows_per_range)))
     sorted_rows = combined.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("__e", "__n")

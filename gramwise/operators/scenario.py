@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gramwise.functions.columns import bucket_above, cap_above, change, first_max, percent_change
 from gramwise.operators.gram import Term
 from gramwise.operators.ols import LinearModel
+from gramwise.operators.prepare import nan_to_null
 from gramwise.operators.report import small_frame
 
 MAX_CAPS = 100_000
@@ -76,11 +77,13 @@ def cap_sweep(
         raise ValueError(f"between 1 and {MAX_CAPS} caps")
     slope = sum(float(b) for t, b in zip(margin.terms, margin.coef, strict=True) if t.column == discount)
     s, d, m = F.col("s"), F.col("d"), F.col("m")
-    rows = df.select(
-        F.col(sales).cast("double").alias("s"),
-        F.col(discount).cast("double").alias("d"),
-        margin.predict({discount: F.lit(0.0)}).alias("m"),
-        F.col(profit).cast("double").alias("actual"),
+    rows = nan_to_null(
+        df.select(
+            F.col(sales).cast("double").alias("s"),
+            F.col(discount).cast("double").alias("d"),
+            margin.predict({discount: F.lit(0.0)}).alias("m"),
+            F.col(profit).cast("double").alias("actual"),
+        )
     )
     usable = s.isNotNull() & d.isNotNull() & m.isNotNull()
     buckets = (

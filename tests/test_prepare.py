@@ -60,7 +60,7 @@ def test_many_columns_plan_quickly(spark):
 
 
 def test_summary_counts_per_variable(spark):
-    df = spark.createDataFrame([(1.0, 4), (2.0, None), (None, 6)], "x double, y int")
+    df = spark.createDataFrame([(1.0, 4), (2.0, None), (None, 6), (float("nan"), None)], "x double, y int")
     rows = {r["variable"]: r for r in summary.summarize(df, ["x", "y"]).collect()}
     assert rows["x"]["obs"] == 2 and rows["x"]["sd"] == pytest.approx(0.5**0.5)
     assert rows["y"]["min"] == 4.0 and rows["y"]["max"] == 6.0

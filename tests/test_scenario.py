@@ -83,6 +83,15 @@ def test_rows_without_inputs_are_counted(spark):
     assert rows[1]["sales_change_%"] == pytest.approx(100 * (100 - 150) / 150)
 
 
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    rows = [(100.0, 0.1, 10.0), (50.0, nan, 5.0), (nan, 0.1, 2.0), (30.0, 0.0, nan)]
+    df = spark.createDataFrame(rows, "sales double, discount double, profit double")
+    row = cap_sweep(df, [0.2], constant_margin(-1.0, 0.5), -0.5).first()
+    assert row["n_null"] == 2 and row["total_sales"] == pytest.approx(130.0)
+    assert row["profit_change_$"] == pytest.approx(100 * 0.4 + 30 * 0.5 - 17)
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "sales double, discount double, profit double")
     rows = cap_sweep(empty, [0.0, 0.1], constant_margin(-1.0, 0.5), -0.5).collect()
