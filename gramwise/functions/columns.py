@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from itertools import chain
 
 from pyspark.ml.feature import Bucketizer
@@ -76,9 +76,22 @@ def first_max(value: Column, at: Column) -> Column:
     return F.max_by(F.struct(at.alias("at"), value.alias("value")), F.struct(value, -at))
 
 
+NULL_LEVEL = "nan"  # the name of the category of missing values
+
+
+def level(category: Column) -> Column:
+    """The category as text; missing values form a category of their own."""
+    return F.coalesce(category.cast("string"), F.lit(NULL_LEVEL))
+
+
+def in_level_order(values: Iterable[str]) -> list[str]:
+    """Sorted, with the category of missing values at the end."""
+    return sorted(values, key=lambda v: (v == NULL_LEVEL, v))
+
+
 def indicator(category: Column, value: str) -> Column:
-    """1.0 where the category equals the value, else 0.0 (null included)."""
-    return F.coalesce((category == F.lit(value)).cast("double"), F.lit(0.0))
+    """1.0 where the category equals the value, else 0.0."""
+    return (level(category) == F.lit(value)).cast("double")
 
 
 def bucket_above(df: DataFrame, column: str, cuts: Sequence[float], out: str) -> DataFrame:

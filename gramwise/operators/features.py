@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramwise.functions.columns import indicator
+from gramwise.functions.columns import NULL_LEVEL, in_level_order, indicator
 from gramwise.operators.prepare import nan_to_null
 from gramwise.operators.summary import categories
 
@@ -50,13 +50,13 @@ def hash_split(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
 
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted categories per column.  Gathers at most ``MAX_LEVELS`` and refuses beyond that."""
-    found = categories(df, columns).where(F.col("category").isNotNull()).limit(MAX_LEVELS + 1).collect()
+    found = categories(df, columns).limit(MAX_LEVELS + 1).collect()
     if len(found) > MAX_LEVELS:
         raise ValueError(f"more than {MAX_LEVELS} categories in {', '.join(columns)}")
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in found:
-        levels[row["variable"]].append(row["category"])
-    return {c: sorted(values) for c, values in levels.items()}
+        levels[row["variable"]].append(NULL_LEVEL if row["category"] is None else row["category"])
+    return {c: in_level_order(values) for c, values in levels.items()}
 
 
 def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:

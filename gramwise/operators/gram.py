@@ -21,14 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gramwise.functions.columns import in_level_order, level
 from gramwise.operators.cache import kept
 from gramwise.operators.prepare import complete_cases
 
 MAX_ENTRIES = 10_000_000  # numbers the driver may gather: groups * p * p
 WIDE = 16  # numeric columns from which the batch product beats one aggregate per pair
 
-NULL_LEVEL = "nan"
-
 
 @dataclass(frozen=True, order=True)
 class Term:
@@ -82,7 +81,7 @@ class GramTable:
         chosen = list(self.groups) if groups is None else [g for g in groups if g in self.groups]
         total = sum(self.groups[g] for g in chosen)
         found = [t.value for i, t in enumerate(self.terms, 1) if t.column == column and total[i, i] > 0]
-        return sorted(found, key=lambda v: (v == NULL_LEVEL, v))
+        return in_level_order(found)
 
     def dummies(self, columns: Sequence[str], groups: Iterable[int] | None = None) -> list[Term]:
         """Indicators of every category but the first, by column."""
@@ -100,7 +99,7 @@ def gram_table(
     rows = df.select(
         group.cast("int").alias("__group"),
         *[F.col(c).cast("double").alias(c) for c in numeric],
-        *[F.coalesce(F.col(c).cast("string"), F.lit(NULL_LEVEL)).alias(c) for c in categorical],
+        *[level(F.col(c)).alias(c) for c in categorical],
     )
     rows = complete_cases(rows, numeric)
     if categorical:

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramwise.functions import distributions as dist
-from gramwise.operators.gram import NULL_LEVEL, GramTable, Moments, Term, gram_table
+from gramwise.functions.columns import level
+from gramwise.operators.gram import GramTable, Moments, Term, gram_table
 from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
@@ -45,8 +46,7 @@ class LinearModel:
                 by_column.setdefault(term.column, {})[term.value] = float(b)
         for column, weights in by_column.items():
             lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(weights.items())])
-            category = F.coalesce(F.col(column).cast("string"), F.lit(NULL_LEVEL))
-            value = value + F.coalesce(lookup[category], F.lit(0.0))
+            value = value + F.coalesce(lookup[level(F.col(column))], F.lit(0.0))
         return value
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -103,7 +103,7 @@ class OlsFit:
     def s2(self) -> float:
         return self.rss / self.df_resid if self.df_resid > 0 else math.nan
 
-    def coefficients(self, spark: SparkSession, level: float = 0.95) -> DataFrame:
+    def coefficients(self, spark: SparkSession, confidence: float = 0.95) -> DataFrame:
         """One row per term: estimate, standard error, t, p and confidence bounds.
 
         Under collinearity the estimates are the smallest-norm solution and the inference columns are null.
@@ -114,7 +114,7 @@ class OlsFit:
             names, estimates = ["_cons", *names], [self.model.intercept, *estimates]
         rows = []
         usable = self.variance is not None and self.df_resid > 0
-        reach = dist.t_quantile(0.5 + level / 2.0, self.df_resid) if usable else math.nan
+        reach = dist.t_quantile(0.5 + confidence / 2.0, self.df_resid) if usable else math.nan
         for i, (name, b) in enumerate(zip(names, estimates, strict=True)):
             if not usable:
                 rows.append((name, b, None, None, None, None, None))

@@ -91,6 +91,13 @@ def test_one_hot_drops_the_first_and_ignores_unknown(spark):
     assert [tuple(r)[1:] for r in coded.collect()] == [(0, 0), (1, 0), (0, 0), (0, 0)]
 
 
+def test_missing_category_comes_last_in_one_hot(spark):
+    train = spark.createDataFrame([("z",), (None,), ("a",)], "g string")
+    levels = features.vocabulary(train, ["g"])
+    assert levels == {"g": ["a", "z", "nan"]}
+    assert [tuple(r)[1:] for r in features.one_hot(train, levels).collect()] == [(1, 0), (0, 1), (0, 0)]
+
+
 def test_scaler_uses_the_population_deviation_of_the_training_rows(spark):
     train = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, constant double")
     scaler = features.Scaler.fit(train, ["x", "constant"])
