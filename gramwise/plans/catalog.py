@@ -260,6 +260,13 @@ def lasso_all_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(model.table(spark), default=8)
 
 
+@register
+def lasso_nonzero(spark: SparkSession, sf: str) -> DataFrame:
+    """The variables that the penalty leaves, by the size of their coefficients."""
+    coefficients = lasso_all_features(spark, sf)
+    return by_magnitude(coefficients.where((F.col("estimate") != 0) & (F.col("term") != "_cons")), "estimate", "term")
+
+
 @register
 def lasso_three_features(spark: SparkSession, sf: str) -> DataFrame:
     """Standardised regressors, one of which the penalty removes."""
@@ -384,6 +391,14 @@ def ols_origin_summary(spark: SparkSession, sf: str) -> DataFrame:
     return statistics_frame(spark, {**fit.statistics(), **shape, "durbin_watson": watson})
 
 
+@register
+def durbin_watson_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Residuals of the one-year regression in country order."""
+    panel = _panel(spark, sf).where(F.col("Year") == ONE_YEAR)
+    fit = pl.one_year_ols(panel, ONE_YEAR)
+    return rounded(order.durbin_watson(with_residuals(panel, fit), "residual", ["Country"], rows=int(fit.n)))
+
+
 @register
 def panel_lasso(spark: SparkSession, sf: str) -> DataFrame:
     parts = pl.split_panel(_panel(spark, sf), PANEL_FOLDS)

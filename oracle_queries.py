@@ -829,3 +829,12 @@ with sample as (select l_quantity as x from lineitem),
 select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z from ordered""",
     "im_test": im_sql(),
 }
+ORACLES["lasso_nonzero"] = f"select * from ({ORACLES['lasso_all_features']}) where estimate <> 0 and term <> '_cons'"
+ORACLES["durbin_watson_panel"] = f"""
+with recursive {origin_fit()},
+res as (
+  select one_year.*, score - yhat as e
+  from one_year join (select id, sum(v * estimate) as yhat from long join fit_coef using (term) group by id) using (id)
+)
+select {r('sum(step * step) / sum(e * e)')} as durbin_watson
+from (select e, e - lag(e) over (order by "Country", e) as step from res)"""
