@@ -17,7 +17,7 @@ from gramwise.operators.report import small_frame
 
 ROWS_PER_BIN = 1_000_000
 MAX_BINS = 2_000
-ROWS_PER_RANGE = 2_000_000
+ROWS_PER_RANGE = 100_000
 MAX_RANGES = 50_000
 
 
