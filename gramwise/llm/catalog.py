@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gramwise.llm import ngram_join
+from gramwise.llm import language, ngram_join, packing
 
 QUERIES = {
+    "op3_language": language.op3_language,
+    "op5_packing": packing.op5_packing,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 
