@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gramwise.llm import language, ngram_join, packing
+from gramwise.llm import language, ngram_join, packing, ppm
 
 QUERIES = {
+    "op1_ppm": ppm.op1_ppm,
     "op3_language": language.op3_language,
     "op5_packing": packing.op5_packing,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
