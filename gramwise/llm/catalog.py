@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from gramwise.llm import language, ngram_join, packing, ppm
+from gramwise.llm import language, ngram_join, packing, ppm, secrets, warc
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
+    "op2_warc": warc.op2_warc,
     "op3_language": language.op3_language,
     "op5_packing": packing.op5_packing,
+    "op6_secrets": secrets.op6_secrets,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 
 ORACLES = {
+    "op2_warc": warc.ORACLE,
     "op10_ngram_jaccard": ngram_join.ORACLE,
 }
