@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gramwise.llm import language, ngram_join, packing, ppm, secrets, warc
+from gramwise.llm import language, minhash, ngram_join, packing, ppm, secrets, suffix_dedup, warc
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op5_packing": packing.op5_packing,
     "op6_secrets": secrets.op6_secrets,
+    "op7_minhash": minhash.op7_minhash,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 

@@ -150,3 +150,22 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int = SHINGLE_W
 def is_held_out(id_column: str, modulus: int, remainder: int) -> F.Column:
     """Whether crc32 of the id as text has the given remainder; a null id never has."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+#: Bits of a key filter: its size does not depend on the keys.
+FILTER_BITS = 1 << 24
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit set of fixed size with all values of a bigint column, which must be hashes; other values may pass too."""
+    slot = F.shiftright(F.pmod(column, F.lit(FILTER_BITS)), 6).cast("int")
+    bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
+    rows = keys.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["slot"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys % FILTER_BITS
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
