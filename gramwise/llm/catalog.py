@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gramwise.llm import language, minhash, ngram_join, packing, ppm, secrets, suffix_dedup, warc
+from gramwise.llm import decontaminate, language, minhash, ngram_join, packing, ppm, secrets, suffix_dedup, warc
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_minhash": minhash.op7_minhash,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_ngram_jaccard": ngram_join.op10_ngram_jaccard,
 }
 

@@ -104,11 +104,11 @@ def run_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * powers(_BASE_INVERSE, len(sums))[start])
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words between ASCII white space, and for each document the number of its first word."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words between separators (ASCII white space), and for each document the number of its first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~separator[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     start = inside.copy()
