@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gramwise.llm import decontaminate, language, minhash, ngram_join, packing, ppm, secrets, suffix_dedup, warc
+from gramwise.llm import decontaminate, language, minhash, ngram_join, packing, pii, ppm, secrets, suffix_dedup, warc
 
 QUERIES = {
     "op1_ppm": ppm.op1_ppm,
     "op2_warc": warc.op2_warc,
     "op3_language": language.op3_language,
+    "op4_pii": pii.op4_pii,
     "op5_packing": packing.op5_packing,
     "op6_secrets": secrets.op6_secrets,
     "op7_minhash": minhash.op7_minhash,
