@@ -13,6 +13,7 @@ reported; a null id is reported as null; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -222,15 +223,40 @@ def leaked(docs: DataFrame, items: DataFrame, edits: float = EDITS, recall: floa
     ``docs(doc_id, text)``, ``items(item_id, text)``.  Items go to the executors in blocks of bounded size, one pass over
     the documents each; offsets are bytes of the item-sized window.
     """
+    out = None
+    for block in _blocks(items, edits, recall, block_items):
+        found = _searched(docs, block)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, recall: float = 0.99, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs(text, ...)`` in which no item is found."""
+
+    def kept(batches):
+        known = Items(**shared.value)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            clean = np.ones(batch.num_rows, bool)
+            for low, high in pieces(offsets):
+                words, _, _, first = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+                clean[low + known.leaks(words, first)[0]] = False
+            yield batch.filter(pa.array(clean))
+
+    for block in _blocks(items, edits, recall, block_items):
+        shared = docs.sparkSession.sparkContext.broadcast(vars(block))
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs
+
+
+def _blocks(items: DataFrame, edits: float, recall: float, block_items: int) -> Iterator[Items]:
+    """All items, a bounded number of them at a time."""
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["n"] // block_items), -(-size["bytes"] // BLOCK_BYTES))
-    out = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         rows = part.select("item_id", "text").orderBy("item_id", "text").collect()
-        found = _searched(docs, Items.of([r["item_id"] for r in rows], [r["text"] for r in rows], edits, recall))
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield Items.of([r["item_id"] for r in rows], [r["text"] for r in rows], edits, recall)
 
 
 def _searched(docs: DataFrame, items: Items) -> DataFrame:

@@ -103,7 +103,7 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 1_000) -> list[flo
     random = matches.select(F.when(F.col("kind") == 0, _value(F.col("value"))).otherwise(F.col("value")).alias("value"))
     random = random.filter(F.length("value") >= LEAST_RUN)
     few = drawn.filter(draw < words / max(rows, 1)).select("base", _pieces(F.col("clean"), _RUN + "{4,}+").alias("cut"))
-    ordinary = few.select(F.explode(_outside(_spans_of_words(F.col("cut")), F.col("base"))).alias("x")).select("x.value")
+    ordinary = few.select(F.explode(_outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base"))).alias("x")).select("x.value")
     counts = _pairs(random, "random").unionByName(_pairs(ordinary, "ordinary")).collect()
     tables = {label: [0.5] * _STATES**2 for label in ("random", "ordinary")}
     for row in counts:
@@ -118,29 +118,41 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 1_000) -> list[flo
     return [x - y for x, y in zip(tables["random"], tables["ordinary"], strict=True)]
 
 
-def _spans_of_words(pieces: Column) -> Column:
-    return _spans(pieces, len(PATTERNS))
-
-
 def scan(docs: DataFrame, ratios: list[float] | None, least: float = 0.5) -> DataFrame:
-    """``doc_id, base, found``: spans of the patterns, and all spans; ``docs(doc_id, clean)``.
+    """The rows of ``docs(clean, ...)`` with ``base``, spans of the patterns, and ``found``, all spans.
 
     ``least`` is the log-likelihood ratio per character, in natural logarithms, from which a run counts as random.
     """
     rows = _base(docs)
+    kept = rows.columns
     if ratios is None:
-        return rows.select("doc_id", "base", F.col("base").alias("found"))
-    table_ = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+        return rows.withColumn("found", F.col("base"))
+    ratio = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
 
     def likely(x: Column) -> Column:
         codes = F.transform(F.split(x["value"], ""), lambda c: F.instr(F.lit(ALPHABET), c))
-        pairs = F.transform(F.arrays_zip(codes.alias("b"), F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.length(x["value"]) - 1)).alias("a")), lambda p: p["a"] * _STATES + p["b"])
-        return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(table_, p)) >= least * F.length(x["value"])
+        before = F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.length(x["value"]) - 1))
+        pairs = F.transform(F.arrays_zip(before.alias("a"), codes.alias("b")), lambda p: p["a"] * _STATES + p["b"])
+        return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(ratio, p)) >= least * F.length(x["value"])
+
+    cut = rows.select(*kept, _pieces(F.col("clean"), f"{_RUN}{{{LEAST_RUN},}}+").alias("cut"))
+    runs = cut.select(*kept, _outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base")).alias("runs"))
+    added = runs.select(*kept, F.filter("runs", likely).alias("added"))
+    return added.select(*kept, F.array_sort(F.concat("base", "added")).alias("found"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each run of overlapping spans replaced by a mark; ``spans`` in order."""
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(mark))
+        return F.struct(
+            F.greatest(state["at"], x["stop"]).alias("at"), F.when(x["start"] >= state["at"], gap).otherwise(state["out"]).alias("out")
+        )
 
-    cut = rows.select("doc_id", "base", _pieces(F.col("clean"), f"{_RUN}{{{LEAST_RUN},}}+").alias("cut"))
-    runs = cut.select("doc_id", "base", _outside(_spans_of_words(F.col("cut")), F.col("base")).alias("runs"))
-    added = runs.select("doc_id", "base", F.filter("runs", likely).alias("added"))
-    return added.select("doc_id", "base", F.array_sort(F.concat("base", "added")).alias("found"))
+    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
+    whole = F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def _text(spans: Column) -> Column:
@@ -152,13 +164,14 @@ def _number(spans: Column, kind: int) -> Column:
     return F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("bigint")
 
 
-def prepared(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    return docs.select("doc_id", _clean(F.col(text_column)).alias("clean"))
+def prepared(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns, and ``clean``: the text to be scanned."""
+    return docs.select(*columns, _clean(F.col("text")).alias("clean"))
 
 
 def secrets(docs: DataFrame) -> DataFrame:
     """Digest columns of the secrets of ``docs(doc_id, text)``."""
-    clean = prepared(docs)
+    clean = prepared(docs, "doc_id")
     found = scan(clean, train(clean))
     number = [_number(F.col("base"), k).alias(f"n_{name}") for k, name in enumerate(PATTERNS)]
     return found.select("doc_id", *number, F.sha2(_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), _text(F.col("found")).alias("spans"))
