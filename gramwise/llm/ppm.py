@@ -31,6 +31,8 @@ FRAME = 0xFF
 WORDS, GRAMS = 0, 1
 #: Escape estimation: what each distinct byte of a context gives up of its count.
 DISCOUNT = 0.5
+#: Bytes of text scored at once, beside the trie.
+SCORED_BYTES = 1 << 18
 
 
 def framed(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ def _counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
                 words.add(run_hashes(prefix_hashes(part), starts, ends))
                 found.add(grams(*framed(part, bounds, order), np.diff(bounds), order))
                 for tally, kind, by in ((words, WORDS, by_word), (found, GRAMS, by_gram)):
-                    if len(tally.keys) > 1 << 21:
+                    if len(tally.keys) > 1 << 20:
                         yield from tally.blocks(kind, by)
         yield from words.blocks(WORDS, by_word)
         yield from found.blocks(GRAMS, by_gram)
@@ -139,7 +141,7 @@ def _step(counts: np.ndarray) -> np.ndarray:
 
 def hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Open addressing: slots with keys and, in them, the position of the key; empty slots hold -1."""
-    size = 1 << max(4, int(2 * len(keys)).bit_length())
+    size = 1 << max(4, (3 * len(keys) // 2).bit_length())
     slot_key, slot_at = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
     left = np.arange(len(keys))
     slot = (mix(keys) & np.uint64(size - 1)).astype(np.int64)
@@ -249,7 +251,7 @@ class ByteModel:
         return out
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 << 21, words: int = 1 << 16, parts: int = 256) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 << 20, words: int = 1 << 16, parts: int = 256) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``n_tokens, n_known, train_tokens, base_score, score``, learned from ``training(text)``.
 
     ``nodes`` and ``words`` bound what travels to executors; rarer words are joined, so the base score is exact.
@@ -279,7 +281,7 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 <
         known = ByteModel(*fields)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for low, high in pieces(offsets):
+            for low, high in pieces(offsets, SCORED_BYTES):
                 part, bounds = _LOWER[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
                 yield scored(batch.slice(low, high - low), part, bounds, known, word_slots, word_log)
 
