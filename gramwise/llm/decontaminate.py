@@ -131,7 +131,7 @@ class Items:
         for k, shares in enumerate(self.samples):
             steps = (shares[None] * (3 * sizes)[:, None, None]).astype(np.int64)
             path = walk(rows, sizes, k)
-            out[:, k] = np.take_along_axis(path, steps.reshape(len(rows), -1), 1).reshape(steps.shape)
+            out[:, k] = np.take_along_axis(path, steps.reshape(len(rows), shares.size), 1).reshape(steps.shape)
         return out
 
     def repetitions(self, item: np.ndarray, rows: np.ndarray) -> np.ndarray:

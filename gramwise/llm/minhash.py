@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gramwise.llm.common import SHINGLE_WORDS, shingle_hashes, table, text_bytes, written
+from gramwise.llm.graph import components
 
 PERMUTATIONS = 64
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -151,14 +152,9 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
 # --- near duplicates ----------------------------------------------------------------------------------------------
 
 
-def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 16, permutations: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, class_id`` for every document and, by ``class_id``, its links: pairs ``a, b, jaccard`` of classes.
-
-    Documents with equal fingerprints form a class, named by its smallest id.  In each band every class is joined with the
-    smallest class that has the same values, so a band shared by very many classes gives as many rows as it has classes.
-    """
+def _sets(docs: DataFrame, bands: int, permutations: int, words: int) -> DataFrame:
+    """For each document with shingles its fingerprint, a key for each band of it, and its set."""
     per = permutations // bands
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
 
     def describe(batches):
         for batch in batches:
@@ -166,41 +162,76 @@ def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 16, permut
                 part = batch.slice(low, 256)
                 data, offsets = text_bytes(part.column("text"))
                 sets = [np.unique(x) for x in shingle_hashes(data, offsets, words)]
-                values = [signature(x, permutations) for x in sets]
-                keys = [[hashlib.blake2b(bytes([b]) + v[b * per : (b + 1) * per].tobytes(), digest_size=8).digest() for b in range(bands)] for v in values]
                 keep = [i for i, x in enumerate(sets) if len(x)]
+                values = {i: signature(sets[i], permutations) for i in keep}
+                keys = [[hashlib.blake2b(bytes([b]) + values[i][b * per : (b + 1) * per].tobytes(), digest_size=8).digest() for b in range(bands)] for i in keep]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id").take(pa.array(keep, pa.int64())),
                         "fingerprint": pa.array([values[i].tobytes() for i in keep], pa.binary()),
-                        "bands": pa.array([keys[i] for i in keep], pa.list_(pa.binary())),
+                        "bands": pa.array(keys, pa.list_(pa.binary())),
                         "tokens": pa.array([sets[i].tobytes() for i in keep], pa.binary()),
                     }
                 )
 
-    rows = written(docs.mapInArrow(describe, "doc_id bigint, fingerprint binary, bands array<binary>, tokens binary"), "fingerprints")
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    first = rows.join(classes, "fingerprint").filter("doc_id = class_id")
-    postings = first.select("class_id", F.explode("bands").alias("band"))
-    leaders = postings.groupBy("band").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = postings.join(leaders, "band").filter("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
-    sets = first.select("class_id", "tokens")
+    return written(docs.mapInArrow(describe, "doc_id bigint, fingerprint binary, bands array<binary>, tokens binary"), "fingerprints")
+
+
+def _verified(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` of classes with the similarity of their sets, where it is high enough."""
     for side in "ab":
-        pairs = pairs.join(sets.select(F.col("class_id").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+        pairs = pairs.join(first.select(F.col("class_id").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
 
     def verify(batches):
         for batch in batches:
-            out = []
+            kept = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "tokens_a", "tokens_b")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                out.append((a, b, common / (len(x) + len(y) - common)))
-            kept = [x for x in out if x[2] >= similarity]
-            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in kept], t) for i, (c, t) in enumerate((("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())))})
+                if common >= similarity * (len(x) + len(y) - common):
+                    kept.append((a, b, common / (len(x) + len(y) - common)))
+            fields = (("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64()))
+            yield pa.RecordBatch.from_pydict({c: pa.array([x[i] for x in kept], t) for i, (c, t) in enumerate(fields)})
 
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a bigint, b bigint, jaccard double")
 
 
+def _linked(docs: DataFrame, similarity: float, bands: int, permutations: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
+    rows = _sets(docs, bands, permutations, words)
+    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
+    first = rows.join(classes, "fingerprint").filter("doc_id = class_id").dropDuplicates(["class_id"])
+    postings = written(first.select("class_id", F.explode("bands").alias("band")), "bands")
+    leaders = postings.groupBy("band").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    stars = postings.join(leaders, "band").filter("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
+    links = written(_verified(stars, first, similarity), "links")
+    # Classes of one band that the stars have not joined are compared with one another.
+    named = postings.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
+    named = named.withColumn("component", F.coalesce("component", "class_id"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
+    open_ = written(named.join(mixed, "band", "left_semi"), "open")
+    left, right = (open_.select("band", F.col("class_id").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
+    more = left.join(right, "band").filter("a < b and c_a <> c_b").select("a", "b").distinct()
+    return docs, rows.join(classes, "fingerprint").select("doc_id", "class_id"), links.unionByName(_verified(more, first, similarity))
+
+
+def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 16, permutations: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Links ``a, b, jaccard`` between classes, enough to join every two classes that share a band and are that similar.
+
+    Documents with equal fingerprints form a class, named by its smallest id.  In each band every class is compared with the
+    smallest class that has the same values, and then with those that this has not joined.
+    """
+    return _linked(docs, similarity, bands, permutations, words)[2]
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, bands: int = 16, permutations: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """``doc_id, component_id`` for every document with an id: the smallest id that links reach, its own without any."""
+    docs, members, links = _linked(docs, similarity, bands, permutations, words)
+    labels = components(links).withColumnRenamed("node", "class_id")
+    named = members.join(labels, "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("component_id")).distinct()
+    return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def op7_minhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return fingerprints(table(spark, sf_dir, "documents"))

@@ -1,7 +1,7 @@
 """Secrets in text, with DataFrame functions only: fixed patterns, and character Markov models for the rest.
 
 Two first-order models of characters are trained from labelled samples: random strings (the values that the patterns
-found) and ordinary words and identifiers (runs of the same characters that no pattern touched).  A run of at least
+found) and ordinary words and identifiers (shorter runs that no pattern touched).  A run of at least
 ``LEAST_RUN`` characters outside the patterns' spans is reported when its log-likelihood ratio per character is high enough.
 
 Defined results: null text is empty and has no spans; a null id and repeated rows are kept as they are; where either
@@ -31,6 +31,8 @@ KINDS = (*PATTERNS, RANDOM)
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 LEAST_RUN = 16
 LEAST_VALUE = 6
+#: Pairs that the frequency of single characters counts as, in the models.
+PRIOR = 10.0
 _RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]"
 _MARK = "\x01"
 _STATES = len(ALPHABET) + 1
@@ -104,17 +106,21 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 1_000) -> list[flo
     random = random.filter(F.length("value") >= LEAST_RUN)
     few = drawn.filter(draw < words / max(rows, 1)).select("base", _pieces(F.col("clean"), _RUN + "{4,}+").alias("cut"))
     ordinary = few.select(F.explode(_outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base"))).alias("x")).select("x.value")
+    # Longer runs may be what is looked for: they are no examples of either.
+    ordinary = ordinary.filter(F.length("value") < LEAST_RUN)
     counts = _pairs(random, "random").unionByName(_pairs(ordinary, "ordinary")).collect()
-    tables = {label: [0.5] * _STATES**2 for label in ("random", "ordinary")}
+    tables = {label: [0.0] * _STATES**2 for label in ("random", "ordinary")}
     for row in counts:
         tables[row["label"]][row["pair"]] += row["n"]
     if len({row["label"] for row in counts}) < 2:
         return None
     for cells in tables.values():
+        # A state seen rarely leans on how frequent the next character is anywhere.
+        single = [0.5 + sum(cells[b::_STATES]) for b in range(_STATES)]
         for a in range(_STATES):
-            total = sum(cells[a * _STATES : (a + 1) * _STATES])
-            for b in range(_STATES):
-                cells[a * _STATES + b] = math.log(cells[a * _STATES + b] / total)
+            row_ = slice(a * _STATES, (a + 1) * _STATES)
+            total = sum(cells[row_]) + PRIOR
+            cells[row_] = [math.log((n + PRIOR * x / sum(single)) / total) for n, x in zip(cells[row_], single, strict=True)]
     return [x - y for x, y in zip(tables["random"], tables["ordinary"], strict=True)]
 
 
@@ -133,7 +139,9 @@ def scan(docs: DataFrame, ratios: list[float] | None, least: float = 0.5) -> Dat
         codes = F.transform(F.split(x["value"], ""), lambda c: F.instr(F.lit(ALPHABET), c))
         before = F.concat(F.array(F.lit(0)), F.slice(codes, 1, F.length(x["value"]) - 1))
         pairs = F.transform(F.arrays_zip(before.alias("a"), codes.alias("b")), lambda p: p["a"] * _STATES + p["b"])
-        return F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(ratio, p)) >= least * F.length(x["value"])
+        total = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.get(ratio, p))
+        # Digits alone are a number.
+        return x["value"].rlike("[A-Za-z]") & (total >= least * F.length(x["value"]))
 
     cut = rows.select(*kept, _pieces(F.col("clean"), f"{_RUN}{{{LEAST_RUN},}}+").alias("cut"))
     runs = cut.select(*kept, _outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base")).alias("runs"))
