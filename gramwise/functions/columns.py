@@ -76,7 +76,7 @@ def first_max(value: Column, at: Column) -> Column:
     return F.max_by(F.struct(at.alias("at"), value.alias("value")), F.struct(value, -at))
 
 
-NULL_LEVEL = "nan"  # the name of the category of missing values
+NULL_LEVEL = "\0missing"  # stands for missing values among categories: no text column holds a zero character
 
 
 def level(category: Column) -> Column:
@@ -100,6 +100,8 @@ def bucket_above(df: DataFrame, column: str, cuts: Sequence[float], out: str) ->
     ``Bucketizer`` finds the bucket by binary search, so the cost per row grows with log(cuts).  Its buckets
     are closed on the left; looking up the negated value closes them on the right.
     """
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
     cuts = [c + 0.0 for c in cuts]  # no negative zero: the search tells it from zero
     negated = f"__neg_{out}"
     splits = [float("-inf"), *(-c for c in reversed(cuts)), float("inf")]

@@ -14,26 +14,26 @@ from gramwise.operators.summary import categories
 
 MAX_LEVELS = 10_000
 
-# Multipliers of the integer key columns in ``key_mix``, in column order.
-_MULTIPLIERS = (7919, 104729, 1299709, 15485863, 32452843, 49979687, 67867967, 86028121)
+NULL_KEY = "\\N"  # how a missing key is written before it is hashed
 
 
-def key_mix(keys: Sequence[str]) -> Column:
-    """A non-negative integer that depends only on the row's integer keys, never on where the row is stored."""
-    mixed = F.lit(0).cast("bigint")
-    for key, multiplier in zip(keys, _MULTIPLIERS, strict=False):
-        mixed = mixed + F.pmod(F.col(key).cast("bigint"), F.lit(1_000_000_007)) * F.lit(multiplier)
-    return mixed
+def key_hash(keys: Sequence[str]) -> Column:
+    """32 bits of a digest of the row's keys, of any type and number: the same wherever and by whatever engine it is computed.
+
+    A missing key counts as a value, so every row has a hash.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit(NULL_KEY)) for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
 def is_test(keys: Sequence[str], percent: int = 20) -> Column:
     """True for about ``percent`` of the rows, the same rows in every run and for every partitioning."""
-    return key_mix(keys) % 100 < percent
+    return key_hash(keys) % 100 < percent
 
 
 def fold_of(keys: Sequence[str], folds: int) -> Column:
     """Fold 0 … folds-1; independent of ``is_test``, which uses the remainder that is divided away here."""
-    return F.pmod(F.call_function("div", key_mix(keys), F.lit(100)), F.lit(folds)).cast("int")
+    return F.pmod(F.call_function("div", key_hash(keys), F.lit(100)), F.lit(folds)).cast("int")
 
 
 def split_group(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
@@ -41,13 +41,6 @@ def split_group(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
     return F.when(is_test(keys, percent), F.lit(-1)).otherwise(fold_of(keys, folds))
 
 
-def hash_split(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
-    """Like ``split_group`` for keys of any type, such as text."""
-    slot = F.pmod(F.xxhash64(*keys), F.lit(100 * folds))
-    fold = F.call_function("div", slot, F.lit(100))
-    return F.when(slot % 100 < percent, F.lit(-1)).otherwise(fold).cast("int")
-
-
 def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
     """Sorted categories per column.  Gathers at most ``MAX_LEVELS`` and refuses beyond that."""
     found = categories(df, columns).limit(MAX_LEVELS + 1).collect()

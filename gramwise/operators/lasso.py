@@ -106,6 +106,9 @@ def lasso_path(q: np.ndarray, c: np.ndarray, alphas: Sequence[float], max_iter:
         if i >= filled or _violation(q, c, alpha, out[i]) > 1e-8:
             start = out[i] if i < filled else out[max(i - 1, 0)]
             out[i] = _coordinate_descent(q, c, alpha, start.copy(), max_iter)
+            gap = _violation(q, c, alpha, out[i])
+            if gap > 1e-6:
+                raise ArithmeticError(f"no solution for penalty {alpha} within {max_iter} rounds: off by {gap:.1e} of it")
     return out
 
 

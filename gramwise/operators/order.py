@@ -16,9 +16,8 @@ from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
 ROWS_PER_BIN = 1_000_000
-MAX_BINS = 2_000
 ROWS_PER_RANGE = 100_000
-MAX_RANGES = 50_000
+_LARGEST = float(np.finfo(float).max)
 
 
 def _histogram(x: DataFrame, cuts: Iterable[float]) -> list:
@@ -34,11 +33,17 @@ def _histogram(x: DataFrame, cuts: Iterable[float]) -> list:
 
 def _subdivide(low: float, high: float, pieces: int) -> set[float]:
     """Cuts inside [low, high]; the first ones set the smallest value apart, so that a cut always gains."""
-    return {float(np.nextafter(low, -np.inf)), high, *(float(c) for c in np.linspace(low, high, pieces) if c < high)}
+    below = float(np.nextafter(low, -np.inf))
+    # Halved first: the width of the widest interval is no double.
+    even = (2.0 * float(c) for c in np.linspace(low / 2, high / 2, pieces))
+    return {c for c in (below, high, *(c for c in even if c < high)) if math.isfinite(c)}
 
 
 def _values(df: DataFrame, column: str) -> DataFrame:
-    return complete_cases(df.select(F.col(column).cast("double").alias("x")))
+    """The values that are not missing; infinities count as the largest numbers there are."""
+    x = F.col(column).cast("double")
+    finite = F.when(x > _LARGEST, _LARGEST).when(x < -_LARGEST, -_LARGEST).otherwise(x)
+    return complete_cases(df.select(F.when(F.isnan(x), x).otherwise(finite).alias("x")))
 
 
 def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], bins: int = 2048) -> dict[int, float]:
@@ -114,7 +119,6 @@ def value_ranks(
     column: str,
     rows: int | None = None,
     rows_per_bin: int = ROWS_PER_BIN,
-    max_bins: int = MAX_BINS,
 ) -> DataFrame:
     """Distinct values with their count ``n`` and the number of rows ``before`` them in ascending order.
 
@@ -123,12 +127,10 @@ def value_ranks(
     them; each range is then ranked by itself.  ``rows`` saves a pass when the number of values is known.
     """
     x = _values(df, column)
-    bins = min(max_bins, math.ceil((x.count() if rows is None else rows) / rows_per_bin))
+    total = x.count() if rows is None else rows
+    bins = max(1, math.ceil(total / rows_per_bin))
     values = x.groupBy("x").agg(F.count("*").alias("n"))
-    if bins <= 1:  # few enough rows for one task
-        earlier = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-        return values.select(F.col("x").alias("value"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    cuts, starts = balanced_ranges(x, bins)
+    cuts, starts = balanced_ranges(x, bins) if total else ([], [0])
     inside = Window.partitionBy("bin").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     position = small_frame(df.sparkSession, "bin int, start bigint", list(enumerate(starts)))
     ranked = bucket_above(values, "x", cuts, "bin").withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
@@ -161,7 +163,7 @@ def durbin_watson(
     total = present.count() if rows is None else rows
     combined = present.groupBy(*order_by, "__e").agg(F.count("*").cast("double").alias("__n"))
     keys = [*[F.col(k).asc_nulls_last() for k in order_by], F.col("__e").asc()]
-    ranges = min(MAX_RANGES, max(1, math.ceil(total / rows_per_range)))
+    ranges = max(1, math.ceil(total / rows_per_range))
     sorted_rows = combined.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("__e", "__n")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

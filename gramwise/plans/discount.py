@@ -50,7 +50,7 @@ class DiscountStudy:
     """Models of the margin and of log sales, all fitted from one pass over the order lines.
 
     The margin models learn from the training rows, the elasticity from all rows.  ``part`` tells them apart: -1
-    for a test row, else the fold (see ``split_group`` and ``hash_split``).  It takes the place of a shuffle of row
+    for a test row, else the fold (see ``split_group``).  It takes the place of a shuffle of row
     numbers: the same rows are in the test part for any partitioning, but they are not the rows that another
     library's random split would pick.
     """

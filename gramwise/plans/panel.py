@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gramwise.functions.columns import recode
-from gramwise.operators.features import Scaler, hash_split
+from gramwise.operators.features import Scaler, split_group
 from gramwise.operators.forest import ForestCv, forest_cv
 from gramwise.operators.gram import Term, gram_table
 from gramwise.operators.lasso import LassoCv, lasso_cv
@@ -54,11 +54,14 @@ def prepare_score(sheet: DataFrame, score: str, first: int, last: int) -> DataFr
 
 
 def build_panel(macro: DataFrame, sheet: DataFrame, first: int, last: int, score: str = "score") -> DataFrame:
-    """Inner join of both tables on year and country, in country order."""
-    joined = inner_join(
+    """Inner join of both tables on year and country; sort it with ``in_country_order`` to show or write it."""
+    return inner_join(
         prepare_macro(macro, first, last), prepare_score(sheet, score, first, last), ["Year", "Country"]
     )
-    return sort_missing_last(joined, "Country", "Year")
+
+
+def in_country_order(panel: DataFrame) -> DataFrame:
+    return sort_missing_last(panel, "Country", "Year")
 
 
 def one_year_ols(panel: DataFrame, year: int, score: str = "score", regressors: Sequence[str] = REGRESSORS) -> OlsFit:
@@ -78,7 +81,7 @@ def model_rows(panel: DataFrame, score: str = "score") -> DataFrame:
 
 def split_panel(panel: DataFrame, folds: int, percent: int = 20, score: str = "score") -> DataFrame:
     """Complete rows with ``part``: -1 for the test rows, else the fold, by a hash of country and year."""
-    return model_rows(panel, score).withColumn("part", hash_split(["Country", "Year"], folds, percent))
+    return model_rows(panel, score).withColumn("part", split_group(["Country", "Year"], folds, percent))
 
 
 def scaled_split(parts: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -24,11 +24,8 @@ def rounded(columns: dict[str, int | None]) -> str:
     return ", ".join(f'"{c}"' if k is None else f'{r(chr(34) + c + chr(34), k)} as "{c}"' for c, k in columns.items())
 
 
-MIX = (
-    "((l_orderkey % 1000000007) * 7919 + (l_partkey % 1000000007) * 104729"
-    " + (l_suppkey % 1000000007) * 1299709 + (l_linenumber % 1000000007) * 15485863)"
-)
-PART = f"case when {MIX} % 100 < 20 then -1 else cast(({MIX} // 100) % {FOLDS} as integer) end"
+KEY_HASH = "cast('0x' || substr(md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber)), 1, 8) as bigint)"
+PART = f"case when {KEY_HASH} % 100 < 20 then -1 else cast(({KEY_HASH} // 100) % {FOLDS} as integer) end"
 PROFIT = "(l_extendedprice * (0.5::double - l_discount) - 10.0::double * l_quantity)"
 QUARTER = "'Q' || quarter(o_orderdate) || ' ' || year(o_orderdate)"
 

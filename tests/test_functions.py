@@ -96,3 +96,16 @@ def test_tail_probabilities_match_the_mathematics_library_of_the_jvm(spark):
     for df in (2.0, 30.0, 4000.0):
         expected = d.TDistribution(df).inverseCumulativeProbability(0.975)
         assert dist.t_quantile(0.975, df) == pytest.approx(expected, rel=1e-6)
+
+
+def test_tails_reach_their_limits_for_very_many_rows():
+    for df in (1e9, 1e12, 1e13, 1e15):
+        for t in (0.1, 1.96, 6.0):
+            assert dist.t_two_sided(t, df) == pytest.approx(2 * dist.normal_upper(t), rel=1e-6)
+        assert dist.t_quantile(0.975, df) == pytest.approx(1.959963984540054, rel=1e-6)
+        assert dist.f_upper(3.0, 4, df) == pytest.approx(dist.chi2_upper(12.0, 4), rel=1e-6)
+
+
+def test_tails_are_smooth_where_the_limit_takes_over():
+    for t in (0.5, 1.96, 5.0):
+        assert dist.t_two_sided(t, 1.999e6) == pytest.approx(dist.t_two_sided(t, 2.001e6), rel=1e-7)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gramwise.operators.features import hash_split
+from gramwise.operators.features import split_group
 from gramwise.plans import cross_section as cs
 from gramwise.plans import panel as pl
 from gramwise.plans.discount import LOG_DISCOUNT, DiscountStudy, read_lines
@@ -40,7 +40,7 @@ def test_discount_study(spark, retail, tmp_path):
     frame, path = retail
     lines = read_lines(spark, path, keys={"Row ID": "bigint"})
     assert dict(lines.dtypes)["order_date"] == "date" and "Unused" not in lines.columns
-    study = DiscountStudy.fit(lines, hash_split(["Row ID"], 5), folds=5)
+    study = DiscountStudy.fit(lines, split_group(["Row ID"], 5), folds=5)
 
     parts = {r["Row ID"]: r["part"] for r in lines.select("Row ID", study.part.alias("part")).collect()}
     part = frame["Row ID"].map(parts)

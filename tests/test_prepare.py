@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gramwise.functions.columns import NULL_LEVEL
 from gramwise.operators import features, prepare, summary
 from gramwise.sources import csv
 
@@ -94,7 +95,7 @@ def test_one_hot_drops_the_first_and_ignores_unknown(spark):
 def test_missing_category_comes_last_in_one_hot(spark):
     train = spark.createDataFrame([("z",), (None,), ("a",)], "g string")
     levels = features.vocabulary(train, ["g"])
-    assert levels == {"g": ["a", "z", "nan"]}
+    assert levels == {"g": ["a", "z", NULL_LEVEL]}
     assert [tuple(r)[1:] for r in features.one_hot(train, levels).collect()] == [(1, 0), (0, 1), (0, 0)]
 
 
@@ -126,5 +127,43 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
 
 
-def test_shared_folder_is_the_one_the_session_names(spark):
-    assert csv.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_csv_with_quotes_as_other_tools_write_them(spark, tmp_path):
+    rows = [('Fiskars 8" Scissors, 2/Pack', 10.5), ("two\nlines", 1.0), ('"', None)]
+    path = tmp_path / "given"
+    path.mkdir()
+    (path / "a.csv").write_text('x,y\n"Fiskars 8"" Scissors, 2/Pack",10.5\n"two\nlines",1.0\n"""",NA\n')
+    found = csv.read_csv(spark, str(path), {"x": "string", "y": "double"}, multi_line=True)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(rows, key=str)
+    csv.write_csv(spark.createDataFrame(rows[:1], "x string, y double"), str(tmp_path / "out"), single_file=True)
+    text = next((tmp_path / "out").glob("part-*")).read_text()
+    assert text == 'x,y\n"Fiskars 8"" Scissors, 2/Pack",10.5\n'
+    again = csv.parsed(csv.lines(found), {"x": "string", "y": "double"})
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_csv_files_with_different_headers_stop_the_query(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x\n2,1\n")
+    with pytest.raises(Exception, match="header"):
+        csv.read_csv(spark, str(tmp_path), {"x": "int", "y": "int"}).collect()
+
+
+def test_splits_keep_every_row_and_use_every_key(spark):
+    keys = [f"k{i}" for i in range(10)]
+    rows = [tuple(None if (i >> j) & 1 and j < 2 else i % (j + 5) for j in range(10)) for i in range(2000)]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} int" for k in keys))
+    parts = df.select(features.split_group(keys, 4).alias("part"))
+    assert parts.filter("part is null").count() == 0 and parts.distinct().count() == 5
+    last = spark.range(1000).select(*[F.lit(0).alias(k) for k in keys[:9]], F.col("id").alias("k9"))
+    assert last.select(features.split_group(keys, 4).alias("part")).distinct().count() == 5
+    texts = spark.range(1000).select(F.concat(F.lit("é "), F.col("id").cast("string")).alias("t"))
+    share = texts.filter(features.is_test(["t"])).count()
+    assert 150 < share < 250
+
+
+def test_missing_is_no_text_level(spark):
+    df = spark.createDataFrame([("nan",), (None,), ("b",)], "g string")
+    levels = features.vocabulary(df, ["g"])
+    assert levels == {"g": ["b", "nan", NULL_LEVEL]}
+    hot = features.one_hot(df, levels)
+    assert sorted(tuple(r)[1:] for r in hot.collect()) == [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0)]
