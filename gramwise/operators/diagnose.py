@@ -16,7 +16,7 @@ from gramwise.functions.columns import bucket_above, normal_quantile
 from gramwise.operators.cache import kept
 from gramwise.operators.gram import Moments, Term, batch_gram
 from gramwise.operators.ols import OlsFit, fit_moments, with_residuals
-from gramwise.operators.order import quantiles, value_ranks
+from gramwise.operators.order import quantiles, value_ranks, ROWS_PER_BIN
 from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
@@ -157,7 +157,7 @@ def _poly(coefficients: Sequence[float], x: float) -> float:
     return sum(c * x**i for i, c in enumerate(coefficients))
 
 
-def normal_scores(df: DataFrame, column: str) -> dict:
+def normal_scores(df: DataFrame, column: str, rows_per_bin: int = ROWS_PER_BIN) -> dict:
     """What the tests need of the ordered sample: sums over all rows of the normal score (``m``), its square
     and its product with the centred value, and both at the two smallest and the two largest ranks.
 
@@ -172,7 +172,7 @@ def normal_scores(df: DataFrame, column: str) -> dict:
             raise ValueError("all values are equal")
         mean_rank = F.col("before") + (F.col("n") + 1) / 2.0
         score = normal_quantile((mean_rank - F.lit(0.375)) / F.lit(n + 0.25))
-        ranked = value_ranks(x, "x", rows=n).select(
+        ranked = value_ranks(x, "x", rows=n, rows_per_bin=rows_per_bin).select(
             "n", "before", score.alias("m"), (F.col("value") - F.lit(mean)).alias("d")
         )
         count, m, d = F.col("n"), F.col("m"), F.col("d")
@@ -232,9 +232,12 @@ def _shapiro_wilk_score(w: float, n: int) -> tuple[float, float]:
     return math.exp(gap - mean), (gap - mean) / sd
 
 
-def shapiro_francia(df: DataFrame, column: str = "residual") -> DataFrame:
-    """W' (squared correlation with the normal scores), z and p after Royston (1993); p up to 5000 values."""
-    s = normal_scores(df, column)
+def shapiro_francia(df: DataFrame, column: str = "residual", rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
+    """W' (squared correlation with the normal scores), z and p after Royston (1993).
+
+    ``calibrated`` says whether the number of values is in the published range, 5 to 5000, in which z and p are given.
+    """
+    s = normal_scores(df, column, rows_per_bin)
     n = s["n"]
     w = s["md"] ** 2 / ((s["mm"] - s["m"] ** 2 / n) * s["spread"])
     z = p = None
@@ -244,7 +247,8 @@ def shapiro_francia(df: DataFrame, column: str = "residual") -> DataFrame:
         mean, sd = -1.2725 + 1.0521 * (v - u), 1.0308 - 0.26758 * (v + 2.0 / u)
         z = (math.log(1.0 - w) - mean) / sd
         p = dist.normal_upper(z)
-    return small_frame(df.sparkSession, "n bigint, w double, z double, p double", [(n, w, z, p)])
+    fields = "n bigint, w double, z double, p double, calibrated boolean"
+    return small_frame(df.sparkSession, fields, [(n, w, z, p, 5 <= n <= 5000)])
 
 
 def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:

@@ -8,11 +8,11 @@ from collections.abc import Mapping, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_TYPES = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}
+_TYPES = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def _plain(value, kind: str):
-    if value is None or kind == "string":
+    if value is None or kind in ("string", "boolean"):
         return value
     if kind == "double":
         return None if math.isnan(value) else float(value)

@@ -28,6 +28,8 @@ PANEL_YEARS = (1995, 2001)
 PANEL_FOLDS = 10
 # Trees of the registered forests; the full grid of 100, 500 and 1000 is the default of ``forest_cv``.
 FOREST_TREES = (5, 10)
+# Rows of a range in the registered rank queries: small, so that tables of any size are cut into many.
+SMALL_RANGE = 5_000
 ONE_YEAR = 1999
 # Given constants of the sweep without a fit; many digits, so that no product ends in an exact half.
 ELASTICITY, MARGIN_AT_ZERO, MARGIN_SLOPE = -0.3517836419057, 0.4512907316842, -0.9932175084361
@@ -126,6 +128,15 @@ def discount_cap_sweep_relative(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded_sweep(scenario.cap_sweep(lines, scenario.cap_grid(), _given_margin(), ELASTICITY, mode="relative"))
 
 
+@register
+def sweep_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The sweep as the result file holds it, six columns to two digits, through CSV text and back."""
+    lines = sales(spark, sf, "sales", "discount", "profit")
+    sweep = scenario.cap_sweep(lines, scenario.cap_grid(), _given_margin(), ELASTICITY).drop("n_null")
+    report = round_half_even(sweep, 2)
+    return text.parsed(text.lines(report), dict(report.dtypes))
+
+
 @register
 def best_cap(spark: SparkSession, sf: str) -> DataFrame:
     lines = sales(spark, sf, "sales", "discount", "profit")
@@ -305,7 +316,8 @@ def durbin_watson(spark: SparkSession, sf: str) -> DataFrame:
     """Residuals of margin on discount and quantity, in the order of the line keys."""
     lines = sales(spark, sf, *SALES_KEYS, "discount", "quantity", "margin")
     fit = ols(lines, "margin", ["discount", "quantity"])
-    return rounded(order.durbin_watson(with_residuals(lines, fit), "residual", SALES_KEYS, rows=int(fit.n)))
+    rows = with_residuals(lines, fit)
+    return rounded(order.durbin_watson(rows, "residual", SALES_KEYS, rows=int(fit.n), rows_per_range=SMALL_RANGE))
 
 
 @register
@@ -333,6 +345,13 @@ def panel_score(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pl.prepare_score(score_table(spark, sf), "score", 1996, 2000))
 
 
+@register
+def score_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """An exported sheet as CSV text, read by position: year, country and score, whatever the header says."""
+    sheet = text.parsed(text.lines(score_table(spark, sf)), pl.by_position(["c0", "c1", "c2"]))
+    return rounded(pl.prepare_score(sheet, "score", 1996, 2000))
+
+
 @register
 def panel_join(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pl.in_country_order(_panel(spark, sf)), gdp_usd=2)
@@ -452,6 +471,15 @@ def _coefficients(spark: SparkSession, model: cs.CrossSectionModel) -> DataFrame
     return rounded(model.fit.coefficients(spark).select("term", "estimate", "se", "t", "p"), default=8, t=4, p=5)
 
 
+def _fit_table(spark: SparkSession, model: cs.CrossSectionModel) -> DataFrame:
+    stats = model.fit.statistics()
+    names = (
+        "n", "df_model", "df_resid", "ss_model", "ss_resid", "ss_total", "ms_model", "ms_resid", "f", "r2", "r2_adj",
+        "root_mse",
+    )
+    return rounded(statistics_frame(spark, {k: stats[k] for k in names}))
+
+
 @register
 def ols_full(spark: SparkSession, sf: str) -> DataFrame:
     return _coefficients(spark, cs.CrossSectionModel.estimate(_section(spark, sf)))
@@ -464,12 +492,12 @@ def ols_reduced(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def ols_full_fit(spark: SparkSession, sf: str) -> DataFrame:
-    stats = cs.CrossSectionModel.estimate(_section(spark, sf)).fit.statistics()
-    names = (
-        "n", "df_model", "df_resid", "ss_model", "ss_resid", "ss_total", "ms_model", "ms_resid", "f", "r2", "r2_adj",
-        "root_mse",
-    )
-    return rounded(statistics_frame(spark, {k: stats[k] for k in names}))
+    return _fit_table(spark, cs.CrossSectionModel.estimate(_section(spark, sf)))
+
+
+@register
+def ols_reduced_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return _fit_table(spark, cs.CrossSectionModel.estimate(_section(spark, sf), cs.REDUCED))
 
 
 @register
@@ -533,8 +561,9 @@ def shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def shapiro_francia(spark: SparkSession, sf: str) -> DataFrame:
-    """On a column with many equal values, at any size."""
-    return rounded(diagnose.shapiro_francia(sales(spark, sf, "quantity"), "quantity").drop("p"), default=7)
+    """On a column with many equal values, at any size; z and p only where they are calibrated."""
+    found = diagnose.shapiro_francia(sales(spark, sf, "quantity"), "quantity", rows_per_bin=SMALL_RANGE)
+    return rounded(found.drop("p"), default=7)
 
 
 @register

@@ -41,7 +41,12 @@ def read_macro(spark: SparkSession, path: str) -> DataFrame:
 
 def read_score(spark: SparkSession, path: str) -> DataFrame:
     """Year, country and score: the first three columns of an exported sheet, whatever their names."""
-    return read_csv(spark, path, dict(zip(header(spark, path), ("int", "string", "double"), strict=True)))
+    return read_csv(spark, path, by_position(header(spark, path)))
+
+
+def by_position(names: Sequence[str]) -> dict[str, str]:
+    """Types of the sheet's three columns under the names they have."""
+    return dict(zip(names, ("int", "string", "double"), strict=True))
 
 
 def prepare_macro(macro: DataFrame, first: int, last: int) -> DataFrame:

@@ -381,6 +381,21 @@ def statistics(source: str, values: dict[str, str], digits: int) -> str:
     )
 
 
+def section_table(names: tuple[str, ...]) -> str:
+    return f"""
+with recursive {section_fit(names)},
+s as (
+  select count(*)::double as n, {len(names)}::double as k, var_pop({LABEL}) * count(*) as tss, any_value(rss) as rss
+  from section, fit_rss
+)
+{statistics('s', {
+    'n': 'n', 'df_model': 'k', 'df_resid': 'n - k - 1', 'ss_model': 'tss - rss', 'ss_resid': 'rss', 'ss_total': 'tss',
+    'ms_model': '(tss - rss) / k', 'ms_resid': 'rss / (n - k - 1)', 'f': '((tss - rss) / k) / (rss / (n - k - 1))',
+    'r2': '1.0 - rss / tss', 'r2_adj': '1.0 - (rss / (n - k - 1)) / (tss / (n - 1))',
+    'root_mse': 'sqrt(rss / (n - k - 1))',
+}, 6)}"""
+
+
 def origin_fit() -> str:
     columns = {c: c for c in REGRESSORS} | {"__y": "score"}
     source = "one_year"
@@ -419,6 +434,8 @@ with {SALES}
     "discount_cap_sweep": f"{constant_sweep('level')} select {rounded(SWEEP_COLUMNS)}, 0::bigint as n_null from result",
     "discount_cap_sweep_relative":
         f"{constant_sweep('relative')} select {rounded(SWEEP_COLUMNS)}, 0::bigint as n_null from result",
+    "sweep_csv": f"{constant_sweep('level')} select "
+        + ", ".join(f'round_even("{c}", 2) + 0.0::double as "{c}"' for c in SWEEP_COLUMNS) + " from result",
     "best_cap": f"""{constant_sweep('level')}
 select {r('discount_cap')} as discount_cap, {r('total_profit', 0)} as total_profit
 from result order by round(total_profit, 3) desc, discount_cap limit 1""",
@@ -665,6 +682,9 @@ with {MACRO}
 select year as "Year", "Country", {rounded(MACRO_COLUMNS)} from macro where year between 1996 and 2000""",
     "panel_score": f"""
 with {MACRO}
+select "Year", "Country", {r('score')} as score from scores where "Year" between 1996 and 2000""",
+    "score_sheet": f"""
+with {MACRO}
 select "Year", "Country", {r('score')} as score from scores where "Year" between 1996 and 2000""",
     "panel_join": f"""
 with {PANEL}
@@ -709,18 +729,8 @@ select unit, {", ".join(f"{c}::float::double as {c}" for c in (LABEL, 'gdppc_tho
 from section""",
     "ols_full": f"with recursive {section_fit(FULL)}, {t_table('fit', 'select count(*) from section', 8)}",
     "ols_reduced": f"with recursive {section_fit(REDUCED)}, {t_table('fit', 'select count(*) from section', 8)}",
-    "ols_full_fit": f"""
-with recursive {section_fit(FULL)},
-s as (
-  select count(*)::double as n, {len(FULL)}::double as k, var_pop({LABEL}) * count(*) as tss, any_value(rss) as rss
-  from section, fit_rss
-)
-{statistics('s', {
-    'n': 'n', 'df_model': 'k', 'df_resid': 'n - k - 1', 'ss_model': 'tss - rss', 'ss_resid': 'rss', 'ss_total': 'tss',
-    'ms_model': '(tss - rss) / k', 'ms_resid': 'rss / (n - k - 1)', 'f': '((tss - rss) / k) / (rss / (n - k - 1))',
-    'r2': '1.0 - rss / tss', 'r2_adj': '1.0 - (rss / (n - k - 1)) / (tss / (n - 1))',
-    'root_mse': 'sqrt(rss / (n - k - 1))',
-}, 6)}""",
+    "ols_full_fit": section_table(FULL),
+    "ols_reduced_fit": section_table(REDUCED),
     "vif_full": f"""
 with recursive {section_vif(FULL)}
 select term, {r('vif')} as vif, {r('1.0 / vifs.vif')} as tolerance from vifs""",
@@ -823,7 +833,8 @@ select n, {r('w')} as w, case when n <= 2000 then {r('exp(gap - mu)', 5)} end as
     "shapiro_francia": f"""
 with sample as (select l_quantity as x from lineitem),
 {ORDERED}
-select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z from ordered""",
+select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z, count(*) between 5 and 5000 as calibrated
+from ordered""",
     "im_test": im_sql(),
 }
 ORACLES["lasso_nonzero"] = f"select * from ({ORACLES['lasso_all_features']}) where estimate <> 0 and term <> '_cons'"
