@@ -8,23 +8,15 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-_COALESCE = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
-
 
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
     """Cache ``df`` for the block.  What an executor loses with its part of the cache is computed again.
 
-    Adaptive execution may then merge small partitions of the cached table too, which Spark otherwise leaves
-    at the configured number; the setting is read when the table is marked and put back at once.
+    No session setting is touched.  A session with ``spark.sql.optimizer.canChangeCachedPlanOutputPartitioning`` lets
+    adaptive execution merge small partitions of the cached table, which is worth setting with many shuffle partitions.
     """
-    conf = df.sparkSession.conf
-    before = conf.get(_COALESCE, None)
-    conf.set(_COALESCE, "true")
-    try:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    finally:
-        conf.unset(_COALESCE) if before is None else conf.set(_COALESCE, before)
+    df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield df
     finally:

@@ -401,11 +401,11 @@ def ols_origin_fit(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def ols_origin_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Everything the printed summary holds: statistics, residual tests and Durbin–Watson in country order."""
-    panel = _panel(spark, sf).where(F.col("Year") == ONE_YEAR)
-    fit = pl.one_year_ols(panel, ONE_YEAR)
-    rows = with_residuals(panel, fit)
-    shape = diagnose.residual_shape(rows)
-    watson = order.durbin_watson(rows, "residual", ["Country"], rows=int(fit.n)).first()[0]
+    with kept(_panel(spark, sf).where(F.col("Year") == ONE_YEAR)) as panel:
+        fit = pl.one_year_ols(panel, ONE_YEAR)
+        rows = with_residuals(panel, fit)
+        shape = diagnose.residual_shape(rows)
+        watson = order.durbin_watson(rows, "residual", ["Country"], rows=int(fit.n)).first()[0]
     return statistics_frame(spark, {**fit.statistics(), **shape, "durbin_watson": watson})
 
 
