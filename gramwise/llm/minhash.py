@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ _FACTOR = _RNG.integers(0, 2**31, 256, dtype=np.uint32) * np.uint32(2) + np.uint
 _SHIFT = _RNG.integers(0, 2**32, 256, dtype=np.uint32)
 #: Documents of a range in which neighbours are found.
 RANGE_ROWS = 20_000
+#: With more documents the ranges grow, not their number.
+MOST_RANGES = 20_000
 
 
 def signature(shingles: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
@@ -75,18 +78,24 @@ def edited(text: str, following: str) -> str:
 
 def _ranges(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
     """The documents with ``range``, numbered in descending order of id; the first document of each range is also
-    given, as ``borrowed``, to the range before, and the first of all to the last."""
+    given, as ``borrowed``, to the range before, and the first of all to the last.
+
+    Ranges are cut at ids drawn by hash, some 50 for each; what the driver holds is bounded by ``MOST_RANGES``.
+    """
     spark = docs.sparkSession
     total = docs.count()
-    number = max(1, -(-total // rows))
-    cuts = docs.approxQuantile("doc_id", [i / number for i in range(1, number)], 0.1 / number) if number > 1 else []
-    cuts = sorted({int(x) for x in cuts}, reverse=True)
-    at = F.lit(0)
+    number = min(max(1, -(-total // rows)), MOST_RANGES)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_000)) / 1e9
+    drawn = docs.filter(draw < 50 * number / max(total, 1)).select("doc_id").dropna().collect() if number > 1 else []
+    ids = sorted(float(r["doc_id"]) for r in drawn)
+    cuts = sorted({ids[len(ids) * i // number] for i in range(1, number)}) if ids else []
+    placed = docs.withColumn("range", F.lit(0))
     if cuts:
-        # Documents above the highest cut are in range 0; a null id is in the last.
-        known = F.array(*[F.lit(x) for x in cuts])
-        at = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(known, lambda x: x >= F.col("doc_id"))))
-    placed = docs.withColumn("range", at.cast("int"))
+        # Searched by halves; a null id is in the last range.
+        found = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="at", outputCol="cut", handleInvalid="keep")
+        at = found.transform(docs.withColumn("at", F.col("doc_id").cast("double")))
+        number_of = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(len(cuts) - F.col("cut").cast("int"))
+        placed = at.withColumn("range", number_of).drop("at", "cut")
     firsts = placed.groupBy("range").agg(F.max("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).orderBy("range").collect()
     if not firsts:
         return placed.withColumn("borrowed", F.lit(False)), 0
@@ -102,7 +111,7 @@ def _ranges(docs: DataFrame, rows: int) -> tuple[DataFrame, int]:
 def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int = SHINGLE_WORDS, rows: int = RANGE_ROWS) -> DataFrame:
     """Fingerprints of ``docs(doc_id, text)`` and of their edited texts, with the likeness to those and to the next document.
 
-    Ids are cut into ranges by approximate quantiles; a range lies in one partition, sorted, and knows its successor's first row.
+    A range of ids lies in one partition, sorted, and knows its successor's first row.
     Rows with equal ids follow one another by text, so every order of the input gives the same neighbours.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -231,6 +231,8 @@ class ByteModel:
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """The log of the chance of each predicted byte, given ``grams`` of the highest order."""
+        if not len(self.context_logs):
+            return np.full(len(keys), self.unseen_log)
         out = np.zeros(len(keys))
         open_, above = np.arange(len(keys)), np.full(len(keys), -1, np.int32)
         for size in range(self.order + 1, 0, -1):
@@ -251,13 +253,17 @@ class ByteModel:
         return out
 
 
-def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 << 20, words: int = 1 << 16, parts: int = 256) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 << 20, words: int = 1 << 16, parts: int | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``n_tokens, n_known, train_tokens, base_score, score``, learned from ``training(text)``.
 
     ``nodes`` and ``words`` bound what travels to executors; rarer words are joined, so the base score is exact.
+    ``parts`` is the number of parts in which counts are merged, by default as the root of the number of texts.
     """
     columns = [c for c in docs.columns if c != "text"]
     spark = docs.sparkSession
+    texts = training.count()
+    # Distinct grams grow more slowly than the texts.
+    parts = parts or 256 * max(1, round((texts / 1e6) ** 0.5))
     blocks = written(_counted(training, order, parts), "counts")
     kinds = blocks.filter(f"kind = {WORDS}")
 
@@ -268,7 +274,6 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 <
 
     counts = kinds.mapInArrow(exploded, "word bigint, n bigint")
     size = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    texts = training.count()
     tokens, vocabulary = size["n"] + texts, size["v"] + (texts > 0)
     log_all = float(np.log10(tokens + vocabulary + 1))
     model = ByteModel.of(_frequent(blocks.filter(f"kind > {WORDS}"), nodes), order)
