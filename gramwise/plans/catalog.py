@@ -13,6 +13,7 @@ from gramwise.operators.cache import kept
 from gramwise.operators.gram import Term, gram_table
 from gramwise.operators.lasso import lasso, lasso_cv
 from gramwise.operators.ols import fit_moments, mean_vif, ols, vif, with_residuals
+from gramwise.operators.ols import holdout_metrics as metrics_of
 from gramwise.operators.prepare import by_magnitude, missing_report, top_k
 from gramwise.operators.report import statistics_frame
 from gramwise.plans import cross_section as cs
@@ -417,11 +418,32 @@ def durbin_watson_panel(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(order.durbin_watson(with_residuals(panel, fit), "residual", ["Country"], rows=int(fit.n)))
 
 
+def _panel_lasso(spark: SparkSession, sf: str):
+    panel = _panel(spark, sf)
+    parts = pl.split_panel(panel, PANEL_FOLDS)
+    return pl.panel_lasso(parts, pl.model_columns(panel), PANEL_FOLDS), parts.where(F.col("part") < 0)
+
+
 @register
 def panel_lasso(spark: SparkSession, sf: str) -> DataFrame:
-    parts = pl.split_panel(_panel(spark, sf), PANEL_FOLDS)
-    cv = pl.panel_lasso(parts, pl.model_columns(_panel(spark, sf)), PANEL_FOLDS)
-    return by_magnitude(cv.selected(spark), "coefficient", "variable")
+    return by_magnitude(_panel_lasso(spark, sf)[0].selected(spark), "coefficient", "variable")
+
+
+@register
+def panel_lasso_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The chosen penalty, the variables left and the error on the test rows."""
+    cv, test = _panel_lasso(spark, sf)
+    chosen = {"alpha": F.lit(cv.alpha), "n_selected": F.lit(int((cv.model.coef != 0).sum())).cast("bigint")}
+    return metrics_of(test, "score", cv.model.predict()).withColumns(chosen)
+
+
+@register
+def panel_lasso_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual against predicted scores of the test rows as cell counts."""
+    cv, test = _panel_lasso(spark, sf)
+    with kept(test) as rows:
+        pairs = rows.select(F.col("score").alias("actual"), cv.model.predict().alias("predicted"))
+        return rounded(diagnose.binned_pairs(pairs, "actual", "predicted", 20))
 
 
 def _forest(spark: SparkSession, sf: str):
