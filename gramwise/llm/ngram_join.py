@@ -23,8 +23,10 @@ from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_byte
 from gramwise.llm.graph import components
 
 #: Frequencies are counted in this many groups of shingles: a table of fixed size that orders shingles rare-first.
-FREQUENCY_GROUPS = 1 << 20
+FREQUENCY_GROUPS = 1 << 22
 _SLICES = 64
+#: Rounds of stars before the pairs that are left.
+ATTEMPTS = 3
 #: Parts of the hash range in which the suffix filter counts shingles.
 _PARTS = 64
 #: Bits of the filter that says which classes a verification needs: fixed size.
@@ -49,34 +51,29 @@ def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """How often the shingles of each group occur, over all documents; one number per group comes to the driver."""
 
     def count(batches):
-        total = np.zeros(FREQUENCY_GROUPS, np.int64)
+        total = np.zeros(FREQUENCY_GROUPS, np.int32)
         for _, sets in _sets(batches, words):
-            total += np.bincount(_group(np.concatenate(sets)), minlength=FREQUENCY_GROUPS)
+            np.add.at(total, _group(np.concatenate(sets)), 1)
         if total.any():
             parts = total.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "counts": [x.astype("<i8").tobytes() for x in parts]})
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "counts": [x.astype("<i4").tobytes() for x in parts]})
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, "<i8")
+                total[k] = total.get(k, 0) + np.frombuffer(counts, "<i4").astype(np.int64)
         for k, counts in total.items():
             yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": [counts.tobytes()]})
 
     schema = "slice int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition("slice").mapInArrow(add, schema)
+    summed = docs.select("text").mapInArrow(count, schema).repartition(_SLICES, "slice").mapInArrow(add, schema)
     out = np.zeros((_SLICES, FREQUENCY_GROUPS // _SLICES), np.int64)
     for row in summed.collect():
         out[row["slice"]] = np.frombuffer(row["counts"], "<i8")
     return out.ravel()
 
 
-def _overlap(n, m, num: int, den: int):
-    """Least number of common shingles of two linked sets of n and m: J >= num/den."""
-    return -((-num * (n + m)) // (num + den))
-
-
 def _described(docs: DataFrame, words: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
     """For each document the class (hash of its set), its size, its prefix in rare-first order, and its suffix counts."""
     shared = docs.sparkSession.sparkContext.broadcast(rank)
@@ -92,7 +89,7 @@ def _described(docs: DataFrame, words: int, num: int, den: int, rank: np.ndarray
                 keep = n - -(-num * n // den) + 1 if n else 0
                 rare = np.argsort(order[_group(tokens)], kind="stable")[:keep]
                 prefix.append(tokens[rare].view(np.int64))
-                counts.append(np.minimum(np.bincount((tokens & np.uint64(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 255).astype(np.uint8).tobytes())
+                counts.append(np.minimum(np.bincount((tokens & np.uint64(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 30_000).astype(np.int16))
             ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {
@@ -100,11 +97,11 @@ def _described(docs: DataFrame, words: int, num: int, den: int, rank: np.ndarray
                     "class": pa.array(names, pa.int64()),
                     "n": pa.array(sizes, pa.int32()),
                     "prefix": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)]), pa.int64())),
-                    "parts": pa.array(counts, pa.binary()),
+                    "parts": pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * _PARTS), pa.array(np.concatenate([*counts, np.zeros(0, np.int16)]))),
                 }
             )
 
-    schema = "doc_id bigint, class bigint, n int, prefix array<bigint>, parts binary"
+    schema = "doc_id bigint, class bigint, n int, prefix array<bigint>, parts array<smallint>"
     return docs.mapInArrow(describe, schema)
 
 
@@ -125,19 +122,18 @@ def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Data
         sized = sized.join(
             classes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}")), side
         )
-    sized = sized.filter(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+    return sized.filter(_alike(num, den)).select("a", "b")
+
+
+def _alike(num: int, den: int) -> F.Column:
+    """Length filter, and suffix filter: shingles counted in parts differ by no more than linked sets of these sizes can."""
+    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda total, x: total + x)
+    return F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}") & (apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(num, den))
 
-    def compare(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, m = (batch.column(f"n_{x}").to_numpy().astype(np.int64) for x in "ab")
-            x, y = (np.frombuffer(b"".join(batch.column(f"parts_{s}").to_pylist()), np.uint8).reshape(-1, _PARTS).astype(np.int16) for s in "ab")
-            apart = np.abs(x - y).sum(1)
-            keep = pa.array(apart <= n + m - 2 * _overlap(n, m, num, den))
-            yield batch.select(["a", "b"]).filter(keep)
 
-    return sized.select("a", "b", "n_a", "n_b", "parts_a", "parts_b").mapInArrow(compare, "a bigint, b bigint")
+def _needed(num: int, den: int) -> F.Column:
+    """Least number of common shingles of two linked sets of n_a and n_b: J >= num/den."""
+    return F.ceil(F.lit(num) * (F.col("n_a") + F.col("n_b")) / F.lit(num + den) - 1e-9)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -171,6 +167,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int)
     return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a bigint, b bigint")
 
 
+def _open(postings: DataFrame, links: DataFrame, attempt: int) -> DataFrame:
+    """Postings of the tokens that several components share; ``lead`` is one class of each token, another each attempt."""
+    labels = components(links).withColumnRenamed("node", "class")
+    named = postings.select("token", "class", "n", "pos").join(labels, "class", "left")
+    named = named.withColumn("component", F.coalesce("component", "class"))
+    drawn = F.min(F.struct(F.xxhash64("class", F.lit(attempt)).alias("draw"), "class", "component"))
+    mixed = named.groupBy("token").agg(drawn.alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = mixed.filter("low <> high").select("token", F.col("x.class").alias("lead"), F.col("x.component").alias("lead_component"))
+    return written(named.join(mixed, "token"), "open")
+
+
 def link_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100)
 ) -> DataFrame:
@@ -178,40 +185,44 @@ def link_components(
     num, den = similarity
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     counts = _frequencies(docs, words)
-    # One byte per group: eight steps for each doubling of the frequency, so that the table stays a megabyte.
+    # One byte per group: eight steps for each doubling of the frequency, so that the table has four megabytes.
     rank = np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
     rows = written(_described(docs, words, num, den, rank), "shingles")
     classes = rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
     prefixes = rows.filter("n > 0").groupBy("class", "n").agg(F.first("prefix").alias("prefix"))
-    postings = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
-
+    # One exchange by token serves both the leaders and the join with them.
+    postings = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
     leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"), F.min("class").alias("lead")).filter("found > 1")
     shared = written(postings.join(leaders.drop("found"), "token"), "postings")
-    stars = shared.filter("class <> lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    stars = written(_plausible(stars, classes, num, den), "stars")
-    links = written(_verified(stars, docs, words, num, den), "links")
 
-    first = components(links)
-    named = shared.drop("lead").join(first.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_ = written(named.join(mixed.select("token"), "token", "left_semi"), "open")
+    # Stars: each class is checked against one class, and what is left open against one class of another component.
+    stars = shared.filter("class <> lead").groupBy(F.col("class").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
+    links = written(_verified(_plausible(stars, classes, num, den), docs, words, num, den), "links")
+    open_ = _open(shared, links, 0)
+    for attempt in range(1, ATTEMPTS + 1):
+        drawn = F.min_by("lead", F.xxhash64("lead", F.lit(-attempt)))
+        stars = open_.filter("component <> lead_component").groupBy(F.col("class").alias("x")).agg(drawn.alias("y"))
+        stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        more = _verified(written(_plausible(stars, classes, num, den), "stars"), docs, words, num, den)
+        links = written(links.unionByName(more), "links")
+        open_ = _open(open_, links, attempt)
+
     # Linked sizes differ by a factor of at most den/num, so their steps on this scale differ by at most one.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    left = open_.withColumn("step", step)
-    right = left.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    left, right = (x.select("token", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos", "component"))) for x, s in ((left, "a"), (right, "b")))
-    needed = F.ceil(F.lit(num) * (F.col("n_a") + F.col("n_b")) / F.lit(num + den))
-    rest = F.lit(1) + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    sized = open_.drop("lead", "lead_component").join(classes.select("class", "parts"), "class").withColumn("step", step)
+    right = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    columns = ("class", "n", "pos", "component", "parts")
+    left, right = (x.select("token", "step", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for x, s in ((sized, "a"), (right, "b")))
+    # At the first shingle that two prefixes share, what follows must hold all that linked sets have in common.
+    follows = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = (
         left.join(right, ["token", "step"])
         .filter("class_a < class_b and component_a <> component_b")
-        .filter(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
-        .filter(F.least(F.col("pos_a"), F.col("pos_b")) + rest >= needed)
+        .filter((follows >= _needed(num, den)) & _alike(num, den))
         .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         .distinct()
     )
-    pairs = written(_plausible(pairs, classes, num, den), "pairs")
+    pairs = written(pairs, "pairs")
     more = _verified(pairs, docs, words, num, den)
     joined = components(written(links.unionByName(more), "links"))
 
