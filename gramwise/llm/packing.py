@@ -12,7 +12,9 @@ each is packed; a null id is packed like any other; other columns are ignored; a
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,30 +31,49 @@ BUCKET_ROWS = 20_000
 # --- tokens -------------------------------------------------------------------------------------------------------
 
 
+#: Byte-level tokenizers write the bytes without a printable character as the characters from 256 on, in order.
+_HIDDEN = [*range(33), *range(127, 161), 173]
+_SHOWN = {byte: 256 + i for i, byte in enumerate(_HIDDEN)}
+
+
+#: Texts of these characters only: ASCII, and Latin letters and signs that stay single characters in lower case.
+_COMMON = re.compile("[\t\n\r -~\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u024f\u2010-\u2027]*")
+_LETTER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u024f"
+#: The tokenizer's own pattern for texts of these characters.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
+
+
 class CachedTokenizer:
-    """Ids of whole texts, word by word: the tokenizer splits at white space, so equal words have equal ids."""
+    """Ids of whole texts, piece by piece: equal pieces have equal ids, which are kept in a table of bounded size.
+
+    Texts with other than common Latin characters, or with the start of a special token, go to the tokenizer whole.
+    """
 
-    def __init__(self, path: str, words: int = 200_000):
+    def __init__(self, path: str, entries: int = 300_000):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._words = words
-        self._known: dict[bytes, bytes] = {}
+        self._model = self._tokenizer.model
+        self._entries = entries
+        self._pieces: dict[str, bytes] = {}
 
     def __call__(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        found = (text or "").encode().split()
-        known = self._known
+        text = text or ""
+        if not _COMMON.fullmatch(text) or "<|" in text:
+            return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        known, found = self._pieces, _PIECE.findall(text.lower())
         try:
-            return b"".join([known[x] for x in found])
-        except KeyError:
+            return b"".join(map(known.get, found))
+        except TypeError:  # a piece that is not in the table
             pass
-        if len(known) > self._words:
+        if len(known) + len(found) > self._entries:
             known.clear()
-        fresh = [x for x in set(found) if x not in known]
-        for word, ids in zip(fresh, self._tokenizer.encode_batch([x.decode() for x in fresh], add_special_tokens=False), strict=True):
-            known[word] = np.array(ids.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in found])
+        for piece in found:
+            if piece not in known:
+                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_SHOWN)
+                known[piece] = array("I", [x.id for x in self._model.tokenize(shown)]).tobytes()
+        return b"".join(map(known.__getitem__, found))
 
 
 def tokenized(docs: DataFrame, tokenizer: str, length: int, end_id: int = 1) -> DataFrame:
