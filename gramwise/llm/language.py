@@ -93,7 +93,7 @@ def _log_frequencies(counts: dict[str, Counter], languages: list[str], least: in
     return {k: i for i, k in enumerate(items)}, out
 
 
-def fit(rows: DataFrame, per_language: int = 4000, chars: int = 4000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
+def fit(rows: DataFrame, per_language: int = 1500, chars: int = 2000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
     """Learns from ``text, lang`` of a bounded sample: about ``per_language`` rows of each language, by a hash of the text, and
     of each the first ``chars`` characters.  At most ``vocabulary`` words and as many n-grams are kept, the most frequent."""
     labelled = rows.filter("text is not null and lang is not null").select("text", "lang")
