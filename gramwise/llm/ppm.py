@@ -1,14 +1,15 @@
 """Prediction by partial matching over bytes.
 
 A trie of contexts of up to ``order`` bytes is counted over all training texts.  The chance of a byte is its count in the longest
-context known, less a half; a byte that was not seen there costs an escape, whose chance is made of those halves and of what was
-pruned, and is then looked for in the context one byte shorter, with the bytes of the longer one excluded from the
-counts.  Bytes never seen share what is left.  Text is framed by the byte 0xFF, which UTF-8 never uses, so that the first
+context known, less a half; a byte that was not seen there costs an escape, whose chance is made of those halves, and is then
+looked for in the context one byte shorter, with the bytes of the longer one excluded from the counts.  Bytes never seen share what is left.  Text is framed by the byte 0xFF, which UTF-8 never uses, so that the first
 bytes and the end are predicted too.
 
-Counts cover every training text.  What travels to the executors is the trie of at most ``nodes`` entries with the largest
-counts: the least count that an entry needs is read from a histogram.  Word counts for the base score work alike: the most
-frequent words travel, and all others are looked up by a join.
+Counts cover every training text, and no entry of the trie is dropped.  It lies in parts by the last ``WHOLE`` bytes of the
+context; shorter grams are needed by all parts and travel to each.  The chances of the ``nodes`` most frequent grams travel to
+the texts: the least count that a gram needs is read from a histogram.  All other grams of the texts are sent to their part, scored
+against its whole trie, and summed by text.  Word counts for the base score work alike: the most frequent words travel, and all
+others are looked up by a join.
 
 Defined results: null text is empty and scores its end; a null id counts as training; repeated rows train and are scored
 as often as they come; without training rows every byte is one of 256; other columns are ignored.
@@ -16,6 +17,7 @@ as often as they come; without training rows every byte is one of 256; other col
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,10 @@ from gramwise.llm.common import _LOWER, is_held_out, mix, pieces, prefix_hashes,
 from gramwise.llm.tally import BLOCK_SCHEMA, Tally, block, merged, unpacked
 
 FRAME = 0xFF
-WORDS, GRAMS = 0, 1
+#: Kinds of blocks: words by hash, grams by their number of bytes, and grams asked for.
+WORDS, ASKED = 0, 100
+#: Grams of up to so many bytes are sent whole; longer ones lie in parts by as many last bytes of their context.
+WHOLE = 3
 #: Escape estimation: what each distinct byte of a context gives up of its count.
 DISCOUNT = 0.5
 #: Bytes of text scored at once, beside the trie.
@@ -61,12 +66,20 @@ def _low(keys: np.ndarray, size: int) -> np.ndarray:
 
 
 def _part_of_gram(keys: np.ndarray, parts: int) -> np.ndarray:
-    """By the last two bytes, so that a part holds all that is needed for every order from one on."""
-    return (mix(_low(keys, 2)) % np.uint64(parts)).astype(np.int64)
+    """By the last bytes of the context, so that a part holds every context it needs with all its bytes."""
+    return (mix(_low(keys >> np.uint64(8), WHOLE)) % np.uint64(parts)).astype(np.int64)
+
+
+def _shortened(keys: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the grams' last ``size`` bytes."""
+    tally = Tally()
+    tally.add(_low(keys, size), counts)
+    tally.merge()
+    return tally.keys, tally.counts
 
 
 def _counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
-    """Blocks of counts: words by hash, and grams of each order; the kind is 0 for words and the order + 1 for grams."""
+    """Blocks of counts: words by hash, and grams of the highest order, of which all shorter ones follow."""
 
     def count(batches):
         words, found = Tally(), Tally()
@@ -78,37 +91,48 @@ def _counted(docs: DataFrame, order: int, parts: int) -> DataFrame:
                 starts, ends, _ = word_spans(part, bounds)
                 words.add(run_hashes(prefix_hashes(part), starts, ends))
                 found.add(grams(*framed(part, bounds, order), np.diff(bounds), order))
-                for tally, kind, by in ((words, WORDS, by_word), (found, GRAMS, by_gram)):
+                for tally, kind, by in ((words, WORDS, by_word), (found, order + 1, by_gram)):
                     if len(tally.keys) > 1 << 20:
                         yield from tally.blocks(kind, by)
         yield from words.blocks(WORDS, by_word)
-        yield from found.blocks(GRAMS, by_gram)
+        yield from found.blocks(order + 1, by_gram)
+
+    return merged(docs.select("text").mapInArrow(count, BLOCK_SCHEMA))
+
+
+def _whole(blocks: DataFrame, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The counts of all grams that are needed by every part: ``{size: (sorted grams, counts)}``."""
 
-    def orders(batches):
+    def short(batches):
         for batch in batches:
-            for kind, part, keys, counts in unpacked(batch):
-                if kind == WORDS:
-                    yield block(kind, part, keys, counts)
-                    continue
-                for size in range(order + 1, 0, -1):
-                    tally = Tally()
-                    tally.add(_low(keys, size), counts)
-                    tally.merge()
-                    keys, counts = tally.keys, tally.counts
-                    yield block(size, part, keys, counts)
+            for _, _, keys, counts in unpacked(batch):
+                for size in range(min(order + 1, WHOLE), 0, -1):
+                    keys, counts = _shortened(keys, counts, size)
+                    yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(keys), size, np.int32)), "gram": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
+
+    rows = blocks.mapInArrow(short, "size int, gram bigint, n bigint").groupBy("size", "gram").agg(F.sum("n").alias("n")).toPandas()
+    out = {}
+    for size, found in rows.groupby("size"):
+        found = found.sort_values("gram")
+        out[int(size)] = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    return out
 
-    return merged(docs.select("text").mapInArrow(count, BLOCK_SCHEMA)).mapInArrow(orders, BLOCK_SCHEMA)
 
+def _seen_logs(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The log of the chance of each gram that was counted, from all grams of its context."""
+    first = np.flatnonzero(np.diff(keys >> np.uint64(8), prepend=~(keys[:1] >> np.uint64(8))))
+    total = np.repeat(np.add.reduceat(counts, first), np.diff(np.append(first, len(keys))))
+    return np.log10(counts - DISCOUNT) - np.log10(total)
 
-def _frequent(blocks: DataFrame, most: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """The entries with the largest counts, at most ``most`` of them in all (one order-0 entry per byte always)."""
+
+def _frequent(blocks: DataFrame, most: int, value: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys with the largest counts, at most ``most`` of them, and the value of each; a value is made from the whole block."""
 
     def histogram(batches):
         total = np.zeros(1 << 12, np.int64)
         for batch in batches:
-            for kind, _, _, counts in unpacked(batch):
-                if kind != 1:
-                    total += np.bincount(_step(counts), minlength=len(total))
+            for _, _, _, counts in unpacked(batch):
+                total += np.bincount(_step(counts), minlength=len(total))
         yield pa.RecordBatch.from_pydict({"step": pa.array(range(len(total)), pa.int32()), "n": pa.array(total)})
 
     rows = blocks.mapInArrow(histogram, "step int, n bigint").filter("n > 0").groupBy("step").agg(F.sum("n").alias("n")).collect()
@@ -121,16 +145,60 @@ def _frequent(blocks: DataFrame, most: int) -> dict[int, tuple[np.ndarray, np.nd
     def pick(batches):
         for batch in batches:
             for kind, part, keys, counts in unpacked(batch):
-                keep = (_step(counts) >= least) | (kind == 1)
+                keep = _step(counts) >= least
                 if keep.any():
-                    yield block(kind, part, keys[keep], counts[keep])
+                    yield block(kind, part, keys[keep], value(keys, counts)[keep].astype("<f8").view("<i8"))
+
+    found = blocks.mapInArrow(pick, BLOCK_SCHEMA).collect()
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(row["keys"], "<u8") for row in found)])
+    return keys, np.concatenate([np.zeros(0), *(np.frombuffer(row["counts"], "<f8") for row in found)])
 
-    found: dict[int, Tally] = {}
-    for row in blocks.mapInArrow(pick, BLOCK_SCHEMA).collect():
-        found.setdefault(row["kind"], Tally()).add(np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8"))
-    for tally in found.values():
-        tally.merge()
-    return {kind: (t.keys, t.counts) for kind, t in found.items()}
+
+def _asked(rows: DataFrame, parts: int) -> DataFrame:
+    """Blocks of the grams of ``rows(row, grams)``, with the row of each in place of a count."""
+
+    def ask(batches):
+        for batch in batches:
+            column = batch.column("grams")
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            of = np.repeat(batch.column("row").to_numpy(zero_copy_only=False), lengths)
+            for low in range(0, len(keys), 1 << 20):
+                part = _part_of_gram(keys[low : low + (1 << 20)], parts)
+                by = np.argsort(part, kind="stable")
+                starts = np.flatnonzero(np.diff(part[by], prepend=-1)).tolist()
+                for start, end in zip(starts, [*starts[1:], len(by)], strict=True):
+                    at = by[start:end]
+                    yield block(ASKED, int(part[at[0]]), keys[low + at], of[low + at])
+
+    return rows.select("row", "grams").mapInArrow(ask, BLOCK_SCHEMA)
+
+
+def _answers(blocks: DataFrame, asked: DataFrame, whole: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> DataFrame:
+    """``row, gram_log``: sums of the logs of the grams asked for, each from the whole trie of its part; several for each row."""
+    shared = blocks.sparkSession.sparkContext.broadcast(whole)
+
+    def answer(batches):
+        now, model = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for kind, part, keys, counts in unpacked(batch.slice(i, 1)):
+                    if part != now:
+                        now, model, entries = part, None, dict(shared.value)
+                    if kind != ASKED:
+                        # The only block of counts comes first.
+                        for size in range(order + 1, WHOLE, -1):
+                            keys, counts = _shortened(keys, counts, size)
+                            entries[size] = keys, counts
+                        continue
+                    model = model or ByteModel.of(entries, order)
+                    distinct, at = np.unique(keys, return_inverse=True)
+                    rows, where = np.unique(counts, return_inverse=True)
+                    sums = np.bincount(where, model.log10(distinct)[at])
+                    yield pa.RecordBatch.from_pydict({"row": pa.array(rows.astype(np.int64)), "gram_log": pa.array(sums)})
+
+    both = blocks.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
+    return both.mapInArrow(answer, "row bigint, gram_log double")
 
 
 def _step(counts: np.ndarray) -> np.ndarray:
@@ -256,7 +324,7 @@ class ByteModel:
 def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 << 20, words: int = 1 << 16, parts: int | None = None) -> DataFrame:
     """``docs(doc_id, text, ...)`` with ``n_tokens, n_known, train_tokens, base_score, score``, learned from ``training(text)``.
 
-    ``nodes`` and ``words`` bound what travels to executors; rarer words are joined, so the base score is exact.
+    ``nodes`` and ``words`` bound what travels to executors; rarer grams and words are joined, so both scores are exact.
     ``parts`` is the number of parts in which counts are merged, by default as the root of the number of texts.
     """
     columns = [c for c in docs.columns if c != "text"]
@@ -276,55 +344,62 @@ def score(docs: DataFrame, training: DataFrame, order: int = 6, nodes: int = 1 <
     size = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     tokens, vocabulary = size["n"] + texts, size["v"] + (texts > 0)
     log_all = float(np.log10(tokens + vocabulary + 1))
-    model = ByteModel.of(_frequent(blocks.filter(f"kind > {WORDS}"), nodes), order)
-    frequent = _frequent(kinds, words).get(WORDS, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-    shared = spark.sparkContext.broadcast((tuple(vars(model).values()), hash_table(frequent[0]), np.log10(frequent[1] + 1.0)))
+    tries = blocks.filter(f"kind > {WORDS}")
+    grams_sent = _frequent(tries, nodes, _seen_logs)
+    words_sent = _frequent(kinds, words, lambda _, n: np.log10(n + 1.0))
+    shared = spark.sparkContext.broadcast((hash_table(grams_sent[0]), grams_sent[1], hash_table(words_sent[0]), words_sent[1]))
     end_log = float(np.log10(texts + 1.0))
 
     def one(batches):
-        fields, word_slots, word_log = shared.value
-        known = ByteModel(*fields)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             for low, high in pieces(offsets, SCORED_BYTES):
                 part, bounds = _LOWER[data[offsets[low] : offsets[high]]], offsets[low : high + 1] - offsets[low]
-                yield scored(batch.slice(low, high - low), part, bounds, known, word_slots, word_log)
+                yield scored(batch.slice(low, high - low), part, bounds)
 
-    def scored(rows, part, bounds, known, word_slots, word_log):
+    def found_in(slots, logs, keys, first):
+        """By text: the sum and the number of what was sent; and the keys that were not."""
+        at = look_up(slots, keys)
+        rare = at < 0
+        sums = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, logs[at] if len(logs) else 0.0))])
+        seen = np.concatenate([[0], np.cumsum(~rare)])
+        bounds = (np.arange(len(keys) + 1) - seen)[first].astype(np.int32)
+        return np.diff(sums[first]), np.diff(seen[first]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(keys[rare].view(np.int64)))
+
+    def scored(rows, part, bounds):
+        gram_slots, gram_log, word_slots, word_log = shared.value
         lengths = np.diff(bounds) + 1
-        logs = known.log10(grams(*framed(part, bounds, order), lengths - 1, order))
-        chance = np.add.reduceat(logs, np.cumsum(lengths) - lengths)
+        gram = grams(*framed(part, bounds, order), lengths - 1, order)
+        chance, _, rare_grams = found_in(gram_slots, gram_log, gram, np.concatenate([[0], np.cumsum(lengths)]))
         starts, ends, first = word_spans(part, bounds)
         word = run_hashes(prefix_hashes(part), starts, ends)
-        at = look_up(word_slots, word)
-        rare = at < 0
-        sums = np.concatenate([[0.0], np.cumsum(np.where(rare, 0.0, word_log[at] if len(word_log) else 0.0))])
-        seen = np.concatenate([[0], np.cumsum(~rare)])
-        n = np.diff(first)
-        bounds = (np.arange(len(word) + 1) - seen)[first].astype(np.int32)
+        base, seen, rare = found_in(word_slots, word_log, word, first)
         result = {
-            "n_tokens": pa.array(n + 1),
-            "known": pa.array(np.diff(seen[first]) + int(texts > 0)),
-            "base": pa.array(np.diff(sums[first]) + end_log),
+            "n_tokens": pa.array(np.diff(first) + 1),
+            "known": pa.array(seen + int(texts > 0)),
+            "base": pa.array(base + end_log),
             "score": pa.array(chance),
-            "rare": pa.ListArray.from_arrays(pa.array(bounds), pa.array(word[rare].view(np.int64))),
+            "rare": rare,
+            "grams": rare_grams,
         }
         return pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), *result.values()], names=[*columns, *result])
 
     schema = docs.select(columns).schema
-    for name, kind in (("n_tokens", LongType()), ("known", LongType()), ("base", DoubleType()), ("score", DoubleType()), ("rare", ArrayType(LongType()))):
+    for name, kind in (("n_tokens", LongType()), ("known", LongType()), ("base", DoubleType()), ("score", DoubleType()), ("rare", ArrayType(LongType())), ("grams", ArrayType(LongType()))):
         schema = schema.add(name, kind)
     rows = written(docs.select(*columns, "text").mapInArrow(one, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("rare_log"), F.count("n").alias("rare_known"))
-    out = rows.join(rare, "row", "left")
+    rare = rare.select("row", F.log10(F.coalesce("n", F.lit(0)) + 1.0).alias("rare_log"), F.col("n").isNotNull().cast("int").alias("rare_known"))
+    looked_up = rare.unionByName(_answers(tries, _asked(rows, parts), _whole(tries, order), order), allowMissingColumns=True)
+    looked_up = looked_up.groupBy("row").agg(*(F.sum(c).alias(c) for c in ("rare_log", "rare_known", "gram_log")))
+    out = rows.join(looked_up, "row", "left")
     return out.select(
         *columns,
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(log_all)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("gram_log", F.lit(0.0))).alias("score"),
     )
 
 

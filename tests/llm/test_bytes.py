@@ -136,6 +136,20 @@ def test_scores_and_base_scores(spark, make, prose, edge_rows):
     assert ppm.score(docs.select("doc_id", "text").limit(0), training, order=3).collect() == []
 
 
+@pytest.mark.parametrize("nodes", [1 << 20, 50])
+def test_scores_are_those_of_the_whole_trie(make, prose, edge_rows, nodes):
+    rows = [*edge_rows[:9], *enumerate(prose(8, 40, 3), 20), (40, "été ÉTÉ zzz"), (41, "xyzzy")]
+    docs = make(rows)
+    training = docs.filter("doc_id is null or doc_id % 3 <> 0").select("text")
+    learned = [(t or "").encode().lower() for i, t in rows if i is None or i % 3 != 0]
+    for order in (1, 6):
+        found = ppm.score(docs.select("doc_id", "text"), training, order=order, nodes=nodes, parts=5).collect()
+        by_id = {r["doc_id"]: r["score"] for r in found}
+        for doc_id, text in rows:
+            if doc_id is not None:
+                assert by_id[doc_id] == pytest.approx(plain_ppm(learned, (text or "").encode().lower(), order), rel=1e-5)
+
+
 def test_held_out_split(spark):
     from gramwise.llm.common import is_held_out
 
