@@ -12,7 +12,8 @@ nothing was learned every text is ``und``.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramwise.llm.common import is_held_out, table
+from gramwise.llm.common import is_held_out, table, written
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_COUNTED = "lang string, item string, n bigint"
 
 
 @dataclass(frozen=True)
@@ -81,21 +83,74 @@ class LanguageModel:
         return names, scores
 
 
-def _log_frequencies(counts: dict[str, Counter], languages: list[str], least: int) -> tuple[dict[str, int], np.ndarray]:
-    """Items seen at least ``least`` times in all, with add-half log frequencies by language."""
-    total = sum(counts.values(), Counter())
-    items = sorted(k for k, n in total.items() if n >= least)
-    out = np.zeros((len(items), len(languages)))
-    for j, language in enumerate(languages):
-        seen = counts[language]
-        size = sum(seen.values())
-        out[:, j] = np.log([(seen.get(k, 0) + 0.5) / (size + 0.5 * max(len(total), 1)) for k in items]) if items else 0
-    return {k: i for i, k in enumerate(items)}, out
+def _frequent(counted: DataFrame, languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
+    """Of ``lang, item, n`` the at most ``most`` items with the largest counts, 2 at least, with add-half log frequencies by
+    language.  Only these reach the driver, beside a histogram of the counts."""
+    number = F.create_map(*[F.lit(x) for j, language in enumerate(languages) for x in (language, j)])
+    seen = F.struct(number[F.col("lang")].alias("at"), "n")
+    items = counted.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(seen).alias("seen"))
+    sizes = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    least, above, distinct = None, 0, 0
+    for row in sorted(items.groupBy("total").count().collect(), reverse=True):
+        above += row["count"] if least is None else 0
+        if least is None and above > most:
+            least = row["total"] + 1
+        distinct += row["count"]
+    kept = items.filter(F.col("total") >= max(2, least or 2)).select("item", "seen.at", "seen.n").toPandas().sort_values("item")
+    counts = np.zeros((len(kept), len(languages)))
+    if len(kept):
+        counts[np.repeat(np.arange(len(kept)), kept["at"].map(len)), np.concatenate(kept["at"].to_list())] = np.concatenate(kept["n"].to_list())
+    size = np.array([sizes.get(language, 0) for language in languages])
+    return {k: i for i, k in enumerate(kept["item"])}, np.log((counts + 0.5) / (size + 0.5 * max(distinct, 1)))
+
+
+def _flushed(batches: Iterator[dict[tuple[str, str], int]]) -> Iterator[pa.RecordBatch]:
+    """Counts of ``(lang, item)`` added up, as rows whenever there are many."""
+    found: Counter = Counter()
+
+    def rows():
+        langs, items = zip(*found, strict=True)
+        return pa.RecordBatch.from_pydict({"lang": pa.array(langs), "item": pa.array(items), "n": pa.array(found.values(), pa.int64())})
+
+    for more in batches:
+        for key, n in more.items():
+            found[key] += n
+        if len(found) > 200_000:
+            yield rows()
+            found.clear()
+    if found:
+        yield rows()
+
+
+def _words(sample: DataFrame) -> DataFrame:
+    """``lang, item, n``: the words of ``lang, text``."""
+
+    def texts(batches):
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                yield {(lang, word): n for word, n in Counter(_LETTERS.findall(text.lower())).items()}
+
+    return sample.mapInArrow(lambda batches: _flushed(texts(batches)), _COUNTED).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
-def fit(rows: DataFrame, per_language: int = 1500, chars: int = 2000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
-    """Learns from ``text, lang`` of a bounded sample: about ``per_language`` rows of each language, by a hash of the text, and
-    of each the first ``chars`` characters.  At most ``vocabulary`` words and as many n-grams are kept, the most frequent."""
+def _grams(words: DataFrame, orders: int) -> DataFrame:
+    """``lang, item, n``: the n-grams of padded words."""
+
+    def cut(batches):
+        for batch in batches:
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n")), strict=True):
+                padded, found = f" {word[:64]} ", Counter()
+                for order in range(1, orders + 1):
+                    for i in range(len(padded) - order + 1):
+                        found[lang, padded[i : i + order]] += n
+                yield found
+
+    return words.mapInArrow(lambda batches: _flushed(cut(batches)), _COUNTED).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+
+
+def fit(rows: DataFrame, per_language: int = 4000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
+    """Learns from ``text, lang`` of a sample: about ``per_language`` whole texts of each language, by a hash of the text.
+    At most ``vocabulary`` words and as many n-grams are kept, the most frequent; only they are brought to the driver."""
     labelled = rows.filter("text is not null and lang is not null").select("text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -103,36 +158,9 @@ def fit(rows: DataFrame, per_language: int = 1500, chars: int = 2000, orders: in
         return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), orders, backoff)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    sample = labelled.filter(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, chars).alias("text"))
-
-    def count(batches):
-        words: dict[str, Counter] = defaultdict(Counter)
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                words[lang].update(_LETTERS.findall(text.lower()))
-        for lang, found in words.items():
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(found), "word": list(found), "n": pa.array(found.values(), pa.int64())})
-
-    counted = sample.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words: dict[str, Counter] = defaultdict(Counter)
-    for lang, word, n in counted.toPandas().itertuples(index=False):
-        words[lang][word] = n
-    grams: dict[str, Counter] = defaultdict(Counter)
-    for lang in languages:
-        for word, n in words[lang].items():
-            padded = f" {word[:64]} "
-            for order in range(1, orders + 1):
-                for i in range(len(padded) - order + 1):
-                    grams[lang][padded[i : i + order]] += n
-    return LanguageModel(
-        languages, *_log_frequencies(words, languages, _least(words, vocabulary)), *_log_frequencies(grams, languages, _least(grams, vocabulary)), orders, backoff
-    )
-
-
-def _least(counts: dict[str, Counter], most: int) -> int:
-    """The smallest count, 2 at least, that at most ``most`` items reach."""
-    total = sorted(sum(counts.values(), Counter()).values(), reverse=True)
-    return max(2, total[most] + 1) if len(total) > most else 2
+    words = written(_words(labelled.filter(draw < share[F.col("lang")]).select("lang", "text")), "words")
+    grams = written(_grams(words, orders), "grams")
+    return LanguageModel(languages, *_frequent(words, languages, vocabulary), *_frequent(grams, languages, vocabulary), orders, backoff)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:

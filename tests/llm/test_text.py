@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -54,6 +56,34 @@ def test_backoff_prefers_longer_grams(make):
     assert (model.unseen("q") == 0).all() or model.unseen("q").shape == (2,)
 
 
+def test_words_late_in_a_text_are_learned(make):
+    docs = make([(1, "aba " * 1000 + "lateword lateword"), (2, "ebe " * 1000 + "finalword finalword")], {1: "aa", 2: "bb"})
+    model = language.fit(docs)
+    assert {"lateword", "finalword"} <= model.words.keys() and {"late", "final"} <= model.grams.keys()
+
+
+def test_counts_equal_plain_counts(make, prose):
+    a, b = _languages(prose)
+    docs = make(a + b, {i: "aa" for i, _ in a} | {i: "bb" for i, _ in b})
+    words = {"aa": Counter(w for _, t in a for w in t.split()), "bb": Counter(w for _, t in b for w in t.split())}
+    grams = {k: Counter() for k in words}
+    for k, found in words.items():
+        for w, n in found.items():
+            for order in range(1, 6):
+                for i in range(len(w) + 3 - order):
+                    grams[k][f" {w} "[i : i + order]] += n
+    for most in (200_000, 50):
+        model = language.fit(docs, vocabulary=most)
+        for counts, items, scores in ((words, model.words, model.word_scores), (grams, model.grams, model.gram_scores)):
+            total = counts["aa"] + counts["bb"]
+            ranked = sorted(total.values(), reverse=True)
+            least = max(2, ranked[most] + 1) if len(ranked) > most else 2
+            assert list(items) == sorted(k for k, n in total.items() if n >= least)
+            for k, i in items.items():
+                for j, lang in enumerate(("aa", "bb")):
+                    assert scores[i, j] == pytest.approx(math.log((counts[lang][k] + 0.5) / (counts[lang].total() + 0.5 * len(total))))
+
+
 # --- personal data
 
 _BASE = [
