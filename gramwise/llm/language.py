@@ -149,16 +149,18 @@ def _grams(words: DataFrame, orders: int) -> DataFrame:
 
 
 def fit(rows: DataFrame, per_language: int = 4000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
-    """Learns from ``text, lang`` of a sample: about ``per_language`` whole texts of each language, by a hash of the text.
+    """Learns from ``text, lang`` of a sample: about ``per_language`` different whole texts of each language, by a hash of the text.
     At most ``vocabulary`` words and as many n-grams are kept, the most frequent; only they are brought to the driver."""
     labelled = rows.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    # Copies count once: all of them are drawn or none.
+    hashes = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
         return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), orders, backoff)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    words = written(_words(labelled.filter(draw < share[F.col("lang")]).select("lang", "text")), "words")
+    words = written(_words(labelled.filter(draw < share[F.col("lang")]).select("lang", "text").distinct()), "words")
     grams = written(_grams(words, orders), "grams")
     return LanguageModel(languages, *_frequent(words, languages, vocabulary), *_frequent(grams, languages, vocabulary), orders, backoff)
 

@@ -95,16 +95,16 @@ def _pairs(strings: DataFrame, label: str) -> DataFrame:
 def train(docs: DataFrame, sample: int = 20_000, words: int = 1_000) -> list[float] | None:
     """Log-likelihood ratios of random against ordinary for each pair of characters.
 
-    Random strings come from about ``sample`` documents, ordinary ones from about ``words`` of them, both drawn by a hash of
-    the text, so the work and the table are bounded however many documents there are.
+    Random strings come from about ``sample`` different texts, ordinary ones from about ``words`` of them, both drawn by a hash of
+    the text, so the work and the table are bounded however many documents and copies there are.
     """
-    rows = docs.count()
+    texts = docs.select(F.xxhash64("clean").alias("hash")).distinct().count()
     draw = F.pmod(F.xxhash64("clean"), F.lit(1_000_000)) / 1_000_000.0
-    drawn = _base(docs.filter(draw < sample / max(rows, 1)))
+    drawn = _base(docs.select("clean").filter(draw < sample / max(texts, 1)).distinct())
     matches = drawn.select(F.explode("base").alias("x")).select("x.kind", "x.value")
     random = matches.select(F.when(F.col("kind") == 0, _value(F.col("value"))).otherwise(F.col("value")).alias("value"))
     random = random.filter(F.length("value") >= LEAST_RUN)
-    few = drawn.filter(draw < words / max(rows, 1)).select("base", _pieces(F.col("clean"), _RUN + "{4,}+").alias("cut"))
+    few = drawn.filter(draw < words / max(texts, 1)).select("base", _pieces(F.col("clean"), _RUN + "{4,}+").alias("cut"))
     ordinary = few.select(F.explode(_outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base"))).alias("x")).select("x.value")
     # Longer runs may be what is looked for: they are no examples of either.
     ordinary = ordinary.filter(F.length("value") < LEAST_RUN)

@@ -84,6 +84,18 @@ def test_counts_equal_plain_counts(make, prose):
                     assert scores[i, j] == pytest.approx(math.log((counts[lang][k] + 0.5) / (counts[lang].total() + 0.5 * len(total))))
 
 
+def test_copies_count_once_in_the_language_sample(make, prose):
+    a, b = _languages(prose)
+    lang = {i: "aa" for i, _ in a} | {i: "bb" for i, _ in b}
+    plain = language.fit(make(a + b, lang))
+    copies = make(a + b + [(0, a[0][1])] * 300, lang)
+    model = language.fit(copies)
+    assert model.words == plain.words and np.array_equal(model.word_scores, plain.word_scores)
+    assert model.grams == plain.grams and np.array_equal(model.gram_scores, plain.gram_scores)
+    # The share follows the different texts: all of them fit.
+    assert language.fit(copies, per_language=60).words == plain.words
+
+
 # --- personal data
 
 _BASE = [
@@ -226,6 +238,15 @@ def test_random_strings_are_told_from_identifiers(make, prose):
     assert "random" not in found[200] and not any("random" in found[i] for i in range(40))
 
 
+def test_copies_count_once_in_the_secrets_sample(make, prose):
+    rng = random.Random(7)
+    texts = [f"{t} token={''.join(rng.choice('abcdef0123456789') for _ in range(32))}" for t in prose(20, 60, 8)]
+    rows = list(enumerate(texts))
+    copies = rows + [(100 + i, texts[0]) for i in range(200)]
+    ratios = [secrets.train(secrets.prepared(make(x), "doc_id"), **more) for x, more in ((rows, {}), (copies, {}), (copies, {"sample": 20, "words": 20}))]
+    assert ratios[0] is not None and ratios[1] == ratios[0] and ratios[2] == ratios[0]
+
+
 def test_secrets_without_python(spark, make):
     clean = secrets.prepared(make([(1, "token = abcdefgh")]), "doc_id")
     plan = secrets.scan(clean, [0.1] * secrets._STATES**2)._jdf.queryExecution().executedPlan().toString()
