@@ -162,7 +162,7 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
 
 
 def _sets(docs: DataFrame, bands: int, permutations: int, words: int) -> DataFrame:
-    """For each document with shingles its fingerprint, a key for each band of it, and its set."""
+    """For each document with shingles a digest of its set, a key for each band of its fingerprint, and its set."""
     per = permutations // bands
 
     def describe(batches):
@@ -177,13 +177,13 @@ def _sets(docs: DataFrame, bands: int, permutations: int, words: int) -> DataFra
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id").take(pa.array(keep, pa.int64())),
-                        "fingerprint": pa.array([values[i].tobytes() for i in keep], pa.binary()),
+                        "digest": pa.array([hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest() for i in keep], pa.binary()),
                         "bands": pa.array(keys, pa.list_(pa.binary())),
                         "tokens": pa.array([sets[i].tobytes() for i in keep], pa.binary()),
                     }
                 )
 
-    return written(docs.mapInArrow(describe, "doc_id bigint, fingerprint binary, bands array<binary>, tokens binary"), "fingerprints")
+    return written(docs.mapInArrow(describe, "doc_id bigint, digest binary, bands array<binary>, tokens binary"), "fingerprints")
 
 
 def _verified(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
@@ -208,8 +208,8 @@ def _verified(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFram
 def _linked(docs: DataFrame, similarity: float, bands: int, permutations: int, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
     rows = _sets(docs, bands, permutations, words)
-    classes = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    first = rows.join(classes, "fingerprint").filter("doc_id = class_id").dropDuplicates(["class_id"])
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
+    first = rows.join(classes, "digest").filter("doc_id = class_id").dropDuplicates(["class_id", "digest"])
     postings = written(first.select("class_id", F.explode("bands").alias("band")), "bands")
     leaders = postings.groupBy("band").agg(F.min("class_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     stars = postings.join(leaders, "band").filter("class_id <> a").select("a", F.col("class_id").alias("b")).distinct()
@@ -221,13 +221,13 @@ def _linked(docs: DataFrame, similarity: float, bands: int, permutations: int, w
     open_ = written(named.join(mixed, "band", "left_semi"), "open")
     left, right = (open_.select("band", F.col("class_id").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
     more = left.join(right, "band").filter("a < b and c_a <> c_b").select("a", "b").distinct()
-    return docs, rows.join(classes, "fingerprint").select("doc_id", "class_id"), links.unionByName(_verified(more, first, similarity))
+    return docs, rows.join(classes, "digest").select("doc_id", "class_id"), links.unionByName(_verified(more, first, similarity))
 
 
 def near_pairs(docs: DataFrame, similarity: float = 0.8, bands: int = 16, permutations: int = PERMUTATIONS, words: int = SHINGLE_WORDS) -> DataFrame:
     """Links ``a, b, jaccard`` between classes, enough to join every two classes that share a band and are that similar.
 
-    Documents with equal fingerprints form a class, named by its smallest id.  In each band every class is compared with the
+    Documents with equal sets of shingles form a class, named by its smallest id.  In each band every class is compared with the
     smallest class that has the same values, and then with those that this has not joined.
     """
     return _linked(docs, similarity, bands, permutations, words)[2]

@@ -131,3 +131,16 @@ def test_near_classes_by_bands(make, prose):
     assert agree >= 0.95 * len(exact)
     assert found[50] == 50 and found[51] == 51
     assert minhash.near_pairs(make(rows)).filter(F.col("jaccard") < 0.8).count() == 0
+
+
+def test_equal_fingerprints_of_different_sets_are_verified(make):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(8)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 4))) for i in range(40)]
+    docs = make(rows)
+    # One least value as fingerprint: many different sets share it, and only equal ones are alike enough.
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_classes(docs, 0.8, 1, 1, 1).collect()}
+    smallest = {}
+    for i, text in rows:
+        smallest.setdefault(frozenset(text.split()), i)
+    assert found == {i: smallest[frozenset(text.split())] for i, text in rows}
