@@ -76,12 +76,23 @@ def first_max(value: Column, at: Column) -> Column:
     return F.max_by(F.struct(at.alias("at"), value.alias("value")), F.struct(value, -at))
 
 
-NULL_LEVEL = "\0missing"  # stands for missing values among categories: no text column holds a zero character
+NULL_LEVEL = "\0missing"  # stands for missing values among categories; texts that start with a zero character get another one
+MISSING_NAME = "nan"
 
 
 def level(category: Column) -> Column:
-    """The category as text; missing values form a category of their own."""
-    return F.coalesce(category.cast("string"), F.lit(NULL_LEVEL))
+    """The category as text; missing values form a category of their own that no text can name."""
+    text = category.cast("string")
+    return F.coalesce(F.when(F.startswith(text, F.lit("\0")), F.concat(F.lit("\0"), text)).otherwise(text), F.lit(NULL_LEVEL))
+
+
+def level_names(values: Iterable[str]) -> dict[str, str]:
+    """How the levels of one column are printed: as their text, missing ones by a name that no other level has."""
+    names = {v: v.removeprefix("\0") for v in values if v != NULL_LEVEL}
+    name = MISSING_NAME
+    while name in names.values():
+        name += "_"
+    return names | {NULL_LEVEL: name}
 
 
 def in_level_order(values: Iterable[str]) -> list[str]:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramwise.functions.columns import NULL_LEVEL, in_level_order, indicator
+from gramwise.functions.columns import NULL_LEVEL, in_level_order, indicator, level_names
 from gramwise.operators.prepare import nan_to_null
 from gramwise.operators.summary import categories
 
@@ -48,7 +48,8 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
         raise ValueError(f"more than {MAX_LEVELS} categories in {', '.join(columns)}")
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in found:
-        levels[row["variable"]].append(NULL_LEVEL if row["category"] is None else row["category"])
+        text = row["category"]
+        levels[row["variable"]].append(NULL_LEVEL if text is None else "\0" * text.startswith("\0") + text)
     return {c: in_level_order(values) for c, values in levels.items()}
 
 
@@ -58,7 +59,7 @@ def one_hot(df: DataFrame, levels: Mapping[str, Sequence[str]]) -> DataFrame:
     A category that is not in ``levels`` gets zeros throughout, which is the base level.
     """
     indicators = {
-        f"{column}_{value}": indicator(F.col(column), value)
+        f"{column}_{level_names(values)[value]}": indicator(F.col(column), value)
         for column, values in levels.items()
         for value in values[1:]
     }

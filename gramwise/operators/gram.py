@@ -13,7 +13,7 @@ Every linear model here is fitted from sums of products, so only a p x p matrix
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramwise.functions.columns import in_level_order, level
+from gramwise.functions.columns import in_level_order, level, level_names
 from gramwise.operators.cache import kept
 from gramwise.operators.prepare import complete_cases
 
@@ -35,10 +35,16 @@ class Term:
 
     column: str
     value: str | None = None
+    shown: str | None = field(default=None, compare=False)
 
     @property
     def name(self) -> str:
-        return self.column if self.value is None else f"{self.column}_{self.value}"
+        return self.column if self.value is None else f"{self.column}_{self.shown or self.value}"
+
+
+def category_terms(column: str, values: Sequence[str]) -> list[Term]:
+    names = level_names(values)
+    return [Term(column, v, names[v]) for v in values]
 
 
 @dataclass(frozen=True)
@@ -85,7 +91,8 @@ class GramTable:
 
     def dummies(self, columns: Sequence[str], groups: Iterable[int] | None = None) -> list[Term]:
         """Indicators of every category but the first, by column."""
-        return [Term(c, v) for c in columns for v in self.levels(c, groups)[1:]]
+        known = {(t.column, t.value): t for t in self.terms}
+        return [known[c, v] for c in columns for v in self.levels(c, groups)[1:]]
 
 
 def gram_table(
@@ -241,7 +248,7 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
 
     present = {c: margins[c].notna() for c in categorical}
     found = {c: sorted(margins.loc[present[c], c].unique()) for c in categorical}
-    terms = [Term(c) for c in numeric] + [Term(c, v) for c in categorical for v in found[c]]
+    terms = [Term(c) for c in numeric] + [t for c in categorical for t in category_terms(c, found[c])]
     position = {t: i for i, t in enumerate(terms, 1)}
     groups = sorted(int(g) for g in margins["__group"].unique())
     slot = margins["__group"].map({g: i for i, g in enumerate(groups)}).to_numpy()

@@ -167,3 +167,11 @@ def test_missing_is_no_text_level(spark):
     assert levels == {"g": ["b", "nan", NULL_LEVEL]}
     hot = features.one_hot(df, levels)
     assert sorted(tuple(r)[1:] for r in hot.collect()) == [(0.0, 0.0), (0.0, 1.0), (1.0, 0.0)]
+
+
+def test_names_of_levels_are_plain_and_differ(spark):
+    df = spark.createDataFrame([("nan",), (None,), ("b",), ("\0missing",)], "g string")
+    levels = features.vocabulary(df, ["g"])
+    assert features.one_hot(df, levels).columns == ["g", "g_b", "g_nan", "g_nan_"]
+    hot = features.one_hot(df, levels).collect()
+    assert sorted(tuple(r)[1:] for r in hot) == [(0.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)]
