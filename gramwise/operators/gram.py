@@ -4,9 +4,8 @@ Every linear model here is fitted from sums of products, so only a p x p matrix
 
 * Numeric columns only: one aggregate of counts, means and covariances.  Spark's own covariance aggregate
   merges partial results without cancellation, so no pass for centring is needed.
-* With categorical columns: rows are first aggregated to cells (one per group and combination of categories),
-  combined on the map side.  The indicator columns are never built.  Their cross products are the contingency
-  tables of the categories, taken from the cells with GROUPING SETS.
+* With categorical columns: the cross products of indicators are contingency tables of pairs of categories, which every task
+  counts in one pass.  The indicator columns are never built, nor cells of all categories at once.
 * Many numeric columns, or columns derived from a few: a matrix product per Arrow batch, summed by Spark.
 """
 
@@ -220,19 +219,119 @@ def batch_gram(
     )
 
 
+class _Margin:
+    """Sums by an integer key, merged whenever the unmerged part has grown as large as the merged one."""
+
+    def __init__(self):
+        self.keys, self.sums, self._more, self._size = np.zeros(0, np.int64), None, [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        found, at = np.unique(keys, return_inverse=True)
+        sums = np.column_stack([np.bincount(at, v, len(found)) for v in values.T])
+        self._more.append((found, sums))
+        self._size += len(found)
+        if self._size > max(len(self.keys), 100_000):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = self._more if self.sums is None else [(self.keys, self.sums), *self._more]
+        self._more, self._size = [], 0
+        if parts:
+            self.keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            every = np.concatenate([v for _, v in parts])
+            self.sums = np.column_stack([np.bincount(at, v, len(self.keys)) for v in every.T])
+
+
+#: Codes of levels and groups that a task may use before it sends what it has and starts anew; three of them fit into a key.
+_MOST_CODES = 1 << 20
+#: Sums that a task holds at most, about.
+_MOST_SUMS = 2_000_000
+
+
+def pair_sums(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """Counts, means and covariances of each task's rows by group, by group and level, and counts by group and pair of levels.
+
+    ``kind`` is 0 for a whole group, then counts the columns, then their pairs; ``a`` and ``b`` are levels.  A task sends one row for
+    each level and each pair of levels that it has seen, never one for each combination of all columns.
+    """
+    p, c = len(numeric), len(categorical)
+    squares = list(combinations_with_replacement(range(p), 2))
+    pairs = list(combinations(range(c), 2))
+    names = ["__group", "kind", "a", "b", "__n", *[f"__m{i}" for i in range(p)], *[f"__c{i}_{j}" for i, j in squares]]
+    kinds = ["int", "int", "string", "string", *["double"] * (len(names) - 4)]
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        shift = None
+        codes: list[dict] = [{} for _ in range(c + 1)]
+        margins = [_Margin() for _ in range(1 + c + len(pairs))]
+
+        def number(column: int, values: pa.Array) -> np.ndarray:
+            coded = values.dictionary_encode()
+            known = codes[column]
+            here = np.array([known.setdefault(v, len(known)) for v in coded.dictionary.to_pylist()], np.int64)
+            return here[coded.indices.to_numpy()]
+
+        def sent() -> Iterable[pa.RecordBatch]:
+            levels = [list(x) for x in codes]
+            for kind, margin in enumerate(margins):
+                margin.merge()
+                if margin.sums is None:
+                    continue
+                group, first, second = margin.keys & (_MOST_CODES - 1), margin.keys >> 20 & (_MOST_CODES - 1), margin.keys >> 40
+                left, right = (kind, 0) if kind <= c else (pairs[kind - c - 1][0] + 1, pairs[kind - c - 1][1] + 1)
+                n, size = margin.sums[:, 0], len(margin.keys)
+                out = {
+                    "__group": pa.array([levels[0][g] for g in group.tolist()], pa.int32()),
+                    "kind": pa.array(np.full(size, kind, np.int32)),
+                    "a": pa.array([levels[left][x] for x in first.tolist()] if kind else [None] * size, pa.string()),
+                    "b": pa.array([levels[right][x] for x in second.tolist()] if kind > c else [None] * size, pa.string()),
+                    "__n": n,
+                }
+                means = [margin.sums[:, 1 + i] / n for i in range(p)] if kind <= c else None
+                for i in range(p):
+                    out[f"__m{i}"] = means[i] + shift[i] if means else pa.nulls(size, pa.float64())
+                for k, (i, j) in enumerate(squares):
+                    out[f"__c{i}_{j}"] = margin.sums[:, 1 + p + k] / n - means[i] * means[j] if not kind else pa.nulls(size, pa.float64())
+                yield pa.RecordBatch.from_pydict(out)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([batch.column(n).to_numpy() for n in numeric]) if p else np.zeros((batch.num_rows, 0))
+            # Sums about a point among the values keep their digits.
+            shift = x.mean(0) if shift is None else shift
+            x = x - shift
+            group = number(0, batch.column("__group"))
+            level_ = [number(i + 1, batch.column(n)) << 20 for i, n in enumerate(categorical)]
+            one = np.ones((len(x), 1))
+            margins[0].add(group, np.column_stack([one, x, *[x[:, i] * x[:, j] for i, j in squares]]))
+            for i in range(c):
+                margins[1 + i].add(group | level_[i], np.column_stack([one, x]))
+            for k, (i, j) in enumerate(pairs):
+                margins[1 + c + k].add(group | level_[i] | level_[j] << 20, one)
+            if max(map(len, codes)) > _MOST_CODES - 100_000 or sum(len(m.keys) for m in margins) > _MOST_SUMS:
+                yield from sent()
+                codes, margins = [{} for _ in range(c + 1)], [_Margin() for _ in margins]
+        yield from sent()
+
+    return rows.mapInArrow(add, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
 def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]) -> GramTable:
-    p = len(numeric)
-    with kept(rows.groupBy("__group", *categorical).agg(*_cell_aggregates(numeric))) as cells:
-        keys = ["__group", *categorical]
-        head = cells.agg(
-            F.sum("__n").alias("n"),
-            *[(F.sum(F.col("__n") * F.col(f"__m{i}")) / F.sum("__n")).alias(f"s{i}") for i in range(p)],
-            *[F.approx_count_distinct(c).alias(f"k{i}") for i, c in enumerate(keys)],
+    p, kinds = len(numeric), len(categorical)
+    with kept(pair_sums(rows, numeric, categorical)) as parts:
+        whole = F.when(F.col("kind") == 0, F.col("__n"))
+        level_of = [F.when(F.col("kind") == i + 1, F.col("a")) for i in range(kinds)]
+        head = parts.agg(
+            F.sum(whole).alias("n"),
+            *[(F.sum(whole * F.col(f"__m{i}")) / F.sum(whole)).alias(f"s{i}") for i in range(p)],
+            F.count_distinct("__group").alias("k"),
+            *[F.count_distinct(x).alias(f"k{i}") for i, x in enumerate(level_of)],
         ).first()
         if not head["n"]:
             raise ValueError("no complete rows")
         shift = [head[f"s{i}"] for i in range(p)]
-        _check_size(head["k0"], p + sum(head[f"k{i}"] for i in range(1, len(keys))))
+        _check_size(head["k"], p + sum(head[f"k{i}"] for i in range(kinds)))
 
         n = F.col("__n")
         d = [F.col(f"__m{i}") - F.lit(shift[i]) for i in range(p)]
@@ -241,10 +340,16 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
             F.sum(n * (F.col(f"__c{i}_{j}") + d[i] * d[j])).alias(f"s{i}_{j}")
             for i, j in combinations_with_replacement(range(p), 2)
         ]
-        sets = [["__group"]]
-        sets += [["__group", c] for c in categorical]
-        sets += [["__group", a, b] for a, b in combinations(categorical, 2)]
-        margins = cells.groupingSets(sets, "__group", *categorical).agg(*sums).toArrow().to_pandas()
+        margins = parts.groupBy("__group", "kind", "a", "b").agg(*sums).toArrow().to_pandas()
+
+    # One column of levels for each category, empty where a sum is not about it.
+    kind = margins["kind"].to_numpy()
+    pairs = list(combinations(range(kinds), 2))
+    for i, c in enumerate(categorical):
+        left = np.isin(kind, [i + 1, *(kinds + 1 + k for k, pair in enumerate(pairs) if pair[0] == i)])
+        right = np.isin(kind, [kinds + 1 + k for k, pair in enumerate(pairs) if pair[1] == i])
+        margins[f"__level_{c}"] = np.where(left, margins["a"], np.where(right, margins["b"], None))
+    margins = margins.drop(columns=["kind", "a", "b"]).rename(columns={f"__level_{c}": c for c in categorical})
 
     present = {c: margins[c].notna() for c in categorical}
     found = {c: sorted(margins.loc[present[c], c].unique()) for c in categorical}

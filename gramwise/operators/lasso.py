@@ -7,14 +7,19 @@ matrix, so the whole path is found without reading the rows again.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gramwise.functions.columns import level
 from gramwise.operators.gram import GramTable, Moments, Term
 from gramwise.operators.ols import LinearModel
+from gramwise.operators.prepare import complete_cases
 from gramwise.operators.report import small_frame
 
 
@@ -141,6 +146,8 @@ class LassoCv:
     alphas: np.ndarray
     mse: np.ndarray  # alphas x folds
     scale: np.ndarray
+    #: For each fold left out, and -1 for none, the intercepts and coefficients at all penalties, in the units of the rows.
+    solutions: dict[int, tuple[np.ndarray, np.ndarray]] = field(repr=False, default_factory=dict)
 
     def path(self, spark: SparkSession) -> DataFrame:
         rows = [(float(a), float(m)) for a, m in zip(self.alphas, self.mse.mean(axis=1), strict=True)]
@@ -156,6 +163,71 @@ class LassoCv:
         rows.sort(key=lambda r: (-abs(r[1]), r[0]))
         return small_frame(spark, "variable string, coefficient double", rows)
 
+    def certificate(self, df: DataFrame, label: str, part: str) -> DataFrame:
+        """``fold, alpha, n, objective, gap``: whether the solutions are optimal, judged by the rows and not by the matrices.
+
+        One pass sums, for every fold left out and every penalty, the products of each term with the residuals of that
+        solution.  At an optimum they are the penalty, with the coefficient's sign, for terms in the model and no more than it
+        for the others; ``gap`` is the largest departure as a share of the penalty.  A task sends one row per fold and penalty.
+        """
+        terms = self.model.terms
+        numeric = list(dict.fromkeys(t.column for t in terms if t.value is None))
+        categorical = list(dict.fromkeys(t.column for t in terms if t.value is not None))
+        folds = sorted(self.solutions)
+        rows = df.select(
+            F.col(part).cast("int").alias("__part"), F.col(label).cast("double").alias("__y"),
+            *[F.col(c).cast("double").alias(c) for c in numeric], *[level(F.col(c)).alias(c) for c in categorical],
+        )
+        rows = complete_cases(rows, ["__y", *numeric])
+        intercept = np.stack([self.solutions[f][0] for f in folds])
+        coef = np.stack([self.solutions[f][1] for f in folds])
+        scale, sides = self.scale, [(t.column, t.value) for t in terms]
+        count = coef.shape[1]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slopes = np.zeros((len(folds), count, len(sides)))
+            squares, sizes = np.zeros((len(folds), count)), np.zeros(len(folds), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                columns = {c: batch.column(c) for c in (*numeric, *categorical)}
+                x = np.column_stack(
+                    [columns[c].to_numpy() if v is None else pc.equal(columns[c], v).to_numpy(zero_copy_only=False) for c, v in sides]
+                ).astype(float)
+                y, parts = batch.column("__y").to_numpy(), batch.column("__part").to_numpy()
+                for i, fold in enumerate(folds):
+                    rest = parts != fold
+                    residual = y[rest, None] - intercept[i] - x[rest] @ coef[i].T
+                    slopes[i] += residual.T @ (x[rest] / scale)
+                    squares[i] += (residual * residual).sum(0)
+                    sizes[i] += int(rest.sum())
+            if sizes.any():
+                at = np.arange(len(folds)).repeat(count)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "fold": pa.array(np.array(folds)[at], pa.int32()),
+                        "step": pa.array(np.tile(np.arange(count), len(folds)), pa.int32()),
+                        "n": pa.array(sizes[at]),
+                        "squares": pa.array(squares.ravel()),
+                        "slopes": pa.array(list(slopes.reshape(-1, len(sides))), pa.list_(pa.float64())),
+                    }
+                )
+
+        schema = "fold int, step int, n bigint, squares double, slopes array<double>"
+        sums = rows.mapInArrow(add, schema).select("fold", "step", "n", "squares", F.posexplode("slopes").alias("term", "slope"))
+        sums = sums.groupBy("fold", "step", "term").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), F.sum("slope").alias("slope"))
+        known = small_frame(
+            df.sparkSession, "fold int, step int, term int, alpha double, w double",
+            [(f, s, t, float(self.alphas[s]), float(coef[i, s, t] * scale[t])) for i, f in enumerate(folds) for s in range(count) for t in range(len(sides))],
+        )
+        slope, alpha, w = F.col("slope") / F.col("n"), F.col("alpha"), F.col("w")
+        gap = F.when(w != 0, F.abs(slope - alpha * F.signum(w))).otherwise(F.greatest(F.abs(slope) - alpha, F.lit(0.0))) / alpha
+        return sums.join(known, ["fold", "step", "term"]).groupBy("fold", "alpha").agg(
+            F.first("n").alias("n"),
+            (F.first("squares") / F.first("n") / 2 + F.first("alpha") * F.sum(F.abs("w"))).alias("objective"),
+            F.max(gap).alias("gap"),
+        )
+
 
 def lasso_cv(
     grams: GramTable,
@@ -189,14 +261,19 @@ def lasso_cv(
     alphas = top * np.logspace(0.0, np.log10(eps), n_alphas)
 
     mse = np.empty((n_alphas, len(folds)))
+    solutions = {}
     for f, held in enumerate(folds):
         fit, test = grams.moments([g for g in folds if g != held]), grams.moments([held])
         q, c, fit_mean = _system(fit, label, terms, scale)
         b = lasso_path(q, c, alphas, max_iter) / scale
+        solutions[held] = fit_mean[k] - b @ fit_mean[:k], b
         mean, cross = test.at([*terms, y])
         bias = (mean[k] - fit_mean[k]) - b @ (mean[:k] - fit_mean[:k])
         spread = cross[k, k] - 2.0 * b @ cross[:k, k] + np.einsum("ai,ij,aj->a", b, cross[:k, :k], b)
         mse[:, f] = spread / test.n + bias * bias
     best = int(np.argmin(mse.mean(axis=1)))
-    model = lasso(train, label, terms, float(alphas[best]), scale, max_iter)
-    return LassoCv(model, float(alphas[best]), alphas, mse, scale)
+    q, c, mean = _system(train, label, terms, scale)
+    b = lasso_path(q, c, alphas, max_iter) / scale
+    solutions[-1] = mean[k] - b @ mean[:k], b
+    model = LinearModel(float(solutions[-1][0][best]), tuple(terms), b[best])
+    return LassoCv(model, float(alphas[best]), alphas, mse, scale, solutions)

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from gramwise.functions.columns import parse_date, quarter_label, ratio, round_half_even
 from gramwise.operators import diagnose, features, order, scenario, summary
 from gramwise.operators.cache import kept
+from gramwise.operators.forest import FULL_TREES, oob_error, out_of_bag
 from gramwise.operators.gram import Term, gram_table
+from gramwise.operators.iterative import ols_many_levels
 from gramwise.operators.lasso import lasso, lasso_cv
 from gramwise.operators.ols import fit_moments, mean_vif, ols, vif, with_residuals
 from gramwise.operators.ols import holdout_metrics as metrics_of
 from gramwise.operators.prepare import by_magnitude, missing_report, top_k
-from gramwise.operators.report import statistics_frame
+from gramwise.operators.qr import least_squares
+from gramwise.operators.report import small_frame, statistics_frame
 from gramwise.plans import cross_section as cs
 from gramwise.plans import panel as pl
 from gramwise.plans.discount import DiscountStudy
@@ -27,8 +30,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 FOLDS = 15
 PANEL_YEARS = (1995, 2001)
 PANEL_FOLDS = 10
-# Trees of the registered forests; the full grid of 100, 500 and 1000 is the default of ``forest_cv``.
-FOREST_TREES = (5, 10)
 # Rows of a range in the registered rank queries: small, so that tables of any size are cut into many.
 SMALL_RANGE = 5_000
 ONE_YEAR = 1999
@@ -166,6 +167,32 @@ def split_counts(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
 
 
+@register
+def split_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Exactly a fifth of the lines, rounded up, by the smallest digests of their keys; shown by parts of the key range."""
+    lines = sales(spark, sf, *SALES_KEYS)
+    split = features.exact_split(lines, SALES_KEYS)
+    return split.groupBy("is_test", (F.col("l_orderkey") % 50).cast("int").alias("part")).agg(
+        F.count("*").alias("n"), F.sum("l_partkey").alias("parts"), F.sum("l_suppkey").alias("suppliers")
+    )
+
+
+@register
+def collinearity(spark: SparkSession, sf: str) -> DataFrame:
+    """Rank and condition number of the cross-section's regressors at unit length, and the fit, by the QR route."""
+    with kept(_section(spark, sf)) as section:
+        found = least_squares(section, cs.LABEL, cs.FULL, scaled=True)
+    return rounded(small_frame(spark, "n bigint, rank int, condition double, rss double", [(found.n, found.rank, found.condition, found.rss)]), condition=5)
+
+
+@register
+def many_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Margin on discount with a dummy for every part and every supplier, by conjugate gradients: the discount's coefficient."""
+    lines = sales(spark, sf, "discount", "margin", "l_partkey", "l_suppkey")
+    model = ols_many_levels(lines, "margin", ["discount"], ["l_partkey", "l_suppkey"])
+    return rounded(small_frame(spark, "term string, estimate double, terms int", [("discount", model.coefficient("discount"), len(model.terms))]))
+
+
 @register
 def one_hot(spark: SparkSession, sf: str) -> DataFrame:
     """Indicators learned before 2001, applied to all rows: the quarters of 2001 are unknown to them."""
@@ -188,7 +215,7 @@ def standardize(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def ols_margin(spark: SparkSession, sf: str) -> DataFrame:
-    table_ = _study(spark, sf).ols().coefficients(spark).select("term", "estimate", "se", "t", "p")
+    table_ = _study(spark, sf).ols().coefficients(spark)
     return rounded(table_, default=7, t=4, p=5)
 
 
@@ -239,23 +266,34 @@ def lasso_margin(spark: SparkSession, sf: str) -> DataFrame:
     cv = study.lasso()
     metrics = study.metrics(_lines(spark, sf), cv.model)
     chosen = {"alpha": F.lit(cv.alpha), "n_selected": F.lit(int((cv.model.coef != 0).sum())).cast("bigint")}
-    return metrics.withColumns(chosen)
+    return rounded(metrics.withColumns(chosen), alpha=10)
 
 
 @register
 def lasso_selected(spark: SparkSession, sf: str) -> DataFrame:
-    return by_magnitude(_study(spark, sf).lasso().selected(spark), "coefficient", "variable")
+    return rounded(by_magnitude(_study(spark, sf).lasso().selected(spark), "coefficient", "variable"), default=7)
 
 
 @register
 def lasso_path(spark: SparkSession, sf: str) -> DataFrame:
-    return _study(spark, sf).lasso().path(spark)
+    """Mean squared error over the folds for each of the 100 penalties, and which is chosen."""
+    cv = _study(spark, sf).lasso()
+    return rounded(cv.path(spark).withColumn("is_best", F.col("alpha") == F.lit(cv.alpha)), default=10)
+
+
+@register
+def lasso_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """For each fold left out and each penalty, how far the path's solution is from an optimum, counted from the rows."""
+    study = _study(spark, sf)
+    lines = _lines(spark, sf).withColumn("part", study.part).where(F.col("part") >= 0)
+    return rounded(study.lasso().certificate(lines, "margin", "part"), alpha=10, objective=9)
 
 
 @register
 def whatif_lasso(spark: SparkSession, sf: str) -> DataFrame:
     study = _study(spark, sf)
-    return study.sweep(_lines(spark, sf), study.lasso().model)
+    sweep = study.sweep(_lines(spark, sf), study.lasso().model)
+    return rounded(sweep.drop("n_null"), 5, **{"total_profit": -1, "total_sales": -1, "profit_change_$": -1})
 
 
 @register
@@ -386,16 +424,16 @@ def panel_missing(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def ols_origin(spark: SparkSession, sf: str) -> DataFrame:
     fit = pl.one_year_ols(_panel(spark, sf), ONE_YEAR)
-    scaled = fit.coefficients(spark).select("term", "estimate", "se", "t", "p")
+    scaled = fit.coefficients(spark)
     # one regressor is a total of about 1e7: its coefficient is shown per 1e9
     unit = F.when(F.col("term") == "gdp_usd", 1e9).otherwise(1.0)
-    return rounded(scaled.withColumns({"estimate": F.col("estimate") * unit, "se": F.col("se") * unit}), t=4, p=5)
+    return rounded(scaled.withColumns({c: F.col(c) * unit for c in ("estimate", "se", "low", "high")}), t=4, p=5)
 
 
 @register
 def ols_origin_fit(spark: SparkSession, sf: str) -> DataFrame:
     stats = pl.one_year_ols(_panel(spark, sf), ONE_YEAR).statistics()
-    names = ("n", "df_model", "df_resid", "r2", "r2_adj", "f", "loglik", "aic", "bic")
+    names = ("n", "df_model", "df_resid", "r2", "r2_adj", "f", "f_p", "loglik", "aic", "bic")
     return rounded(statistics_frame(spark, {k: stats[k] for k in names}), default=5)
 
 
@@ -426,7 +464,16 @@ def _panel_lasso(spark: SparkSession, sf: str):
 
 @register
 def panel_lasso(spark: SparkSession, sf: str) -> DataFrame:
-    return by_magnitude(_panel_lasso(spark, sf)[0].selected(spark), "coefficient", "variable")
+    return rounded(by_magnitude(_panel_lasso(spark, sf)[0].selected(spark), "coefficient", "variable"))
+
+
+@register
+def panel_lasso_certificate(spark: SparkSession, sf: str) -> DataFrame:
+    """The certificate of ``lasso_certificate`` for the panel, whose regressors are standardised."""
+    panel = _panel(spark, sf)
+    parts = pl.split_panel(panel, PANEL_FOLDS).where(F.col("part") >= 0)
+    cv = pl.panel_lasso(parts, pl.model_columns(panel), PANEL_FOLDS)
+    return rounded(cv.certificate(parts, "score", "part"), alpha=9, objective=8)
 
 
 @register
@@ -434,7 +481,7 @@ def panel_lasso_fit(spark: SparkSession, sf: str) -> DataFrame:
     """The chosen penalty, the variables left and the error on the test rows."""
     cv, test = _panel_lasso(spark, sf)
     chosen = {"alpha": F.lit(cv.alpha), "n_selected": F.lit(int((cv.model.coef != 0).sum())).cast("bigint")}
-    return metrics_of(test, "score", cv.model.predict()).withColumns(chosen)
+    return rounded(metrics_of(test, "score", cv.model.predict()).withColumns(chosen), alpha=9)
 
 
 @register
@@ -446,28 +493,70 @@ def panel_lasso_pairs(spark: SparkSession, sf: str) -> DataFrame:
         return rounded(diagnose.binned_pairs(pairs, "actual", "predicted", 20))
 
 
-def _forest(spark: SparkSession, sf: str):
-    panel = _panel(spark, sf)
-    parts = pl.split_panel(panel, PANEL_FOLDS)
-    columns = pl.model_columns(panel)
-    return pl.panel_forest(parts, columns, PANEL_FOLDS, trees=FOREST_TREES), parts, columns
+_forests: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def _forest(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The published grid, fitted once for a session and folder: three small tables that several queries show."""
+    key = spark.sparkContext.applicationId, sf
+    if key not in _forests:
+        panel = _panel(spark, sf)
+        columns = pl.model_columns(panel)
+        with kept(pl.split_panel(panel, PANEL_FOLDS)) as parts:
+            model = pl.panel_forest(parts, columns, PANEL_FOLDS, trees=FULL_TREES, parallelism=8)
+            test = model.predict(pl.scaled_split(parts, columns).where(F.col("part") < 0))
+            with kept(test.select(F.col("score").alias("actual"), F.col("prediction").alias("predicted"))) as pairs:
+                error = pairs.agg(F.count("*").alias("n"), F.avg(F.pow(F.col("actual") - F.col("predicted"), 2)).alias("mse")).first()
+                cells = diagnose.binned_pairs(pairs, "actual", "predicted", 20)
+                _forests[key] = {
+                    "grid": model.grid_table(spark),
+                    "importance": top_k(model.importances(spark), "importance", 15, "feature"),
+                    "holdout": small_frame(spark, "n bigint, mse double", [(error["n"], error["mse"])]),
+                    "pairs": small_frame(spark, cells.schema.simpleString()[7:-1].replace(":", " "), [tuple(r) for r in cells.collect()]),
+                }
+    return _forests[key]
 
 
 @register
 def forest_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return _forest(spark, sf)[0].grid_table(spark)
+    """Error over ten folds of 100, 500 and 1000 trees with both feature settings."""
+    return _forest(spark, sf)["grid"]
 
 
 @register
 def forest_importance(spark: SparkSession, sf: str) -> DataFrame:
-    return top_k(_forest(spark, sf)[0].importances(spark), "importance", 15, "feature")
+    return _forest(spark, sf)["importance"]
 
 
 @register
 def forest_holdout(spark: SparkSession, sf: str) -> DataFrame:
-    model, parts, columns = _forest(spark, sf)
-    test = model.predict(pl.scaled_split(parts, columns).where(F.col("part") < 0))
-    return test.agg(F.count("*").alias("n"), F.avg(F.pow(F.col("score") - F.col("prediction"), 2)).alias("mse"))
+    return _forest(spark, sf)["holdout"]
+
+
+@register
+def forest_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Actual against predicted scores of the test rows as cell counts."""
+    return _forest(spark, sf)["pairs"]
+
+
+@register
+def forest_study(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole published study in one table: grid, importances and hold-out error."""
+    found = _forest(spark, sf)
+    name = F.concat_ws(" ", F.col("trees").cast("string"), "features")
+    grid = found["grid"].select(F.lit("grid").alias("table"), name.alias("name"), F.col("cv_mse").alias("value"))
+    weights = found["importance"].select(F.lit("importance"), "feature", "importance")
+    test = found["holdout"].select(F.lit("holdout"), F.lit("mse"), "mse")
+    return grid.union(weights).union(test)
+
+
+@register
+def forest_out_of_bag(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-bag error of 100 trees on the training rows."""
+    panel = _panel(spark, sf)
+    columns = pl.model_columns(panel)
+    rows = pl.split_panel(panel, PANEL_FOLDS).where(F.col("part") >= 0)
+    return oob_error(out_of_bag(rows, "score", columns, ["Country", "Year"], trees=FULL_TREES[0]), "score")
 
 
 # ---------------------------------------------------------------- cross-section
@@ -490,14 +579,14 @@ def derived_variables(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _coefficients(spark: SparkSession, model: cs.CrossSectionModel) -> DataFrame:
-    return rounded(model.fit.coefficients(spark).select("term", "estimate", "se", "t", "p"), default=8, t=4, p=5)
+    return rounded(model.fit.coefficients(spark), default=8, t=4, p=5)
 
 
 def _fit_table(spark: SparkSession, model: cs.CrossSectionModel) -> DataFrame:
     stats = model.fit.statistics()
     names = (
         "n", "df_model", "df_resid", "ss_model", "ss_resid", "ss_total", "ms_model", "ms_resid", "f", "r2", "r2_adj",
-        "root_mse",
+        "root_mse", "f_p",
     )
     return rounded(statistics_frame(spark, {k: stats[k] for k in names}))
 
@@ -578,18 +667,18 @@ def residual_density(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
     with kept(_section(spark, sf)) as section:
-        return rounded(diagnose.shapiro_wilk(_residuals(section)).drop("p"), v=5, z=5)
+        return rounded(diagnose.shapiro_wilk(_residuals(section)), v=5, z=5, p=5)
 
 
 @register
 def shapiro_francia(spark: SparkSession, sf: str) -> DataFrame:
     """On a column with many equal values, at any size; z and p only where they are calibrated."""
     found = diagnose.shapiro_francia(sales(spark, sf, "quantity"), "quantity", rows_per_bin=SMALL_RANGE)
-    return rounded(found.drop("p"), default=7)
+    return rounded(found, default=7)
 
 
 @register
 def im_test(spark: SparkSession, sf: str) -> DataFrame:
     with kept(_section(spark, sf)) as section:
         model = cs.CrossSectionModel.estimate(section)
-        return rounded(diagnose.im_test(section, model.fit, model.moments).drop("p"), default=4)
+        return rounded(diagnose.im_test(section, model.fit, model.moments), default=4, p=5)

@@ -8,7 +8,7 @@ query.
 from __future__ import annotations
 
 from gramwise.plans.catalog import (
-    ELASTICITY, FOLDS, LASSO_ALPHA, MARGIN_AT_ZERO, MARGIN_SLOPE, ONE_YEAR, PANEL_YEARS,
+    ELASTICITY, FOLDS, LASSO_ALPHA, MARGIN_AT_ZERO, MARGIN_SLOPE, ONE_YEAR, PANEL_FOLDS, PANEL_YEARS,
 )
 from gramwise.plans.cross_section import FULL, LABEL, REDUCED, SUMMARY
 from gramwise.plans.panel import REGRESSORS
@@ -151,26 +151,171 @@ def sweep(long: str, name: str = "fit", last: str = "__y") -> str:
 {name}_rss as (select v as rss from {name}_m where i = '{last}' and j = '{last}')"""
 
 
+def density_t(x: str, df: str = "df") -> str:
+    return (
+        f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0) - 0.5 * ln({df} * pi())"
+        f" - ({df} + 1) / 2.0 * ln(1.0 + ({x}) * ({x}) / {df}))"
+    )
+
+
+def simpson(density: str, low: str, high: str, steps: int = 4000) -> str:
+    """Integral of ``density``, a format string of the point ``x``, by Simpson's rule."""
+    h = f"(({high}) - ({low})) / {steps}.0"
+    weight = f"case when step_no in (0, {steps}) then 1.0 when step_no % 2 = 1 then 4.0 else 2.0 end"
+    value = density.format(x=f"({low}) + step_no * {h}")
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda step_no: {weight} * {value})) * {h} / 3.0)"
+
+
+def normal_tail(z: str) -> str:
+    return simpson("exp(-0.5 * ({x}) * ({x})) / sqrt(2.0 * pi())", z, f"greatest({z}, 0.0) + 40.0", 8000)
+
+
+def chi2_tail(value: str, df: str) -> str:
+    """The density of the root of chi-squared has no pole at zero."""
+    density = f"2.0 * exp(({df} - 1) * ln(greatest({{x}}, 1e-300)) - ({{x}}) * ({{x}}) / 2.0 - lgamma({df} / 2.0) - {df} / 2.0 * ln(2.0))"
+    return simpson(density, f"sqrt({value})", f"sqrt({value}) + 40.0", 8000)
+
+
+def f_tail(value: str, df1: str, df2: str) -> str:
+    """The beta density in the angle whose squared sine is the ratio of the sums."""
+    a, b = f"({df1}) / 2.0", f"({df2}) / 2.0"
+    density = (
+        f"2.0 * exp((2.0 * {a} - 1.0) * ln(greatest(sin({{x}}), 1e-300)) + (2.0 * {b} - 1.0) * ln(greatest(cos({{x}}), 1e-300))"
+        f" + lgamma({a} + {b}) - lgamma({a}) - lgamma({b}))"
+    )
+    low = f"asin(sqrt(({df1}) * ({value}) / (({df1}) * ({value}) + ({df2}))))"
+    return simpson(density, low, f"least(pi() / 2.0, {low} + 40.0 / sqrt({df2}))", 8000)
+
+
 def t_table(name: str, n: str, digits: int, unit: str = "1.0::double") -> str:
-    """Coefficient table with two-sided p-values by Simpson's rule on the t density."""
+    """Coefficient table with two-sided p-values by Simpson's rule on the t density, and 95% bounds by Newton's on that."""
     return f"""
 {name}_inf as (
   select c.term, estimate, sqrt(m.v * rss / df) as se, estimate / sqrt(m.v * rss / df) as t, df
   from {name}_coef c join {name}_m m on m.i = c.term and m.j = c.term, {name}_rss,
-       (select ({n}) - (select count(*) from {name}_coef) as df)
+       (select (({n}) - (select count(*) from {name}_coef))::double as df)
+),
+{name}_reach as (
+  select 0 as step, 1.0::double as x, df from (select distinct df from {name}_inf)
+  union all
+  select step + 1, x + (0.475 - {simpson(density_t("{x}"), "0.0", "x", 2000)}) / {density_t("x")}, df
+  from {name}_reach where step < 60
 ),
 {name}_area as (
-  select term, sum(w * h / 3.0 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - 0.5 * ln(df * pi())
-             - (df + 1) / 2.0 * ln(1.0 + (k * h) * (k * h) / df))) as area
-  from (
-    select term, df, least(abs(t), 60.0) / 4000.0 as h, k,
-           case when k in (0, 4000) then 1.0 when k % 2 = 1 then 4.0 else 2.0 end as w
-    from {name}_inf, range(0, 4001) as s(k)
-  ) group by term
+  select term, {simpson(density_t("{x}"), "0.0", "least(abs(t), 60.0)")} as area from {name}_inf
 )
 select i.term, {r(f'estimate * {unit}', digits)} as estimate, {r(f'se * {unit}', digits)} as se,
-       {r('t', 4)} as t, {r('greatest(1.0::double - 2.0 * area, 0.0::double)', 5)} as p
-from {name}_inf i join {name}_area a using (term)"""
+       {r('t', 4)} as t, {r('greatest(1.0::double - 2.0 * area, 0.0::double)', 5)} as p,
+       {r(f'(estimate - x * se) * {unit}', digits)} as low, {r(f'(estimate + x * se) * {unit}', digits)} as high
+from {name}_inf i join {name}_area a using (term), (select x from {name}_reach where step = 60)"""
+
+
+def centred(name: str, source: str) -> str:
+    """``{name}(fold, n, q, c, m, my, yy)``: means and mean centred products of ``source(fold, a, b, s)`` as lists in the order of terms."""
+    return f"""
+{name}_n as (select fold, s as n from {source} where a = '_cons' and b = '_cons'),
+{name}_all as (select term, k from las_terms union all select '__y', p + 1 from las_p),
+{name}_m as (
+  select fold, term, k, coalesce(s, 0.0::double) / n as m
+  from {name}_n cross join {name}_all left join (select fold, b as term, s from {source} where a = '_cons') using (fold, term)
+),
+{name}_q as (
+  select x.fold, x.term as a, y.term as b, x.k as i, y.k as j, coalesce(s, 0.0::double) / n - x.m * y.m as q
+  from {name}_m x join {name}_m y using (fold) join {name}_n using (fold)
+  left join {source} g on g.fold = x.fold and g.a = x.term and g.b = y.term
+)"""
+
+
+def listed(name: str) -> str:
+    return f"""
+{name} as (
+  select fold, n, q, c, m, my, yy
+  from (
+    select fold, list(r order by i) as q from (
+      select fold, i, list(q / u.s / w.s order by j) as r
+      from {name}_q x join las_scale u on u.term = a join las_scale w on w.term = b group by fold, i
+    ) group by fold
+  )
+  join (select fold, list(q / s order by i) as c from {name}_q join las_scale on term = a where b = '__y' group by fold) using (fold)
+  join (select fold, list(m / s order by k) as m from {name}_m join las_scale using (term) group by fold) using (fold)
+  join (select fold, m as my from {name}_m where term = '__y') using (fold)
+  join (select fold, q as yy from {name}_q where a = '__y' and b = '__y') using (fold)
+  join {name}_n using (fold)
+)"""
+
+
+def lasso_sql(long: str, standardize: bool) -> str:
+    """Cross-validated Lasso of ``long(id, part, term, v)`` by cyclic coordinate descent, all folds and penalties side by side.
+
+    ``las_path(k, alpha, mse)``, ``las_best(k, alpha)``, ``las_coef(term, estimate, scaled)`` with ``_cons``, and
+    ``las_proof(fold, k, alpha, n, objective, gap)``: how far each solution is from meeting the conditions of an optimum.
+    """
+    scale = "case when q > 0 then sqrt(q) else 1.0::double end" if standardize else "1.0::double"
+    new = "c[e[1]::integer] - list_dot_product(q[e[1]::integer], acc) + q[e[1]::integer][e[1]::integer] * acc[e[1]::integer]"
+    return f"""
+las_terms as (
+  select term, row_number() over (order by term) as k
+  from (select distinct term from {long} where part >= 0) where term not in ('_cons', '__y')
+),
+las_p as (select count(*) as p from las_terms),
+las_g as (
+  select x.part as fold, x.term as a, y.term as b, sum(x.v * y.v) as s from {long} x join {long} y using (id)
+  where x.part >= 0 group by all
+),
+las_t as (
+  select f.fold, a, b, sum(s) as s
+  from las_g g join (select distinct fold from las_g union all select -1) f on g.fold <> f.fold group by all
+),
+{centred('las_fit', 'las_t')},
+las_scale as (select a as term, {scale} as s from las_fit_q where fold = -1 and a = b and a <> '__y'),
+{listed('las_fit')},
+{centred('las_held', 'las_g')},
+{listed('las_held')},
+las_grid as (
+  select k, (select list_max(list_transform(c, lambda x: abs(x))) from las_fit where fold = -1) * power(10.0::double, -3.0::double * k / 99.0) as alpha
+  from range(0, 100) as s(k)
+),
+las_cd as (
+  select 0 as step, fold, k, alpha, list_transform(range(0, p), lambda x: 0.0::double) as w, 1.0::double as delta
+  from las_fit, las_grid, las_p
+  union all
+  select step + 1, fold, k, alpha, new_w, list_max(list_transform(list_zip(w, new_w), lambda x: abs(x[1] - x[2])))
+  from (
+    select step, fold, k, alpha, w,
+      list_reduce(list_concat([w], list_transform(range(1, len(w) + 1), lambda j: [j::double])), lambda acc, e:
+        list_concat(acc[1 : e[1]::integer - 1],
+          [case when q[e[1]::integer][e[1]::integer] > 0
+            then sign({new}) * greatest(abs({new}) - alpha, 0.0::double) / q[e[1]::integer][e[1]::integer] else 0.0::double end],
+          acc[e[1]::integer + 1 : len(acc)])) as new_w
+    from las_cd join las_fit using (fold) where delta > 1e-13 and step < 3000
+  )
+),
+las_w as (select fold, k, any_value(alpha) as alpha, arg_max(w, step) as w from las_cd group by fold, k),
+las_error as (
+  select x.fold, k, alpha, h.yy - 2.0 * list_dot_product(w, h.c)
+    + list_dot_product(w, list_transform(h.q, lambda row: list_dot_product(row, w)))
+    + power(h.my - f.my - list_dot_product(w, h.m) + list_dot_product(w, f.m), 2) as mse
+  from las_w x join las_fit f using (fold) join las_held h using (fold)
+),
+las_path as (select k, any_value(alpha) as alpha, avg(mse) as mse from las_error group by k),
+las_best as (select k, alpha from las_path order by mse, alpha desc limit 1),
+las_coef as (
+  select term, w[t.k] / s as estimate, w[t.k] as scaled
+  from las_w x join las_best using (k), las_terms t join las_scale using (term) where fold = -1
+  union all
+  select '_cons', my - list_dot_product(w, m), null from las_w join las_best using (k) join las_fit using (fold) where fold = -1
+),
+las_slope as (
+  select fold, k, alpha, n, w, yy, c, list_transform(q, lambda row: list_dot_product(row, w)) as qw
+  from las_w join las_fit using (fold)
+),
+las_proof as (
+  select fold, k, alpha, n, (yy - 2.0 * list_dot_product(w, c) + list_dot_product(w, qw)) / 2.0
+      + alpha * list_sum(list_transform(w, lambda x: abs(x))) as objective,
+    list_max(list_transform(list_zip(w, c, qw), lambda x:
+      case when x[1] <> 0 then abs(x[2] - x[3] - alpha * sign(x[1])) else greatest(abs(x[2] - x[3]) - alpha, 0.0::double) end)) / alpha as gap
+  from las_slope
+)"""
 
 
 def levels(source: str, where: str) -> str:
@@ -210,6 +355,16 @@ e_levels as (select * from levels),
 e_long as ({numbers('lines', {'log1p_discount': 'ln(1.0 + discount)', '__y': 'ln(sales)'})} union all {dummies('lines')}),
 {sweep('e_long', 'efit')}"""
 
+MARGIN_LASSO = f"""{SALES},
+train as (select * from lines where part >= 0),
+{levels('lines', 'part >= 0')},
+long as (
+  select id, part, term, v
+  from ({numbers('train', {'discount': 'discount', '__y': 'margin'})} union all {dummies('train')}) join train using (id)
+),
+{lasso_sql('long', False)},
+fit_coef as (select term, estimate from las_coef)"""
+
 CAPS = "caps as (select k / 100.0::double as cap from range(0, 81) as s(k))"
 
 
@@ -261,14 +416,46 @@ FITTED_LINES = """
     from (select id, '_cons' as term, 1.0::double as v from lines union all {dummies}) join fit_coef using (term)
     group by id
   ) using (id)""".format(dummies=dummies("lines"))
-FITTED_SWEEP = f"""
-with recursive {MARGIN_FIT},
+def fitted_sweep(margin: str) -> str:
+    return f"""
+with recursive {margin},
 {ELASTICITY_FIT},
 {CAPS},
 fitted_lines as ({FITTED_LINES}),
 {cap_rows('select * from fitted_lines', "(select estimate from efit_coef where term = 'log1p_discount')", 'level')}"""
 
 
+FITTED_SWEEP = fitted_sweep(MARGIN_FIT)
+WHATIF = f"""
+select {rounded({'discount_cap': 5, 'total_profit': -1, 'total_sales': -1, 'profit_change_$': -1,
+                 'profit_change_%': 5, 'sales_change_%': 5})} from result"""
+TEST_METRICS = f"""
+test as (select * from lines where part < 0),
+score as (
+  select id, sum(v * estimate) as yhat
+  from ({numbers('test', {'discount': 'discount'})} union all {dummies('test')}) join fit_coef using (term) group by id
+)
+select count(*) as n, {r('1.0 - sum((margin - yhat) * (margin - yhat)) / (var_pop(margin) * count(*))')} as r2,
+       {r('avg(abs(margin - yhat))')} as mae, {r('avg((margin - yhat) * (margin - yhat))')} as mse"""
+PANEL_HASH = """cast('0x' || substr(md5(concat_ws('|', "Country", "Year")), 1, 8) as bigint)"""
+PANEL_FEATURES = (*REGRESSORS, "income_group_code")
+PANEL_LASSO = f"""{PANEL},
+rows as (
+  select row_number() over () as id, *,
+         case when {PANEL_HASH} % 100 < 20 then -1 else cast(({PANEL_HASH} // 100) % {PANEL_FOLDS} as integer) end as part
+  from panel
+),
+long as (
+  select id, part, term, v from ({numbers('rows', {c: c for c in PANEL_FEATURES} | {'__y': 'score'})}) join rows using (id)
+),
+{lasso_sql('long', True)},
+guess as (
+  select score as y, (select estimate from las_coef where term = '_cons')
+         + {" + ".join(f"{c} * (select estimate from las_coef where term = '{c}')" for c in PANEL_FEATURES)} as yhat
+  from rows where part < 0
+)"""
+
+
 def section_fit(names: tuple[str, ...]) -> str:
     columns = {c: c for c in names} | {"__y": LABEL}
     source = "(select unit as id, * from section)"
@@ -371,8 +558,8 @@ parts as (
   union all
   select 'kurtosis', n * m4 * m4 / s4, 1::integer from moments
 )
-select source, {r('chi2', 4)} as chi2, df from parts
-union all select 'total', {r('sum(chi2)', 4)}, sum(df)::integer from parts"""
+select source, {r('chi2', 4)} as chi2, df, {r(chi2_tail('chi2', 'df'), 5)} as p
+from (select * from parts union all select 'total', sum(chi2), sum(df)::integer from parts)"""
 
 
 def statistics(source: str, values: dict[str, str], digits: int) -> str:
@@ -392,7 +579,7 @@ s as (
     'n': 'n', 'df_model': 'k', 'df_resid': 'n - k - 1', 'ss_model': 'tss - rss', 'ss_resid': 'rss', 'ss_total': 'tss',
     'ms_model': '(tss - rss) / k', 'ms_resid': 'rss / (n - k - 1)', 'f': '((tss - rss) / k) / (rss / (n - k - 1))',
     'r2': '1.0 - rss / tss', 'r2_adj': '1.0 - (rss / (n - k - 1)) / (tss / (n - 1))',
-    'root_mse': 'sqrt(rss / (n - k - 1))',
+    'root_mse': 'sqrt(rss / (n - k - 1))', 'f_p': f_tail('((tss - rss) / k) / (rss / (n - k - 1))', 'k', '(n - k - 1)'),
 }, 6)}"""
 
 
@@ -494,24 +681,47 @@ s as (
 with recursive {MARGIN_FIT}
 select term, {r('estimate', 7)} as estimate, {r('abs(estimate)', 7)} as magnitude
 from fit_coef where term <> '_cons' order by abs(fit_coef.estimate) desc, term limit 15""",
-    "holdout_metrics": f"""
-with recursive {MARGIN_FIT},
-test as (select * from lines where part < 0),
-score as (
-  select id, sum(v * estimate) as yhat
-  from ({numbers('test', {'discount': 'discount'})} union all {dummies('test')}) join fit_coef using (term) group by id
-)
-select count(*) as n, {r('1.0 - sum((margin - yhat) * (margin - yhat)) / (var_pop(margin) * count(*))')} as r2,
-       {r('avg(abs(margin - yhat))')} as mae, {r('avg((margin - yhat) * (margin - yhat))')} as mse
-from test join score using (id)""",
+    "holdout_metrics": f"with recursive {MARGIN_FIT}, {TEST_METRICS} from test join score using (id)",
     "elasticity": f"""
 with recursive {SALES},
 {levels('lines', 'true')},
 {ELASTICITY_FIT}
 select {r('estimate')} as elasticity, (select count(*) from lines) as n from efit_coef where term = 'log1p_discount'""",
-    "whatif_profit": f"""{FITTED_SWEEP}
-select {rounded({'discount_cap': 5, 'total_profit': -1, 'total_sales': -1, 'profit_change_$': -1,
-                 'profit_change_%': 5, 'sales_change_%': 5})} from result""",
+    "whatif_profit": f"{FITTED_SWEEP}{WHATIF}",
+    "whatif_lasso": f"{fitted_sweep(MARGIN_LASSO)}{WHATIF}",
+    "lasso_margin": f"""
+with recursive {MARGIN_LASSO},
+{TEST_METRICS}, {r('any_value(alpha)', 10)} as alpha,
+       (select count(*) from las_coef where scaled <> 0) as n_selected
+from test join score using (id), las_best""",
+    "lasso_selected": f"""
+with recursive {MARGIN_LASSO}
+select term as variable, {r('scaled', 7)} as coefficient from las_coef where scaled <> 0""",
+    "lasso_path": f"""
+with recursive {MARGIN_LASSO}
+select {r('alpha', 10)} as alpha, {r('mse', 10)} as mean_mse, k = (select k from las_best) as is_best from las_path""",
+    "lasso_certificate": f"""
+with recursive {MARGIN_LASSO}
+select fold::integer as fold, {r('alpha', 10)} as alpha, n::bigint as n, {r('objective', 9)} as objective, {r('gap')} as gap from las_proof""",
+    "panel_lasso": f"""
+with recursive {PANEL_LASSO}
+select term as variable, {r('scaled')} as coefficient from las_coef where scaled <> 0""",
+    "panel_lasso_fit": f"""
+with recursive {PANEL_LASSO}
+select count(*) as n, {r('1.0 - sum((y - yhat) * (y - yhat)) / (var_pop(y) * count(*))')} as r2, {r('avg(abs(y - yhat))')} as mae,
+       {r('avg((y - yhat) * (y - yhat))')} as mse, {r('any_value(alpha)', 9)} as alpha,
+       (select count(*) from las_coef where scaled <> 0) as n_selected
+from guess, las_best""",
+    "panel_lasso_pairs": f"""
+with recursive {PANEL_LASSO},
+e as (select min(y) as x0, max(y) as x1, min(yhat) as y0, max(yhat) as y1 from guess)
+select least(floor((y - x0) / ((x1 - x0) / 20)), 19)::integer as x_bin,
+       least(floor((yhat - y0) / ((y1 - y0) / 20)), 19)::integer as y_bin, count(*) as n,
+       {r('any_value(x0)')} as x_min, {r('any_value(x1)')} as x_max, {r('any_value(y0)')} as y_min, {r('any_value(y1)')} as y_max
+from guess, e group by 1, 2""",
+    "panel_lasso_certificate": f"""
+with recursive {PANEL_LASSO}
+select fold::integer as fold, {r('alpha', 9)} as alpha, n::bigint as n, {r('objective', 8)} as objective, {r('gap')} as gap from las_proof""",
     "whatif_best": f"""{FITTED_SWEEP}
 select {r('discount_cap')} as discount_cap, {r('total_profit', -1)} as total_profit
 from result order by round(total_profit, 3) desc, discount_cap limit 1""",
@@ -716,6 +926,7 @@ s as (
     'n': 'n', 'df_model': 'k', 'df_resid': 'n - k', 'r2': '1.0 - rss / tss',
     'r2_adj': '1.0 - (rss / (n - k)) / (tss / n)', 'f': '((tss - rss) / k) / (rss / (n - k))', 'loglik': 'll',
     'aic': '-2.0 * ll + 2.0 * k', 'bic': '-2.0 * ll + k * ln(n)',
+    'f_p': f_tail('((tss - rss) / k) / (rss / (n - k))', 'k', '(n - k)'),
 }, 5)}""",
     "summarize": f"""
 with {SECTION}
@@ -829,11 +1040,13 @@ v as (
   from z
 )
 select n, {r('w')} as w, case when n <= 2000 then {r('exp(gap - mu)', 5)} end as v,
-       case when n <= 2000 then {r('(gap - mu) / sd', 5)} end as z from v""",
+       case when n <= 2000 then {r('(gap - mu) / sd', 5)} end as z,
+       case when n <= 2000 then {r(normal_tail('(gap - mu) / sd'), 5)} end as p from v""",
     "shapiro_francia": f"""
 with sample as (select l_quantity as x from lineitem),
 {ORDERED}
-select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z, count(*) between 5 and 5000 as calibrated
+select count(*) as n, {r('power(corr(m, x), 2)', 7)} as w, null::double as z, null::double as p,
+       count(*) between 5 and 5000 as calibrated
 from ordered""",
     "im_test": im_sql(),
 }
@@ -846,3 +1059,47 @@ res as (
 )
 select {r('sum(step * step) / sum(e * e)')} as durbin_watson
 from (select e, e - lag(e) over (order by "Country", e) as step from res)"""
+ORACLES["split_exact"] = f"""
+with d as (
+  select *, row_number() over (order by {KEY_HASH}, {KEYS}) <= ceil(count(*) over () * 0.2) as is_test from lineitem
+)
+select is_test, cast(l_orderkey % 50 as integer) as part, count(*) as n, sum(l_partkey)::bigint as parts, sum(l_suppkey)::bigint as suppliers
+from d group by all"""
+ORACLES["many_levels"] = f"""
+with recursive obs as (
+  select row_number() over () as id, l_partkey as a, l_suppkey as b, l_discount as x, {PROFIT} / nullif(l_extendedprice, 0) as y from lineitem
+),
+swept as (
+  select 0 as step, id, a, b, x, y from obs
+  union all
+  select step + 1, id, a, b, x - avg(x) over (partition by b), y - avg(y) over (partition by b)
+  from (select step, id, a, b, x - avg(x) over (partition by a) as x, y - avg(y) over (partition by a) as y from swept where step < 40)
+)
+select 'discount' as term, {r('sum(x * y) / sum(x * x)')} as estimate,
+       (select count(distinct a) + count(distinct b) - 1 from obs)::integer as terms
+from swept where step = 40"""
+ORACLES["collinearity"] = f"""
+with recursive {section_fit(FULL)},
+sizes as (select t.term, sqrt(g.v) as s from fit_gram g join fit_terms t on t.k = g.i where g.i = g.j and t.term <> '__y'),
+whole as (
+  select list(r order by k) as m from (
+    select a.k, list(g.v / x.s / y.s order by b.k) as r
+    from fit_gram g join fit_terms a on a.k = g.i join fit_terms b on b.k = g.j join sizes x on x.term = a.term join sizes y on y.term = b.term
+    group by a.k)
+),
+inverse as (
+  select list(r order by k) as m from (
+    select a.k, list(g.v * x.s * y.s order by b.k) as r
+    from fit_m g join fit_terms a on a.term = g.i join fit_terms b on b.term = g.j join sizes x on x.term = a.term join sizes y on y.term = b.term
+    group by a.k)
+),
+power as (
+  select 0 as step, kind, m, list_transform(m, lambda x: 1.0::double + x[1] / 7.0) as v, 1.0::double as size
+  from (select 'whole' as kind, m from whole union all select 'inverse', m from inverse)
+  union all
+  select step + 1, kind, m, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))), sqrt(list_sum(list_transform(w, lambda y: y * y)))
+  from (select step, kind, m, list_transform(m, lambda row: list_dot_product(row, v)) as w from power where step < 1000)
+)
+select (select count(*) from section) as n, (select count(*) from sizes)::integer as rank,
+       {r('sqrt(max(size) filter (kind = ' + "'whole'" + ') * max(size) filter (kind = ' + "'inverse'" + '))', 5)} as condition, {r('any_value(rss)')} as rss
+from power, fit_rss where step = 1000"""

@@ -14,7 +14,8 @@ from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
 from check_oracle import compare, connect  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"forest_grid", "forest_importance", "forest_holdout"}
+# The published grid takes minutes; tests/test_forest.py fits small ones.
+SLOW = {"forest_grid", "forest_importance", "forest_holdout", "forest_pairs", "forest_study", "forest_out_of_bag"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 
