@@ -109,28 +109,42 @@ def _runs(starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """``key``: a hash of id and text, the same whenever the row is read."""
-    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    """``key`` and ``other``: two hashes of the text, the same whenever the row is read; equal texts have equal spans."""
+    other = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return docs.withColumn("key", F.xxhash64("text")).withColumn("other", other)
+
+
+def _distinct(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """One row of each text of a batch, and how many it has."""
+    names = np.column_stack([batch.column("key").to_numpy(), batch.column("other").to_numpy()])
+    _, first, count = np.unique(names, axis=0, return_index=True, return_counts=True)
+    return first, count
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def describe(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            keys, found = batch.column("key").to_numpy(), [[] for _ in range(5)]
-            for i in np.flatnonzero(np.diff(offsets) >= length).tolist():
+            keys, others, found = batch.column("key").to_numpy(), batch.column("other").to_numpy(), [[] for _ in range(7)]
+            # Repeated texts of a batch are described once, with their number.
+            for i, rows in zip(*(x.tolist() for x in _distinct(batch)), strict=True):
+                if offsets[i + 1] - offsets[i] < length:
+                    continue
                 first, last, bucket, whole = anchors(data[offsets[i] : offsets[i + 1]], length, gram)
-                for column, values in zip(found, (np.full(len(first), keys[i]), first, last, bucket.view(np.int64), whole.view(np.int64)), strict=True):
+                same = (np.full(len(first), x) for x in (keys[i], others[i], rows))
+                for column, values in zip(found, (*same, first, last, bucket.view(np.int64), whole.view(np.int64)), strict=True):
                     column.append(values)
             if found[0]:
-                key, first, last, bucket, whole = map(np.concatenate, found)
-                yield pa.RecordBatch.from_pydict({"key": key, "first": first.astype(np.int32), "last": last.astype(np.int32), "bucket": bucket, "around": whole})
+                key, other, rows, first, last, bucket, whole = map(np.concatenate, found)
+                yield pa.RecordBatch.from_pydict(
+                    {"key": key, "other": other, "rows": rows, "first": first.astype(np.int32), "last": last.astype(np.int32), "bucket": bucket, "around": whole}
+                )
 
-    return docs.mapInArrow(describe, "key bigint, first int, last int, bucket bigint, around bigint")
+    return docs.mapInArrow(describe, "key bigint, other bigint, rows bigint, first int, last int, bucket bigint, around bigint")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """``key, first, text`` of the wanted surroundings ``(key, first)``, and by chance a few more."""
+    """``key, other, first, text`` of the wanted surroundings ``(key, other, first)``, and by chance a few more."""
     place = F.col("key").bitwiseXOR(F.col("first").cast("bigint") * F.lit(_SPREAD))
     both = key_filter(wanted, "key"), key_filter(wanted.select(place.alias("place")), "place")
     bits = docs.sparkSession.sparkContext.broadcast(both)
@@ -139,61 +153,65 @@ def _texts(docs: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFr
         keys_known, places_known = bits.value
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            keys = batch.column("key").to_numpy()
-            rows = []
-            for i in np.flatnonzero((np.diff(offsets) >= length) & in_filter(keys_known, keys)).tolist():
+            keys, others = batch.column("key").to_numpy(), batch.column("other").to_numpy()
+            rows, unlike = [], _distinct(batch)[0]
+            for i in unlike[(np.diff(offsets)[unlike] >= length) & in_filter(keys_known, keys[unlike])].tolist():
                 text = data[offsets[i] : offsets[i + 1]]
                 first, last, _, _ = anchors(text, length, gram)
                 for k in np.flatnonzero(in_filter(places_known, keys[i] ^ (first * _SPREAD))).tolist():
-                    rows.append((keys[i], first[k], text[first[k] : last[k] + length].tobytes()))
+                    rows.append((keys[i], others[i], first[k], text[first[k] : last[k] + length].tobytes()))
             if rows:
-                key, first, texts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"key": np.array(key, np.int64), "first": np.array(first, np.int32), "text": pa.array(texts, pa.binary())})
+                key, other, first, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_pydict(
+                    {"key": np.array(key, np.int64), "other": np.array(other, np.int64), "first": np.array(first, np.int32), "text": pa.array(texts, pa.binary())}
+                )
 
-    return docs.mapInArrow(cut, "key bigint, first int, text binary")
+    return docs.mapInArrow(cut, "key bigint, other bigint, first int, text binary")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
-    """``key, start, stop``: spans of ``docs(key, text)`` that repeated windows cover; spans may touch or overlap."""
+    """``key, other, start, stop``: spans of ``docs(key, other, text)`` that repeated windows cover; spans may touch, overlap or come twice."""
     rows = written(_anchor_rows(docs, length, gram), "anchors")
-    around = rows.groupBy("bucket", "around").agg(
-        F.count(F.lit(1)).alias("copies"), F.first("key").alias("key"), F.first("first").alias("first"), F.first("last").alias("last")
-    )
+    place = F.struct("key", "other", "first", "last")
+    around = rows.groupBy("bucket", "around").agg(F.sum("rows").alias("copies"), F.min(place).alias("place")).select("bucket", "around", "copies", "place.*")
     buckets = around.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("places")).filter("places > 1")
     around = written(around.join(buckets.drop("places"), "bucket"), "around")
 
     whole = rows.join(around.filter("copies > 1").select("bucket", "around"), ["bucket", "around"])
-    spans = whole.select("key", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
+    spans = whole.select("key", "other", F.col("first").alias("start"), (F.col("last") + length).alias("stop"))
 
-    open_ = around.filter("kinds > 1").select("key", "first", "bucket", "copies", "kinds")
-    texts = written(open_.join(_texts(docs, open_.select("key", "first"), length, gram).dropDuplicates(["key", "first"]), ["key", "first"]), "texts")
+    open_ = around.filter("kinds > 1").select("key", "other", "first", "bucket", "copies", "kinds")
+    at = ["key", "other", "first"]
+    texts = written(open_.join(_texts(docs, open_.select("key", "first"), length, gram).dropDuplicates(at), at), "texts")
 
     def settle(rows_):
-        found = repeated_starts([x[4] for x in rows_], length)
+        found = repeated_starts([x[5] for x in rows_], length)
         out = []
-        for (key, first, _, copies, _), starts in zip(rows_, found, strict=True):
+        for (key, other, first, _, copies, _), starts in zip(rows_, found, strict=True):
             # Surroundings that stand in several places are covered already.
             if copies == 1 and len(starts):
-                out += [(key, first + a, first + b) for a, b in zip(*_runs(starts, length), strict=True)]
-        key, start, stop = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], names=["key", "start", "stop"])
+                out += [(key, other, first + a, first + b) for a, b in zip(*_runs(starts, length), strict=True)]
+        key, other, start, stop = zip(*out, strict=True) if out else ((), (), (), ())
+        arrays = [pa.array(key, pa.int64()), pa.array(other, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "other", "start", "stop"])
+
+    columns = ["key", "other", "first", "bucket", "copies", "text"]
 
     def refine(batches):
         waiting, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "bucket", "copies", "text")), strict=True):
-                if size > _PIECE and row[2] != waiting[-1][2]:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if size > _PIECE and row[3] != waiting[-1][3]:
                     yield settle(waiting)
                     waiting, size = [], 0
                 waiting.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if waiting:
             yield settle(waiting)
 
-    columns = ["key", "first", "bucket", "copies", "text"]
     small = texts.filter(F.col("kinds") <= bucket_texts).select(columns).repartition("bucket").sortWithinPartitions("bucket")
-    refined_spans = small.mapInArrow(refine, "key bigint, start int, stop int")
-    large = texts.filter(F.col("kinds") > bucket_texts).select("key", "first", "copies", "text")
+    refined_spans = small.mapInArrow(refine, "key bigint, other bigint, start int, stop int")
+    large = texts.filter(F.col("kinds") > bucket_texts).select("key", "other", "first", "copies", "text")
     return spans.unionByName(refined_spans).unionByName(_shuffled(large, length))
 
 
@@ -202,27 +220,27 @@ def _shuffled(texts: DataFrame, length: int) -> DataFrame:
 
     def windows(batches):
         for batch in batches:
-            for key, first, copies, text in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "copies", "text")), strict=True):
+            for key, other, first, copies, text in zip(*(batch.column(c).to_pylist() for c in ("key", "other", "first", "copies", "text")), strict=True):
                 sums = prefix_hashes(np.frombuffer(text, np.uint8))
                 start = np.arange(len(text) - length + 1)
                 half = length // 2
                 a, b = run_hashes(sums, start, start + half), run_hashes(sums, start + half, start + length)
                 n = len(start)
-                yield pa.RecordBatch.from_pydict(
-                    {"key": np.full(n, key, np.int64), "start": (first + start).astype(np.int32), "a": a.view(np.int64), "b": b.view(np.int64), "copies": np.full(n, copies, np.int64)}
-                )
+                same = {"key": np.full(n, key, np.int64), "other": np.full(n, other, np.int64), "copies": np.full(n, copies, np.int64)}
+                yield pa.RecordBatch.from_pydict({**same, "start": (first + start).astype(np.int32), "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    rows = texts.mapInArrow(windows, "key bigint, start int, a bigint, b bigint, copies bigint")
+    rows = texts.mapInArrow(windows, "key bigint, other bigint, copies bigint, start int, a bigint, b bigint")
     several = rows.groupBy("a", "b").agg(F.sum("copies").alias("places")).filter("places > 1").select("a", "b")
     found = rows.filter("copies = 1").join(several, ["a", "b"])
-    return found.select("key", "start", (F.col("start") + length).alias("stop"))
+    return found.select("key", "other", "start", (F.col("start") + length).alias("stop"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = None, bucket_texts: int = BUCKET_TEXTS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept``: the bytes left of ``docs(doc_id, text)``."""
     docs = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    spans = repeated_spans(docs.select("key", "text"), length, gram or max(1, length // 2), bucket_texts)
-    by_document = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(docs.select("key", "other", "text"), length, gram or max(1, length // 2), bucket_texts)
+    # Spans of repeated texts come once: no more than one text has.
+    by_document = spans.groupBy("key", "other").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(batches):
         for batch in batches:
@@ -241,7 +259,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = No
             arrays = [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = docs.join(by_document, "key", "left").select("doc_id", "text", "spans")
+    joined = docs.join(by_document, ["key", "other"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
 
 

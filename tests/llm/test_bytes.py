@@ -156,3 +156,14 @@ def test_held_out_split(spark):
     ids = spark.range(200).withColumnRenamed("id", "doc_id")
     found = {r["doc_id"] for r in ids.filter(is_held_out("doc_id", 7, 2)).collect()}
     assert found == {i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2}
+
+
+def test_many_equal_rows_cost_what_their_bytes_do(spark, prose):
+    """5,000 equal rows of 2,400 bytes, id and text alike, beside others."""
+    from pyspark.sql import functions as F
+
+    one, other = prose(2, 500, 77)
+    docs = spark.range(5000).select(F.lit(1).cast("bigint").alias("doc_id"), F.lit(one).alias("text"))
+    docs = docs.union(spark.createDataFrame([(2, other)], "doc_id bigint, text string"))
+    found = suffix_dedup.without_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(map(tuple, found)) == [(1, len(one), len(one), 1, 5000), (2, len(other), 0, 0, 1)]
