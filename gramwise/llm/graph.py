@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gramwise.llm.common import written
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links(a, b)``; the component is its smallest node.
 
     Every round takes the smallest label among the neighbours and then the label's own label, so that long
@@ -21,7 +21,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = written(both.filter("a <> b").distinct(), "edges")
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     size = total(labels)
-    for _ in range(rounds):
+    while True:
         near = edges.join(labels.withColumnsRenamed({"node": "b", "component": "other"}), "b").select(
             F.col("a").alias("node"), F.col("other").alias("component")
         )
@@ -33,4 +33,3 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         before, size = size, total(labels)
         if before == size:
             return labels
-    raise ValueError(f"components did not settle in {rounds} rounds")

@@ -1,9 +1,14 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Documents with equal shingle sets form a class.  The rarest shingles of a class, about a fifth of them, are its prefix: two
-classes of similarity 0.8 share one.  A first round checks every class against one other class of each shared prefix shingle, which
-joins groups of near copies along stars instead of pairs.  A second round checks all remaining pairs that share a prefix
-shingle, lie in different components and pass the filters, so no link between components is lost.
+Documents with equal shingle sets form a class.  Shingles are dealt by their hash to parts, and each part finds those that more than
+one class has, with exact counts; all others can be common to no pair.  So a class comes first with the shingles that it has
+alone, then with shared ones by rising count, and its prefix is the first fifth of that order: two classes of similarity 0.8 share a
+prefix shingle.  Classes that have a fifth of their shingles alone are linked with nothing and leave here.
+
+Rounds of stars check every open class against one class of another component that shares a prefix shingle, which joins groups of
+near copies along trees instead of pairs.  They go on until few pairs are left between components, or no links come any more.
+Then all remaining pairs that share a prefix shingle, lie in different components and pass the filters are checked, so no link
+between components is lost.  Common shingles are counted on lists of shared shingles: no text is read again.
 
 Defined results: null or empty text has no shingles and is linked with nothing; equal texts are linked; a null id stays
 null and never names a component; repeated rows are returned as often as they come; other columns are ignored.
@@ -22,15 +27,18 @@ from pyspark.sql import functions as F
 from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_bytes, written
 from gramwise.llm.graph import components
 
-#: Frequencies are counted in this many groups of shingles: a table of fixed size that orders shingles rare-first.
-FREQUENCY_GROUPS = 1 << 22
-_SLICES = 64
-#: Rounds of stars before the pairs that are left.
-ATTEMPTS = 3
+#: Shingles of one part, about: what a task sorts at a time.
+PART_SHINGLES = 1 << 22
+#: Shingles that a task gathers before it sends them to the parts.
+_GATHERED = 1 << 21
+#: Classes of one gathering that may have a shingle in common before the rest goes another way than through its part.
+COMMON = 1 << 12
+#: Stands for the classes whose entries go that way.
+_MARK = -(2**63)
+#: Rounds of stars without a new link before the remaining pairs are checked as they are.
+PATIENCE = 2
 #: Parts of the hash range in which the suffix filter counts shingles.
-_PARTS = 64
-#: Bits of the filter that says which classes a verification needs: fixed size.
-_FILTER_BITS = 1 << 23
+_BINS = 64
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -43,92 +51,169 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
             yield batch.slice(low, high - low), [np.unique(x) for x in found]
 
 
-def _group(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> np.uint64(64 - (FREQUENCY_GROUPS.bit_length() - 1))).astype(np.int64)
-
-
-def _frequencies(docs: DataFrame, words: int) -> np.ndarray:
-    """How often the shingles of each group occur, over all documents; one number per group comes to the driver."""
-
-    def count(batches):
-        total = np.zeros(FREQUENCY_GROUPS, np.int32)
-        for _, sets in _sets(batches, words):
-            np.add.at(total, _group(np.concatenate(sets)), 1)
-        if total.any():
-            parts = total.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(_SLICES), pa.int32()), "counts": [x.astype("<i4").tobytes() for x in parts]})
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(counts, "<i4").astype(np.int64)
-        for k, counts in total.items():
-            yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "counts": [counts.tobytes()]})
-
-    schema = "slice int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).repartition(_SLICES, "slice").mapInArrow(add, schema)
-    out = np.zeros((_SLICES, FREQUENCY_GROUPS // _SLICES), np.int64)
-    for row in summed.collect():
-        out[row["slice"]] = np.frombuffer(row["counts"], "<i8")
-    return out.ravel()
+def _name(tokens: np.ndarray) -> int:
+    """A set's class; the least number is kept for the mark."""
+    return max(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63, _MARK + 1)
 
 
-def _described(docs: DataFrame, words: int, num: int, den: int, rank: np.ndarray) -> DataFrame:
-    """For each document the class (hash of its set), its size, its prefix in rare-first order, and its suffix counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(rank)
+def _described(docs: DataFrame, words: int) -> DataFrame:
+    """For each document its class (hash of its set) and size."""
 
     def describe(batches):
-        order = shared.value
         for rows, sets in _sets(batches, words):
-            prefix, counts, names, sizes = [], [], [], []
-            for tokens in sets:
-                n = len(tokens)
-                sizes.append(n)
-                names.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63 if n else 0)
-                keep = n - -(-num * n // den) + 1 if n else 0
-                rare = np.argsort(order[_group(tokens)], kind="stable")[:keep]
-                prefix.append(tokens[rare].view(np.int64))
-                counts.append(np.minimum(np.bincount((tokens & np.uint64(_PARTS - 1)).astype(np.int64), minlength=_PARTS), 30_000).astype(np.int16))
-            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": rows.column("doc_id"),
-                    "class": pa.array(names, pa.int64()),
-                    "n": pa.array(sizes, pa.int32()),
-                    "prefix": pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*prefix, np.zeros(0, np.int64)]), pa.int64())),
-                    "parts": pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * _PARTS), pa.array(np.concatenate([*counts, np.zeros(0, np.int16)]))),
-                }
+            names, sizes = [_name(x) if len(x) else 0 for x in sets], [len(x) for x in sets]
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "class": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int32())})
+
+    return docs.mapInArrow(describe, "doc_id bigint, class bigint, n int")
+
+
+_BLOCK = "part int, classes binary, sizes binary, counts binary, tokens binary"
+
+
+def _block(part: int, classes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> pa.RecordBatch:
+    """Classes with the sizes of their sets, how many of the tokens are theirs, and the tokens, class after class."""
+    values = (classes.astype("<i8"), sizes.astype("<i4"), counts.astype("<i4"), tokens.astype("<u8"))
+    arrays = [pa.array([part], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in values)]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "classes", "sizes", "counts", "tokens"])
+
+
+def _dealt(docs: DataFrame, words: int, parts: int) -> DataFrame:
+    """All sets, cut up by part; a class that a task meets again is not sent again.
+
+    Shingles that very many classes of one gathering have would fill their part: these entries go to parts beyond ``parts``, by class,
+    and the shingle's own part only learns that others have it.
+    """
+
+    def sent(sets: list[np.ndarray], names: list[int]) -> Iterator[pa.RecordBatch]:
+        sizes = np.array([len(x) for x in sets])
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        names = np.array(names, np.int64)
+        part = (tokens % np.uint64(parts)).astype(np.int64)
+        found, at, often = np.unique(tokens, return_inverse=True, return_counts=True)
+        common = found[often > COMMON]
+        if len(common):
+            apart = (often > COMMON)[at]
+            part[apart] = parts + owner[apart] % parts
+            marks = (common % np.uint64(parts)).astype(np.int64)
+            for p in np.unique(marks):
+                mine = common[marks == p]
+                yield _block(int(p), np.array([_MARK]), np.array([0]), np.array([len(mine)]), mine)
+        order = np.argsort(part, kind="stable")
+        tokens, owner, part = tokens[order], owner[order], part[order]
+        starts = np.flatnonzero(np.diff(part, prepend=-1) | np.diff(owner, prepend=-1))
+        counts = np.diff(np.append(starts, len(tokens)))
+        first = np.flatnonzero(np.diff(part[starts], prepend=-1))
+        for low, high in zip(first, np.append(first[1:], len(starts)), strict=True):
+            begin, end = starts[low], starts[high] if high < len(starts) else len(tokens)
+            who = owner[starts[low:high]]
+            yield _block(int(part[begin]), names[who], sizes[who], counts[low:high], tokens[begin:end])
+
+    def deal(batches):
+        sets, names, size, known = [], [], 0, set()
+        for _, found in _sets(batches, words):
+            for x in found:
+                if not len(x):
+                    continue
+                name = _name(x)
+                if name in known:
+                    continue
+                if len(known) > 1_000_000:
+                    known.clear()
+                known.add(name)
+                sets.append(x)
+                names.append(name)
+                size += len(x)
+            if size > _GATHERED:
+                yield from sent(sets, names)
+                sets, names, size = [], [], 0
+        if sets:
+            yield from sent(sets, names)
+
+    return docs.select("text").mapInArrow(deal, _BLOCK)
+
+
+_LIST = "class bigint, n int, tokens binary, counts binary"
+
+
+def _shared(blocks: DataFrame, parts: int) -> DataFrame:
+    """``class, n, tokens, counts``: from each part the shingles that several classes have, by class, and how many have them."""
+
+    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        part = rows[0][0]
+        classes, sizes, counts = (np.concatenate([np.frombuffer(r[k], t) for r in rows]) for k, t in ((1, "<i8"), (2, "<i4"), (3, "<i4")))
+        tokens = np.concatenate([np.frombuffer(r[4], "<u8") for r in rows])
+        if part < parts:
+            # One copy of each class is enough; marks are no class.
+            _, first = np.unique(classes, return_index=True)
+            keep = classes == _MARK
+            keep[first] = True
+            tokens = tokens[np.repeat(keep, counts)]
+            classes, sizes, counts = classes[keep], sizes[keep], counts[keep]
+        owner = np.repeat(np.arange(len(classes)), counts)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
+        often = np.diff(np.append(starts, len(tokens)))
+        weight = np.repeat(often, often)
+        if part >= parts:
+            weight = np.maximum(weight, COMMON)
+        elif (marked := classes[owner] == _MARK).any():
+            weight = weight + COMMON * np.repeat(np.add.reduceat(marked, starts), often)
+        mine = (weight > 1) & (classes[owner] != _MARK)
+        tokens, owner, weight = tokens[mine], owner[mine], weight[mine]
+        order = np.argsort(owner, kind="stable")
+        tokens, owner, weight = tokens[order], owner[order], weight[order]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        ends = np.append(starts[1:], len(owner))
+        for low in range(0, len(starts), 10_000):
+            at = range(low, min(low + 10_000, len(starts)))
+            who = owner[starts[at.start : at.stop]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(classes[who]), pa.array(sizes[who], pa.int32()),
+                    pa.array([tokens[starts[i] : ends[i]].tobytes() for i in at], pa.binary()),
+                    pa.array([weight[starts[i] : ends[i]].astype("<i4").tobytes() for i in at], pa.binary()),
+                ],
+                names=["class", "n", "tokens", "counts"],
             )
 
-    schema = "doc_id bigint, class bigint, n int, prefix array<bigint>, parts array<smallint>"
-    return docs.mapInArrow(describe, schema)
-
-
-def _filter_of(ids: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that has all of ``ids(class)``."""
-    at = F.pmod("class", F.lit(_FILTER_BITS))
-    bits = ids.select(F.shiftright(at, 6).cast("int").alias("slot"), F.expr("shiftleft(1L, cast(pmod(class, 64) as int))").alias("bit"))
-    rows = bits.groupBy("slot").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(_FILTER_BITS // 64, np.int64)
-    out[rows["slot"].to_numpy(int)] = rows["bits"].to_numpy(np.int64)
-    return out
+    def merge(batches):
+        waiting: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if waiting and row[0] != waiting[0][0]:
+                    yield from settle(waiting)
+                    waiting = []
+                waiting.append(row)
+        if waiting:
+            yield from settle(waiting)
 
+    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(merge, _LIST)
 
-def _plausible(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that the length filter and the suffix filter leave over."""
-    sized = pairs
-    for side in "ab":
-        sized = sized.join(
-            classes.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col("parts").alias(f"parts_{side}")), side
-        )
-    return sized.filter(_alike(num, den)).select("a", "b")
 
+def _candidates(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Classes with a shared shingle in their prefix: ``class, n, alone, tokens, prefix, bins``; ``tokens`` are all shared ones, sorted."""
+    whole = lists.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("lists"))
+    whole = whole.select("class", "n", F.col("lists.tokens").alias("tokens"), F.col("lists.counts").alias("counts"))
 
-def _alike(num: int, den: int) -> F.Column:
-    """Length filter, and suffix filter: shingles counted in parts differ by no more than linked sets of these sizes can."""
-    apart = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda total, x: total + x)
-    return F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}") & (apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(num, den))
+    def describe(batches):
+        for batch in batches:
+            rows = []
+            for name, n, tokens, counts in zip(*(batch.column(c).to_pylist() for c in ("class", "n", "tokens", "counts")), strict=True):
+                x, often = np.frombuffer(b"".join(tokens), "<u8"), np.frombuffer(b"".join(counts), "<i4")
+                # The common ones of several gatherings may come twice.
+                x, first = np.unique(x, return_index=True)
+                alone, keep = n - len(x), n - -(-num * n // den) + 1
+                if alone < keep:
+                    rare = np.lexsort((x, often[first]))[: keep - alone]
+                    bins = np.minimum(np.bincount((x & np.uint64(_BINS - 1)).astype(np.int64), minlength=_BINS), 30_000)
+                    rows.append((name, n, alone, x.tobytes(), x[rare].view(np.int64), bins.astype(np.int16)))
+            if rows:
+                names = ("class", "n", "alone", "tokens", "prefix", "bins")
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int16()))
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, k, v in zip(names, kinds, zip(*rows, strict=True), strict=True)})
+
+    return whole.mapInArrow(describe, "class bigint, n int, alone int, tokens binary, prefix array<bigint>, bins array<smallint>")
 
 
 def _needed(num: int, den: int) -> F.Column:
@@ -136,45 +221,45 @@ def _needed(num: int, den: int) -> F.Column:
     return F.ceil(F.lit(num) * (F.col("n_a") + F.col("n_b")) / F.lit(num + den) - 1e-9)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Pairs whose sets really are that similar; each is compared once."""
-    bits = docs.sparkSession.sparkContext.broadcast(
-        _filter_of(pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))))
-    )
+def _alike(num: int, den: int) -> F.Column:
+    """Length filter, and suffix filter: shingles of one class alone, and shared ones counted in bins, differ by no more than linked sets can."""
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y).cast("int")), F.col("alone_a") + F.col("alone_b"), lambda total, x: total + x)
+    return F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}") & (apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(num, den))
 
-    def sets(batches):
-        for _, found in _sets(batches, words):
-            found = [x for x in found if len(x)]
-            names = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) - 2**63 for x in found], np.int64)
-            at = names % _FILTER_BITS
-            keep = np.flatnonzero(bits.value[at >> 6] >> (at & 63) & 1)
-            yield pa.RecordBatch.from_pydict({"class": pa.array(names[keep]), "tokens": pa.array([found[i].tobytes() for i in keep], pa.binary())})
-
-    wanted = docs.select("text").mapInArrow(sets, "class bigint, tokens binary")
-    wanted = wanted.groupBy("class").agg(F.first("tokens").alias("tokens"))
+
+def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose sets really are that similar; each is compared once, after length and suffix filter."""
+    sized = pairs
     for side in "ab":
-        pairs = pairs.join(wanted.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
+        sized = sized.join(classes.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "alone", "bins"))), side)
+    pairs = sized.filter(_alike(num, den)).select("a", "b", "n_a", "n_b")
+    for side in "ab":
+        pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
 
     def compare(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * common >= num * (len(x) + len(y) - common))
+            for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "tokens_a", "tokens_b")), strict=True):
+                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(den * common >= num * (n + m - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "tokens_a", "tokens_b").mapInArrow(compare, "a bigint, b bigint")
+    return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(compare, "a bigint, b bigint")
 
 
 def _open(postings: DataFrame, links: DataFrame, attempt: int) -> DataFrame:
-    """Postings of the tokens that several components share; ``lead`` is one class of each token, another each attempt."""
+    """Postings of the tokens that several components share; ``lead`` is one class of each token, another each attempt.
+
+    ``across`` is, for each token, the pairs of its classes that lie in different components.
+    """
     labels = components(links).withColumnRenamed("node", "class")
-    named = postings.select("token", "class", "n", "pos").join(labels, "class", "left")
+    named = postings.select("token", "class", "pos").join(labels, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
     drawn = F.min(F.struct(F.xxhash64("class", F.lit(attempt)).alias("draw"), "class", "component"))
-    mixed = named.groupBy("token").agg(drawn.alias("x"), F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = mixed.filter("low <> high").select("token", F.col("x.class").alias("lead"), F.col("x.component").alias("lead_component"))
+    mixed = named.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("m"), drawn.alias("x")).groupBy("token").agg(
+        F.min("x").alias("x"), F.count(F.lit(1)).alias("components"), ((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")
+    )
+    mixed = mixed.filter("components > 1").select("token", "across", F.col("x.class").alias("lead"), F.col("x.component").alias("lead_component"))
     return written(named.join(mixed, "token"), "open")
 
 
@@ -184,34 +269,41 @@ def link_components(
     """One row per document: ``doc_id, n_shingles, component_id`` (smallest id that links reach)."""
     num, den = similarity
     docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    counts = _frequencies(docs, words)
-    # One byte per group: eight steps for each doubling of the frequency, so that the table has four megabytes.
-    rank = np.minimum(8 * np.log2(np.maximum(counts, 1)), 255).astype(np.uint8)
-    rows = written(_described(docs, words, num, den, rank), "shingles")
-    classes = rows.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
-    prefixes = rows.filter("n > 0").groupBy("class", "n").agg(F.first("prefix").alias("prefix"))
+    rows = written(_described(docs, words), "classes")
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(1, -(-total // PART_SHINGLES))
+    classes = written(_candidates(_shared(_dealt(docs, words, parts), parts), num, den), "candidates")
     # One exchange by token serves both the leaders and the join with them.
-    postings = prefixes.select("class", "n", F.posexplode("prefix").alias("pos", "token")).repartition("token")
+    postings = classes.select("class", "alone", F.posexplode("prefix").alias("at", "token"))
+    postings = postings.select("token", "class", (F.col("alone") + F.col("at")).alias("pos")).repartition("token")
     leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"), F.min("class").alias("lead")).filter("found > 1")
     shared = written(postings.join(leaders.drop("found"), "token"), "postings")
 
     # Stars: each class is checked against one class, and what is left open against one class of another component.
     stars = shared.filter("class <> lead").groupBy(F.col("class").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
-    links = written(_verified(_plausible(stars, classes, num, den), docs, words, num, den), "links")
+    links = written(_verified(stars, classes, num, den), "links")
     open_ = _open(shared, links, 0)
-    for attempt in range(1, ATTEMPTS + 1):
+    attempt, idle, found = 0, 0, links.count()
+    while idle < PATIENCE:
+        left = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.first("across").alias("across"))
+        left = left.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("across"), F.lit(0.0)).alias("pairs")).first()
+        # Checking all pairs at once now costs less than another round.
+        if left["pairs"] <= left["n"] / 4:
+            break
+        attempt += 1
         drawn = F.min_by("lead", F.xxhash64("lead", F.lit(-attempt)))
         stars = open_.filter("component <> lead_component").groupBy(F.col("class").alias("x")).agg(drawn.alias("y"))
         stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = _verified(written(_plausible(stars, classes, num, den), "stars"), docs, words, num, den)
-        links = written(links.unionByName(more), "links")
+        links = written(links.unionByName(_verified(written(stars, "stars"), classes, num, den)), "links")
+        before, found = found, links.count()
+        idle = idle + 1 if found == before else 0
         open_ = _open(open_, links, attempt)
 
     # Linked sizes differ by a factor of at most den/num, so their steps on this scale differ by at most one.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    sized = open_.drop("lead", "lead_component").join(classes.select("class", "parts"), "class").withColumn("step", step)
+    sized = open_.select("token", "class", "pos", "component").join(classes.select("class", "n", "alone", "bins"), "class").withColumn("step", step)
     right = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
-    columns = ("class", "n", "pos", "component", "parts")
+    columns = ("class", "n", "alone", "pos", "component", "bins")
     left, right = (x.select("token", "step", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for x, s in ((sized, "a"), (right, "b")))
     # At the first shingle that two prefixes share, what follows must hold all that linked sets have in common.
     follows = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -222,8 +314,7 @@ def link_components(
         .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         .distinct()
     )
-    pairs = written(pairs, "pairs")
-    more = _verified(pairs, docs, words, num, den)
+    more = _verified(written(pairs, "pairs"), classes, num, den)
     joined = components(written(links.unionByName(more), "links"))
 
     label = F.coalesce("component", "class")

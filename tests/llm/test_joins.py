@@ -74,6 +74,20 @@ def test_jaccard_join_equals_brute_force(make, prose, edge_rows):
     assert sorted(map(tuple, found), key=key) == sorted(brute(rows), key=key)
 
 
+def test_common_shingles_and_many_parts(make, prose, monkeypatch):
+    """Shingles that most documents have go another way; parts and gatherings are small; one class heads a large group."""
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    monkeypatch.setattr(ngram_join, "PART_SHINGLES", 500)
+    monkeypatch.setattr(ngram_join, "_GATHERED", 1500)
+    rng = random.Random(8)
+    base, passage = prose(1, 60, 41)[0], prose(1, 25, 42)[0]
+    rows = [(i, edits(base, 0.02, rng) + " " + passage) for i in range(40)]
+    rows += [(100 + i, text + " " + passage) for i, text in enumerate(prose(30, 40, 43))]
+    rows += [(200 + i, " ".join(passage.split()[: 10 + i % 4])) for i in range(12)]
+    found = ngram_join.link_components(make(rows)).collect()
+    assert sorted(map(tuple, found), key=key) == sorted(brute(rows), key=key)
+
+
 def test_jaccard_join_of_empty_table(make):
     assert ngram_join.link_components(make([])).collect() == []
 
