@@ -6,7 +6,7 @@ alone, then with shared ones by rising count, and its prefix is the first fifth
 prefix shingle.  Classes that have a fifth of their shingles alone are linked with nothing and leave here.
 
 Rounds of stars check every open class against one class of another component that shares a prefix shingle, which joins groups of
-near copies along trees instead of pairs.  They go on until few pairs are left between components, or no links come any more.
+near copies along trees instead of pairs.  They go on until few pairs are left between components, or a round leaves most of them.
 Then all remaining pairs that share a prefix shingle, lie in different components and pass the filters are checked, so no link
 between components is lost.  Common shingles are counted on lists of shared shingles: no text is read again.
 
@@ -16,13 +16,14 @@ null and never names a component; repeated rows are returned as often as they co
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_bytes, written
 from gramwise.llm.graph import components
@@ -35,8 +36,12 @@ _GATHERED = 1 << 21
 COMMON = 1 << 12
 #: Stands for the classes whose entries go that way.
 _MARK = -(2**63)
-#: Rounds of stars without a new link before the remaining pairs are checked as they are.
-PATIENCE = 2
+#: Rounds of stars go on as long as each leaves less than this share of the pairs between components.
+PROGRESS = 0.75
+#: Leads that a class is checked against in one round.
+LEADS = 4
+#: Pairs between components that are checked at once in any case.
+FEW_PAIRS = 20_000
 #: Parts of the hash range in which the suffix filter counts shingles.
 _BINS = 64
 
@@ -56,15 +61,17 @@ def _name(tokens: np.ndarray) -> int:
     return max(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63, _MARK + 1)
 
 
-def _described(docs: DataFrame, words: int) -> DataFrame:
-    """For each document its class (hash of its set) and size."""
+def _described(docs: DataFrame, words: int, carried: Sequence[str]) -> DataFrame:
+    """For each document its class (hash of its set) and size, and the carried columns."""
 
     def describe(batches):
         for rows, sets in _sets(batches, words):
             names, sizes = [_name(x) if len(x) else 0 for x in sets], [len(x) for x in sets]
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "class": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int32())})
+            known = {c: rows.column(c) for c in ("doc_id", *carried)}
+            yield pa.RecordBatch.from_pydict({**known, "class": pa.array(names, pa.int64()), "n": pa.array(sizes, pa.int32())})
 
-    return docs.mapInArrow(describe, "doc_id bigint, class bigint, n int")
+    schema = docs.select("doc_id", *carried).schema
+    return docs.mapInArrow(describe, StructType([*schema.fields, StructField("class", LongType()), StructField("n", IntegerType())]))
 
 
 _BLOCK = "part int, classes binary, sizes binary, counts binary, tokens binary"
@@ -255,7 +262,8 @@ def _open(postings: DataFrame, links: DataFrame, attempt: int) -> DataFrame:
     labels = components(links).withColumnRenamed("node", "class")
     named = postings.select("token", "class", "pos").join(labels, "class", "left")
     named = named.withColumn("component", F.coalesce("component", "class"))
-    drawn = F.min(F.struct(F.xxhash64("class", F.lit(attempt)).alias("draw"), "class", "component"))
+    # Each token draws for itself: a class meets different leads by its different tokens.
+    drawn = F.min(F.struct(F.xxhash64("class", "token", F.lit(attempt)).alias("draw"), "class", "component"))
     mixed = named.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("m"), drawn.alias("x")).groupBy("token").agg(
         F.min("x").alias("x"), F.count(F.lit(1)).alias("components"), ((F.pow(F.sum("m"), F.lit(2.0)) - F.sum(F.col("m") * F.col("m"))) / 2).alias("across")
     )
@@ -263,40 +271,49 @@ def _open(postings: DataFrame, links: DataFrame, attempt: int) -> DataFrame:
     return written(named.join(mixed, "token"), "open")
 
 
+def _stars(postings: DataFrame, attempt: int) -> DataFrame:
+    """``a, b``: for each class some of its tokens' leads, others each attempt; every pair once."""
+    drawn = F.transform(F.collect_set("lead"), lambda x: F.struct(F.xxhash64(x, F.lit(-attempt)).alias("draw"), x.alias("y")))
+    some = postings.groupBy(F.col("class").alias("x")).agg(F.slice(F.array_sort(drawn), 1, LEADS).alias("leads"))
+    pairs = some.select("x", F.explode("leads.y").alias("y"))
+    return written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
+
+
 def link_components(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100)
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100),
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id that links reach)."""
+    """One row per document: ``doc_id, n_shingles, component_id`` (smallest id that links reach), and what is ``carried``.
+
+    With carried columns there is also ``group``, which names the component of documents without an id as well and is null for those
+    without shingles.
+    """
     num, den = similarity
-    docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    rows = written(_described(docs, words), "classes")
+    docs = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"), *carried)
+    rows = written(_described(docs, words, carried), "classes")
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(1, -(-total // PART_SHINGLES))
     classes = written(_candidates(_shared(_dealt(docs, words, parts), parts), num, den), "candidates")
     # One exchange by token serves both the leaders and the join with them.
     postings = classes.select("class", "alone", F.posexplode("prefix").alias("at", "token"))
     postings = postings.select("token", "class", (F.col("alone") + F.col("at")).alias("pos")).repartition("token")
-    leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"), F.min("class").alias("lead")).filter("found > 1")
+    drawn = F.min_by("class", F.xxhash64("class", "token"))
+    leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"), drawn.alias("lead")).filter("found > 1")
     shared = written(postings.join(leaders.drop("found"), "token"), "postings")
 
-    # Stars: each class is checked against one class, and what is left open against one class of another component.
-    stars = shared.filter("class <> lead").groupBy(F.col("class").alias("b")).agg(F.min("lead").alias("a")).select("a", "b")
-    links = written(_verified(stars, classes, num, den), "links")
+    # Stars: each class is checked against a few classes, and what is left open against some of other components.
+    links = written(_verified(_stars(shared.filter("class <> lead"), 0), classes, num, den), "links")
     open_ = _open(shared, links, 0)
-    attempt, idle, found = 0, 0, links.count()
-    while idle < PATIENCE:
+    attempt, before = 0, float("inf")
+    while True:
         left = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.first("across").alias("across"))
         left = left.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("across"), F.lit(0.0)).alias("pairs")).first()
-        # Checking all pairs at once now costs less than another round.
-        if left["pairs"] <= left["n"] / 4:
+        # Checking all pairs at once now costs less than another round, or rounds no longer help.
+        if left["pairs"] <= max(left["n"] / 4, FEW_PAIRS) or left["pairs"] > PROGRESS * before:
             break
-        attempt += 1
-        drawn = F.min_by("lead", F.xxhash64("lead", F.lit(-attempt)))
-        stars = open_.filter("component <> lead_component").groupBy(F.col("class").alias("x")).agg(drawn.alias("y"))
-        stars = stars.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = written(links.unionByName(_verified(written(stars, "stars"), classes, num, den)), "links")
-        before, found = found, links.count()
-        idle = idle + 1 if found == before else 0
+        before, attempt = left["pairs"], attempt + 1
+        stars = _stars(open_.filter("component <> lead_component"), attempt)
+        links = written(links.unionByName(_verified(stars, classes, num, den)), "links")
         open_ = _open(open_, links, attempt)
 
     # Linked sizes differ by a factor of at most den/num, so their steps on this scale differ by at most one.
@@ -321,9 +338,10 @@ def link_components(
     sets = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(joined.withColumnRenamed("node", "class"), "class", "left")
     sets = sets.select("class", "low", label.alias("component"))
     lowest = sets.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = sets.join(lowest, "component").select("class", "component_id")
-    out = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class")).join(named, "class", "left")
-    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = sets.join(lowest, "component").select("class", "component_id", F.col("component").alias("group"))
+    out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(named, "class", "left")
+    more = [*carried, "group"] if carried else []
+    return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *more)
 
 
 def op10_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
