@@ -18,74 +18,93 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramwise.llm.common import is_held_out, table, written
+from gramwise.llm.common import is_held_out, pieces, table, text_bytes, written
 
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _COUNTED = "lang string, item string, n bigint"
 
 
+def _hashes(items: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in items], np.uint64)
+
+
 @dataclass(frozen=True)
 class LanguageModel:
-    """Log frequencies of words and n-grams, one row per language in sorted order."""
+    """Log frequencies of words and n-grams, known by their hashes in rising order; one column per language in sorted order.
+
+    ``lost`` is the share of all words of the sample that are not kept, and of all n-grams.
+    """
 
     languages: list[str]
-    words: dict[str, int]
+    words: np.ndarray
     word_scores: np.ndarray
-    grams: dict[str, int]
+    grams: np.ndarray
     gram_scores: np.ndarray
     orders: int
     backoff: float
+    lost: tuple[float, float] = (0.0, 0.0)
+
+    @staticmethod
+    def find(known: np.ndarray, items: list[str]) -> np.ndarray:
+        """Where each item stands among the known ones, -1 for none."""
+        if not len(known) or not items:
+            return np.full(len(items), -1)
+        hashes = _hashes(items)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, at, -1)
 
     def unseen(self, word: str) -> np.ndarray:
         """Scores of an unseen word: the longest order that knows one of its n-grams."""
         padded = f" {word} "
         for order in range(min(self.orders, len(padded)), 0, -1):
-            known = [k for i in range(len(padded) - order + 1) if (k := self.grams.get(padded[i : i + order])) is not None]
-            if known:
+            known = self.find(self.grams, [padded[i : i + order] for i in range(len(padded) - order + 1)])
+            known = known[known >= 0]
+            if len(known):
                 # As much weight as one word, however many n-grams there are.
                 return self.gram_scores[known].mean(0) * self.backoff ** (self.orders - order)
         return np.zeros(len(self.languages))
 
+    def scores(self, words: list[str]) -> np.ndarray:
+        """One row of scores for each of different words."""
+        at = self.find(self.words, words)
+        out = np.zeros((len(words), len(self.languages)))
+        if len(self.word_scores):
+            out[at >= 0] = self.word_scores[at[at >= 0]]
+        for i in np.flatnonzero(at < 0).tolist():
+            out[i] = self.unseen(words[i])
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        cache: dict[str, np.ndarray] = {}
-        for text in texts:
-            found = _LETTERS.findall(text.lower()) if text and self.languages else []
-            if not found:
-                names.append(UNDETERMINED)
-                scores.append(0.0)
-                continue
-            counts = Counter(found)
-            known, weights, total = [], [], np.zeros(len(self.languages))
-            for word, n in counts.items():
-                k = self.words.get(word)
-                if k is not None:
-                    known.append(k)
-                    weights.append(n)
-                else:
-                    if word not in cache:
-                        if len(cache) >= 100_000:
-                            cache.clear()
-                        cache[word] = self.unseen(word)
-                    total += n * cache[word]
-            if known:
-                total += np.array(weights, float) @ self.word_scores[known]
+        """The words of all texts are numbered first, so that each different one is looked up once."""
+        names, certain = [UNDETERMINED] * len(texts), [0.0] * len(texts)
+        numbers: dict[str, int] = {}
+        rows, found = [], []
+        for i, text in enumerate(texts):
+            words = _LETTERS.findall(text.lower()) if text and self.languages else []
+            if words:
+                rows.append(i)
+                found.append(np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32))
+        if not rows:
+            return names, certain
+        scores = self.scores(list(numbers))
+        for i, words in zip(rows, found, strict=True):
+            different, count = np.unique(words, return_counts=True)
+            total = count.astype(float) @ scores[different]
             # Evidence of words in a row is not independent: the mean per word, sharpened, gives the certainty.
-            gap = (total - total.max()) / len(found) * min(len(found), 20)
-            share = np.exp(gap)
+            share = np.exp((total - total.max()) / len(words) * min(len(words), 20))
             best = int(total.argmax())
-            names.append(self.languages[best])
-            scores.append(float(share[best] / share.sum()))
-        return names, scores
+            names[i], certain[i] = self.languages[best], float(share[best] / share.sum())
+        return names, certain
 
 
-def _frequent(counted: DataFrame, languages: list[str], most: int) -> tuple[dict[str, int], np.ndarray]:
+def _frequent(counted: DataFrame, languages: list[str], most: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Of ``lang, item, n`` the at most ``most`` items with the largest counts, 2 at least, with add-half log frequencies by
-    language.  Only these reach the driver, beside a histogram of the counts."""
+    language, and the share of the counts that others have.  Only these reach the driver, beside a histogram of the counts."""
     number = F.create_map(*[F.lit(x) for j, language in enumerate(languages) for x in (language, j)])
     seen = F.struct(number[F.col("lang")].alias("at"), "n")
     items = counted.groupBy("item").agg(F.sum("n").alias("total"), F.collect_list(seen).alias("seen"))
@@ -101,7 +120,10 @@ def _frequent(counted: DataFrame, languages: list[str], most: int) -> tuple[dict
     if len(kept):
         counts[np.repeat(np.arange(len(kept)), kept["at"].map(len)), np.concatenate(kept["at"].to_list())] = np.concatenate(kept["n"].to_list())
     size = np.array([sizes.get(language, 0) for language in languages])
-    return {k: i for i, k in enumerate(kept["item"])}, np.log((counts + 0.5) / (size + 0.5 * max(distinct, 1)))
+    hashes = _hashes(kept["item"].to_list())
+    order = np.argsort(hashes)
+    lost = 1.0 - counts.sum() / max(size.sum(), 1)
+    return hashes[order], np.log((counts + 0.5) / (size + 0.5 * max(distinct, 1)))[order], float(lost)
 
 
 def _flushed(batches: Iterator[dict[tuple[str, str], int]]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +161,7 @@ def _grams(words: DataFrame, orders: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "item", "n")), strict=True):
-                padded, found = f" {word[:64]} ", Counter()
+                padded, found = f" {word} ", Counter()
                 for order in range(1, orders + 1):
                     for i in range(len(padded) - order + 1):
                         found[lang, padded[i : i + order]] += n
@@ -150,30 +172,42 @@ def _grams(words: DataFrame, orders: int) -> DataFrame:
 
 def fit(rows: DataFrame, per_language: int = 4000, orders: int = 5, backoff: float = 0.7, vocabulary: int = 200_000) -> LanguageModel:
     """Learns from ``text, lang`` of a sample: about ``per_language`` different whole texts of each language, by a hash of the text.
-    At most ``vocabulary`` words and as many n-grams are kept, the most frequent; only they are brought to the driver."""
+    At most ``vocabulary`` words and as many n-grams are kept, the most frequent; only they are brought to the driver, and the model
+    says which share is lost by that."""
     labelled = rows.filter("text is not null and lang is not null").select("text", "lang")
     # Copies count once: all of them are drawn or none.
     hashes = labelled.select("lang", F.xxhash64("text").alias("hash")).distinct()
     sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     if not languages:
-        return LanguageModel([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), orders, backoff)
+        return LanguageModel([], _hashes([]), np.zeros((0, 0)), _hashes([]), np.zeros((0, 0)), orders, backoff)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
     words = written(_words(labelled.filter(draw < share[F.col("lang")]).select("lang", "text").distinct()), "words")
     grams = written(_grams(words, orders), "grams")
-    return LanguageModel(languages, *_frequent(words, languages, vocabulary), *_frequent(grams, languages, vocabulary), orders, backoff)
+    (known, scores, lost), (pieces, piece_scores, lost_pieces) = (_frequent(x, languages, vocabulary) for x in (words, grams))
+    return LanguageModel(languages, known, scores, pieces, piece_scores, orders, backoff, (lost, lost_pieces))
+
 
+def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text", sent: list | None = None) -> DataFrame:
+    """The rows with ``lang_pred`` and ``score``; the text is read by itself, so no other column can enter.
 
-def identify(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """The rows with ``lang_pred`` and ``score``; the text is read by itself, so no other column can enter."""
+    The broadcast model is added to ``sent``, for a caller that destroys it once the rows are written.
+    """
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(tuple(vars(model).values()))
+    if sent is not None:
+        sent.append(shared)
 
     def predict(batches):
         known = LanguageModel(*shared.value)
         for batch in batches:
-            names, scores = known.predict(batch.column(text_column).to_pylist())
+            names, scores = [], []
+            _, offsets = text_bytes(batch.column(text_column))
+            for low, high in pieces(offsets):
+                more = known.predict(batch.column(text_column).slice(low, high - low).to_pylist())
+                names += more[0]
+                scores += more[1]
             kept = [batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
