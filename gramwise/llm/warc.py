@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramwise.llm.common import shared_folder, table
@@ -169,17 +169,18 @@ class LoserTree:
             self._winner = run
 
 
-def merged_histories(runs: DataFrame, per_range: int = CAPTURES_PER_RANGE, sample: int = 10_000) -> DataFrame:
+def merged_histories(runs: DataFrame, per_range: int = CAPTURES_PER_RANGE, sample: int = 10_000, per_cut: int = 8) -> DataFrame:
     """All captures in global order: by ``history_range``, then ``position``.  ``runs`` is read three times: give a table.
 
-    Ranges are cut at keys of URL, time and page drawn by hash from all captures, at most about ``sample`` of them, so that
-    a URL with very many captures is cut as well.
+    Ranges are cut at keys of URL, time and page drawn by hash from all captures, about ``sample`` of them and ``per_cut`` for each
+    range at least, so that ranges stay as large as they are meant to be and a URL with very many captures is cut as well.
     """
     keys = runs.select(F.explode("captures").alias("x")).select("x.url_key", "x.captured_at", "x.page_id")
     total = keys.count()
     ranges = max(1, -(-total // per_range))
-    draw = F.pmod(F.xxhash64("url_key", "captured_at", "page_id"), F.lit(1_000_000)) / 1_000_000.0
-    drawn = sorted(_order(x) for x in keys.filter(draw < sample / max(total, 1)).collect()) if ranges > 1 else []
+    draw = F.pmod(F.xxhash64("url_key", "captured_at", "page_id"), F.lit(1 << 40)) / float(1 << 40)
+    share = max(sample, per_cut * ranges) / max(total, 1)
+    drawn = sorted(_order(x) for x in keys.filter(draw < share).collect()) if ranges > 1 else []
     cuts = [drawn[len(drawn) * i // ranges] for i in range(1, ranges)] if drawn else []
 
     def cut(batches):
@@ -203,14 +204,23 @@ def merged_histories(runs: DataFrame, per_range: int = CAPTURES_PER_RANGE, sampl
     return pieces.groupBy("history_range").applyInArrow(merge, f"history_range int, position bigint, {_CAPTURE}")
 
 
+def in_global_order(histories: DataFrame) -> DataFrame:
+    """``merged_histories`` with positions from 0 over all ranges.  Read twice: give a table."""
+    before = Window.orderBy("history_range").rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each range.
+    counts = histories.groupBy("history_range").agg(F.count(F.lit(1)).alias("captures"))
+    starts = counts.select("history_range", F.coalesce(F.sum("captures").over(before), F.lit(0)).alias("start"))
+    return histories.join(starts, "history_range").withColumn("position", F.col("start") + F.col("position")).drop("start")
+
+
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from them in the order of the capture histories."""
     from gramwise.llm.common import written
 
     path = shared_folder(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    merged = merged_histories(written(read_runs(spark, path), "runs"))
-    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+    merged = in_global_order(written(merged_histories(written(read_runs(spark, path), "runs")), "histories"))
+    return merged.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "position")
 
 
 ORACLE = r"""
@@ -221,6 +231,7 @@ select page_id, payload_bytes::bigint as payload_bytes, payload_digest,
   case when page_id < latest then 'revisit' else 'response' end as record_type,
   case when page_id < latest then latest end as refers_to,
   array_to_string(list_reverse(string_split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '.')), ',') || ')'
-    || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as url_key
+    || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as url_key,
+  row_number() over (order by url_key nulls first, coalesce(page_id, 0) % 1000000000, page_id nulls first) - 1 as position
 from q
 """
