@@ -259,13 +259,16 @@ def _text(spans: list[Span]) -> str:
 
 
 def labelled_chains(docs: DataFrame, sample: int = 2_000, chars: int = 20_000) -> list[tuple[list[list[str]], list[int]]]:
-    """A small labelled table from ``docs(text)``: about ``sample`` texts with a digit or @, by a hash of the text, of each
-    the first ``chars`` characters; the patterns give the labels."""
-    rows = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
+    """A small labelled table from ``docs(text)``: about ``sample`` different pieces with a digit or @, by a hash of the piece;
+    texts are cut into pieces of ``chars`` characters, from the first to the last.  The patterns give the labels."""
+    last = F.call_function("div", F.greatest(F.length("text") - 1, F.lit(0)), F.lit(chars))
+    cut = F.transform(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")), lambda k: F.substring(F.col("text"), (k * chars + 1).cast("int"), F.lit(chars)))
+    rows = docs.filter("text is not null").select(F.explode(cut).alias("text")).filter(F.col("text").rlike("[0-9@]"))
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000.0
-    total = rows.count()
+    # Copies count once: all of them are drawn or none.
+    total = rows.select(F.xxhash64("text").alias("hash")).distinct().count()
     out = []
-    for row in rows.filter(draw < sample / max(total, 1)).select(F.substring("text", 1, chars).alias("text")).distinct().orderBy("text").collect():
+    for row in rows.filter(draw < sample / max(total, 1)).distinct().orderBy("text").collect():
         spans = base_spans(row["text"])
         out += [(features(row["text"], x), labels(x, spans)) for c in chains(row["text"]) for x in (c[i : i + 40] for i in range(0, len(c), 40))]
     return out
