@@ -104,8 +104,12 @@ def train(docs: DataFrame, sample: int = 20_000, words: int = 1_000) -> list[flo
     matches = drawn.select(F.explode("base").alias("x")).select("x.kind", "x.value")
     random = matches.select(F.when(F.col("kind") == 0, _value(F.col("value"))).otherwise(F.col("value")).alias("value"))
     random = random.filter(F.length("value") >= LEAST_RUN)
-    few = drawn.filter(draw < words / max(texts, 1)).select("base", _pieces(F.col("clean"), _RUN + "{4,}+").alias("cut"))
-    ordinary = few.select(F.explode(_outside(_spans(F.col("cut"), len(PATTERNS)), F.col("base"))).alias("x")).select("x.value")
+    # Nearly every word is an example here: what the patterns match is taken out first, so that no offsets are needed.
+    rest = F.col("clean")
+    for pattern in PATTERNS.values():
+        rest = F.regexp_replace(rest, pattern, " ")
+    few = drawn.filter(draw < words / max(texts, 1)).select(rest.alias("rest"))
+    ordinary = few.select(F.explode(F.regexp_extract_all("rest", F.lit(_RUN + "{4,}+"), F.lit(0))).alias("value"))
     # Longer runs may be what is looked for: they are no examples of either.
     ordinary = ordinary.filter(F.length("value") < LEAST_RUN)
     counts = _pairs(random, "random").unionByName(_pairs(ordinary, "ordinary")).collect()
