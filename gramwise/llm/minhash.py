@@ -117,7 +117,8 @@ def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS, words: int =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     placed, number = _ranges(docs, rows)
     order = [F.col("range"), F.col("borrowed"), F.col("doc_id").desc_nulls_last(), F.col("text")]
-    ordered = placed.repartition(max(number, 1), "range").sortWithinPartitions(*order)
+    # A range has its partition to itself: a hash of the number would put several together.
+    ordered = placed.repartitionById(max(number, 1), F.col("range")).sortWithinPartitions(*order)
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def describe(batches):
