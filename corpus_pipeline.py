@@ -1,7 +1,7 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next one's
-documents.  All but the last return the columns of ``documents``.  Null texts and texts without a letter go in the first
+documents, so a stage may first free what the one before it has sent to the executors.  All but the last return the columns of ``documents``.  Null texts and texts without a letter go in the first
 stage; rows that differ in nothing count as copies; an empty table stays empty.
 """
 
@@ -19,33 +19,48 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_CERTAINTY = 0.5
 
 
+#: Broadcasts of the stage that has been written.
+_sent: list = []
+
+
+def _free() -> None:
+    """Called by the next stage: its documents are a table by then, and the executors need the model no more."""
+    while _sent:
+        _sent.pop().destroy()
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is certain enough, and corrects ``lang`` to it."""
     model = language.fit(docs.select("text", "lang"))
-    found = language.identify(docs.select(*COLUMNS), model)
+    found = language.identify(docs.select(*COLUMNS), model, sent=_sent)
     kept = found.filter((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_CERTAINTY))
     return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of linked documents, and it once.
+    """Keeps one document of each group of linked documents: that with the smallest id, documents without an id after all others.
 
-    Documents without an id cannot be named by a group: of them only equal texts go.
+    A row is known by two hashes of its id and text, so documents without an id, and several texts with one id, leave with their group.
     """
-    groups = ngram_join.link_components(docs)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    nameless = docs.filter("doc_id is null").dropDuplicates(["text"])
-    return kept.select(*COLUMNS).unionByName(nameless.select(*COLUMNS))
+    _free()
+    keys = {"key_1": F.xxhash64("doc_id", "text"), "key_2": F.xxhash64(F.lit(1), "doc_id", "text")}
+    keyed = docs.select(*COLUMNS).withColumns(keys)
+    groups = ngram_join.link_components(keyed, carried=tuple(keys))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keys)).alias("first")
+    kept = groups.filter("group is not null").groupBy("group").agg(first).select("first.key_1", "first.key_2")
+    bare = groups.filter("group is null").select(*keys)
+    return keyed.join(kept.unionByName(bare).distinct(), list(keys), "left_semi").dropDuplicates(list(keys)).select(*COLUMNS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark passage."""
+    _free()
     return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; ``n_chars`` follows the text."""
+    _free()
     clean = secrets.prepared(docs, *COLUMNS)
     found = secrets.scan(clean, secrets.train(clean.select("clean")))
     text = secrets.redacted(F.col("text"), F.col("found"))
@@ -56,6 +71,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
+    _free()
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
