@@ -29,9 +29,9 @@ from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_byte
 from gramwise.llm.graph import components
 
 #: Shingles of one part, about: what a task sorts at a time.
-PART_SHINGLES = 1 << 22
+PART_SHINGLES = 1 << 21
 #: Shingles that a task gathers before it sends them to the parts.
-_GATHERED = 1 << 21
+_GATHERED = 1 << 20
 #: Classes of one gathering that may have a shingle in common before the rest goes another way than through its part.
 COMMON = 1 << 12
 #: Stands for the classes whose entries go that way.
@@ -156,11 +156,13 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
             keep[first] = True
             tokens = tokens[np.repeat(keep, counts)]
             classes, sizes, counts = classes[keep], sizes[keep], counts[keep]
-        owner = np.repeat(np.arange(len(classes)), counts)
+        rows.clear()
+        owner = np.repeat(np.arange(len(classes), dtype=np.int32), counts)
         order = np.argsort(tokens, kind="stable")
         tokens, owner = tokens[order], owner[order]
+        del order
         starts = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
-        often = np.diff(np.append(starts, len(tokens)))
+        often = np.diff(np.append(starts, len(tokens))).astype(np.int32)
         weight = np.repeat(often, often)
         if part >= parts:
             weight = np.maximum(weight, COMMON)
@@ -187,7 +189,8 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
     def merge(batches):
         waiting: list[tuple] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                row = tuple(c[k].as_py() for c in batch.columns)
                 if waiting and row[0] != waiting[0][0]:
                     yield from settle(waiting)
                     waiting = []
