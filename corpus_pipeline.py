@@ -1,8 +1,9 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next one's
-documents, so a stage may first free what the one before it has sent to the executors.  All but the last return the columns of ``documents``.  Null texts and texts without a letter go in the first
-stage; rows that differ in nothing count as copies; an empty table stays empty.
+documents, so a stage may first free what the one before it has sent to the executors.  All but the last return the columns of
+``documents``.  Null texts and texts without a letter go in the first stage; rows that differ in nothing count as copies; an empty
+table stays empty.
 """
 
 from __future__ import annotations
