@@ -96,11 +96,14 @@ def split_group(keys: Sequence[str], folds: int, percent: int = 20) -> Column:
     return F.when(is_test(keys, percent), F.lit(-1)).otherwise(fold_of(keys, folds))
 
 
-def vocabulary(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories per column.  Gathers at most ``MAX_LEVELS`` and refuses beyond that."""
-    found = categories(df, columns).limit(MAX_LEVELS + 1).collect()
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} categories in {', '.join(columns)}")
+def vocabulary(df: DataFrame, columns: Sequence[str], most: int = MAX_LEVELS) -> dict[str, list[str]]:
+    """Sorted categories per column.  Gathers at most ``most`` and refuses beyond that: ``one_hot`` makes a column of each.
+
+    ``operators.iterative`` fits models over more categories without such columns.
+    """
+    found = categories(df, columns).limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} categories in {', '.join(columns)}")
     levels: dict[str, list[str]] = {c: [] for c in columns}
     for row in found:
         text = row["category"]

@@ -99,8 +99,12 @@ def gram_table(
     numeric: Sequence[str],
     categorical: Sequence[str] = (),
     group: Column | None = None,
+    most: int = MAX_ENTRIES,
 ) -> GramTable:
-    """Moment matrices by group (folds, for instance).  Rows with a missing numeric value are left out."""
+    """Moment matrices by group (folds, for instance).  Rows with a missing numeric value are left out.
+
+    Beyond ``most`` numbers in all matrices, which the driver holds, it refuses; see ``operators.iterative``.
+    """
     group = F.lit(0) if group is None else group
     rows = df.select(
         group.cast("int").alias("__group"),
@@ -109,10 +113,10 @@ def gram_table(
     )
     rows = complete_cases(rows, numeric)
     if categorical:
-        return _with_categories(rows, list(numeric), list(categorical))
+        return _with_categories(rows, list(numeric), list(categorical), most)
     if len(numeric) >= WIDE:
-        return _wide(rows, list(numeric))
-    return _numeric_only(rows, list(numeric))
+        return _wide(rows, list(numeric), most)
+    return _numeric_only(rows, list(numeric), most)
 
 
 def _cell_aggregates(numeric: Sequence[str]) -> list[Column]:
@@ -124,8 +128,8 @@ def _cell_aggregates(numeric: Sequence[str]) -> list[Column]:
     ]
 
 
-def _check_size(groups: int, terms: int) -> None:
-    if groups * terms * terms > MAX_ENTRIES:
+def _check_size(groups: int, terms: int, most: int) -> None:
+    if groups * terms * terms > most:
         raise ValueError(f"{groups} groups of {terms} terms are too many for a dense cross-product matrix")
 
 
@@ -140,11 +144,11 @@ def _shifted(n: float, mean: np.ndarray, cov: np.ndarray, shift: np.ndarray) ->
     return out
 
 
-def _numeric_only(rows: DataFrame, numeric: list[str]) -> GramTable:
+def _numeric_only(rows: DataFrame, numeric: list[str], most: int) -> GramTable:
     p = len(numeric)
-    limit = MAX_ENTRIES // (p * p)
+    limit = most // (p * p)
     found = rows.groupBy("__group").agg(*_cell_aggregates(numeric)).limit(limit + 1).collect()
-    _check_size(len(found), p)
+    _check_size(len(found), p, most)
     if not found:
         raise ValueError("no complete rows")
     cells = {}
@@ -160,12 +164,12 @@ def _numeric_only(rows: DataFrame, numeric: list[str]) -> GramTable:
     return GramTable(tuple(Term(c) for c in numeric), shift, groups)
 
 
-def _wide(rows: DataFrame, numeric: list[str]) -> GramTable:
+def _wide(rows: DataFrame, numeric: list[str], most: int) -> GramTable:
     first = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(numeric)]).first()
     if not first["n"]:
         raise ValueError("no complete rows")
     shift = np.array([first[f"__m{i}"] for i in range(len(numeric))])
-    return batch_gram(rows, numeric, numeric, lambda x: x, shift)
+    return batch_gram(rows, numeric, numeric, lambda x: x, shift, most)
 
 
 def batch_gram(
@@ -174,6 +178,7 @@ def batch_gram(
     names: Sequence[str],
     derive: Callable[[np.ndarray], np.ndarray],
     shift: np.ndarray,
+    most: int = MAX_ENTRIES,
 ) -> GramTable:
     """Moment matrices of ``derive(columns)``, a row-wise numpy function giving one column per name.
 
@@ -198,7 +203,7 @@ def batch_gram(
                 {"__group": pa.array([key], pa.int32()), "sums": pa.array([value.ravel()], pa.list_(pa.float64()))}
             )
 
-    limit = MAX_ENTRIES // width**2
+    limit = most // width**2
     found = (
         rows.select("__group", *columns)
         .mapInArrow(partial, "__group int, sums array<double>")
@@ -213,7 +218,7 @@ def batch_gram(
     groups: dict[int, np.ndarray] = {}
     for row in found:
         groups.setdefault(row["__group"], np.zeros(width**2))[row["pos"]] = row["v"]
-    _check_size(len(groups), width)
+    _check_size(len(groups), width, most)
     return GramTable(
         tuple(Term(c) for c in names), shift, {g: groups[g].reshape(width, width) for g in sorted(groups)}
     )
@@ -317,7 +322,7 @@ def pair_sums(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     return rows.mapInArrow(add, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]) -> GramTable:
+def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str], most: int) -> GramTable:
     p, kinds = len(numeric), len(categorical)
     with kept(pair_sums(rows, numeric, categorical)) as parts:
         whole = F.when(F.col("kind") == 0, F.col("__n"))
@@ -331,7 +336,7 @@ def _with_categories(rows: DataFrame, numeric: list[str], categorical: list[str]
         if not head["n"]:
             raise ValueError("no complete rows")
         shift = [head[f"s{i}"] for i in range(p)]
-        _check_size(head["k"], p + sum(head[f"k{i}"] for i in range(kinds)))
+        _check_size(head["k"], p + sum(head[f"k{i}"] for i in range(kinds)), most)
 
         n = F.col("__n")
         d = [F.col(f"__m{i}") - F.lit(shift[i]) for i in range(p)]

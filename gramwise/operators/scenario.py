@@ -17,10 +17,10 @@ from gramwise.operators.report import small_frame
 MAX_CAPS = 100_000
 
 
-def cap_grid(points: int = 81, denominator: int = 100) -> list[float]:
+def cap_grid(points: int = 81, denominator: int = 100, most: int = MAX_CAPS) -> list[float]:
     """0/denominator, 1/denominator, …: division of integers, so that 0.07 is the double written 0.07."""
-    if not 0 < points <= MAX_CAPS:
-        raise ValueError(f"between 1 and {MAX_CAPS} grid points")
+    if not 0 < points <= most:
+        raise ValueError(f"between 1 and {most} grid points")
     return [k / denominator for k in range(points)]
 
 
@@ -62,6 +62,7 @@ def cap_sweep(
     discount: str = "discount",
     profit: str = "profit",
     mode: str = "level",
+    most: int = MAX_CAPS,
 ) -> DataFrame:
     """Total profit and sales under each cap, with changes against the actual totals.
 
@@ -73,8 +74,8 @@ def cap_sweep(
     """
     _check_mode(mode)
     caps = sorted(set(map(float, caps)))
-    if not 0 < len(caps) <= MAX_CAPS:
-        raise ValueError(f"between 1 and {MAX_CAPS} caps")
+    if not 0 < len(caps) <= most:
+        raise ValueError(f"between 1 and {most} caps")
     slope = sum(float(b) for t, b in zip(margin.terms, margin.coef, strict=True) if t.column == discount)
     s, d, m = F.col("s"), F.col("d"), F.col("m")
     rows = nan_to_null(

@@ -11,7 +11,7 @@ from gramwise.functions.columns import interaction, log_ratio, rescaled
 from gramwise.operators.gram import Moments, Term, gram_table
 from gramwise.operators.ols import OlsFit, fit_moments, vif
 
-# Variables of the summary table and of the two models.
+# Variables of the summary table and of the two models, as the columns are named here.
 SUMMARY = (
     "grants_patents", "randd_perc_gdp", "gini_coeff", "gdp_real_growthrate", "emissions_percapita", "trade_pc_gdp",
     "population_mil",
