@@ -148,6 +148,8 @@ class LassoCv:
     scale: np.ndarray
     #: For each fold left out, and -1 for none, the intercepts and coefficients at all penalties, in the units of the rows.
     solutions: dict[int, tuple[np.ndarray, np.ndarray]] = field(repr=False, default_factory=dict)
+    #: A point near the terms' means, about which the certificate sums.
+    centre: np.ndarray | None = field(repr=False, default=None)
 
     def path(self, spark: SparkSession) -> DataFrame:
         rows = [(float(a), float(m)) for a, m in zip(self.alphas, self.mse.mean(axis=1), strict=True)]
@@ -167,8 +169,9 @@ class LassoCv:
         """``fold, alpha, n, objective, gap``: whether the solutions are optimal, judged by the rows and not by the matrices.
 
         One pass sums, for every fold left out and every penalty, the products of each term with the residuals of that
-        solution.  At an optimum they are the penalty, with the coefficient's sign, for terms in the model and no more than it
-        for the others; ``gap`` is the largest departure as a share of the penalty.  A task sends one row per fold and penalty.
+        solution.  At an optimum they are the penalty, with the coefficient's sign, for terms in the model, no more than it
+        for the others, and nothing for the intercept; ``gap`` is the largest departure as a share of the penalty.  A task sends one
+        row per fold and penalty.
         """
         terms = self.model.terms
         numeric = list(dict.fromkeys(t.column for t in terms if t.value is None))
@@ -179,13 +182,14 @@ class LassoCv:
             *[F.col(c).cast("double").alias(c) for c in numeric], *[level(F.col(c)).alias(c) for c in categorical],
         )
         rows = complete_cases(rows, ["__y", *numeric])
-        intercept = np.stack([self.solutions[f][0] for f in folds])
-        coef = np.stack([self.solutions[f][1] for f in folds])
-        scale, sides = self.scale, [(t.column, t.value) for t in terms]
-        count = coef.shape[1]
+        centre = np.zeros(len(terms)) if self.centre is None else self.centre
+        # The intercept comes last, that of terms about their centre.
+        coef = np.stack([np.column_stack([b, a + b @ centre]) for a, b in (self.solutions[f] for f in folds)])
+        scale, sides = np.append(self.scale, 1.0), [(t.column, t.value) for t in terms]
+        count, size = coef.shape[1:]
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slopes = np.zeros((len(folds), count, len(sides)))
+            slopes = np.zeros((len(folds), count, size))
             squares, sizes = np.zeros((len(folds), count)), np.zeros(len(folds), np.int64)
             for batch in batches:
                 if not batch.num_rows:
@@ -194,10 +198,11 @@ class LassoCv:
                 x = np.column_stack(
                     [columns[c].to_numpy() if v is None else pc.equal(columns[c], v).to_numpy(zero_copy_only=False) for c, v in sides]
                 ).astype(float)
+                x = np.column_stack([x - centre, np.ones(len(x))])
                 y, parts = batch.column("__y").to_numpy(), batch.column("__part").to_numpy()
                 for i, fold in enumerate(folds):
                     rest = parts != fold
-                    residual = y[rest, None] - intercept[i] - x[rest] @ coef[i].T
+                    residual = y[rest, None] - x[rest] @ coef[i].T
                     slopes[i] += residual.T @ (x[rest] / scale)
                     squares[i] += (residual * residual).sum(0)
                     sizes[i] += int(rest.sum())
@@ -209,7 +214,7 @@ class LassoCv:
                         "step": pa.array(np.tile(np.arange(count), len(folds)), pa.int32()),
                         "n": pa.array(sizes[at]),
                         "squares": pa.array(squares.ravel()),
-                        "slopes": pa.array(list(slopes.reshape(-1, len(sides))), pa.list_(pa.float64())),
+                        "slopes": pa.array(list(slopes.reshape(-1, size)), pa.list_(pa.float64())),
                     }
                 )
 
@@ -218,10 +223,13 @@ class LassoCv:
         sums = sums.groupBy("fold", "step", "term").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares"), F.sum("slope").alias("slope"))
         known = small_frame(
             df.sparkSession, "fold int, step int, term int, alpha double, w double",
-            [(f, s, t, float(self.alphas[s]), float(coef[i, s, t] * scale[t])) for i, f in enumerate(folds) for s in range(count) for t in range(len(sides))],
+            [
+                (f, s, t, float(self.alphas[s]), float(coef[i, s, t] * scale[t]) if t < len(sides) else None)
+                for i, f in enumerate(folds) for s in range(count) for t in range(size)
+            ],
         )
         slope, alpha, w = F.col("slope") / F.col("n"), F.col("alpha"), F.col("w")
-        gap = F.when(w != 0, F.abs(slope - alpha * F.signum(w))).otherwise(F.greatest(F.abs(slope) - alpha, F.lit(0.0))) / alpha
+        gap = F.when(w.isNull(), F.abs(slope)).when(w != 0, F.abs(slope - alpha * F.signum(w))).otherwise(F.greatest(F.abs(slope) - alpha, F.lit(0.0))) / alpha
         return sums.join(known, ["fold", "step", "term"]).groupBy("fold", "alpha").agg(
             F.first("n").alias("n"),
             (F.first("squares") / F.first("n") / 2 + F.first("alpha") * F.sum(F.abs("w"))).alias("objective"),
@@ -276,4 +284,4 @@ def lasso_cv(
     b = lasso_path(q, c, alphas, max_iter) / scale
     solutions[-1] = mean[k] - b @ mean[:k], b
     model = LinearModel(float(solutions[-1][0][best]), tuple(terms), b[best])
-    return LassoCv(model, float(alphas[best]), alphas, mse, scale, solutions)
+    return LassoCv(model, float(alphas[best]), alphas, mse, scale, solutions, mean[:k])
