@@ -716,7 +716,7 @@ from guess, las_best""",
 with recursive {PANEL_LASSO},
 e as (select min(y) as x0, max(y) as x1, min(yhat) as y0, max(yhat) as y1 from guess)
 select least(floor((y - x0) / ((x1 - x0) / 20)), 19)::integer as x_bin,
-       least(floor((yhat - y0) / ((y1 - y0) / 20)), 19)::integer as y_bin, count(*) as n,
+       case when y1 > y0 then least(floor((yhat - y0) / ((y1 - y0) / 20)), 19) else 0 end::integer as y_bin, count(*) as n,
        {r('any_value(x0)')} as x_min, {r('any_value(x1)')} as x_max, {r('any_value(y0)')} as y_min, {r('any_value(y1)')} as y_max
 from guess, e group by 1, 2""",
     "panel_lasso_certificate": f"""
