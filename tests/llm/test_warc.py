@@ -43,6 +43,9 @@ def test_round_trip_and_revisits(spark):
         assert sorted(found, key=str) == sorted(_expected(rows), key=str)
         keys = [warc._order((r["url_key"], r["captured_at"], r["page_id"])) for r in merged]
         assert keys == sorted(keys)
+        placed = warc.in_global_order(written(warc.merged_histories(runs, per_range), "histories")).orderBy("position").collect()
+        assert [r["position"] for r in placed] == list(range(len(rows)))
+        assert [warc._order((r["url_key"], r["captured_at"], r["page_id"])) for r in placed] == keys
         assert all(r["stored_bytes"] == (0 if r["record_type"] == "revisit" else r["payload_bytes"]) for r in merged)
 
 
