@@ -208,7 +208,10 @@ def out_of_bag(
     every tree has seen has no prediction.  Rows with a missing feature or label are left out.
     """
     rows = complete_cases(df, [label, *features]).select(*keys, *[F.col(c).cast("double").alias(c) for c in (label, *features) if c not in keys])
-    weighted = _assembled(rows, features).withColumn("__weights", bootstrap_weights(keys, trees))
+    with kept(rows):
+        # Every level of every tree is a job over all partitions: as many as the rows need, not as a shuffle before left.
+        placed = _placed(rows).sortWithinPartitions(*keys, label)
+    weighted = _assembled(placed, features).withColumn("__weights", bootstrap_weights(keys, trees))
     with kept(weighted) as train:
 
         def fit(t: int) -> RandomForestRegressionModel:

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
 from gramwise.operators import forest
@@ -82,3 +83,12 @@ def test_out_of_bag_predictions_come_from_other_trees(spark, planted):
     assert all((r["prediction"] is None) == (r["n_trees"] == 0) for r in rows)
     error = oob_error(found, "y").first()
     assert error["n"] == 240 and 0.3 < error["r2"] < 1 and error["mse"] > 0
+
+
+def test_out_of_bag_trees_are_fitted_on_as_few_partitions_as_the_rows_need(spark, planted, monkeypatch):
+    seen, fit = [], RandomForestRegressor.fit
+    monkeypatch.setattr(RandomForestRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    columns = ["a", "b", "c", "d"]
+    spread, whole = (out_of_bag(x, "y", columns, ["id"], trees=2, depth=3).orderBy("id") for x in (planted.repartition(40), planted.coalesce(1)))
+    assert seen == [1, 1, 1, 1]
+    assert spread.collect() == whole.collect()
