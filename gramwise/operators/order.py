@@ -17,6 +17,8 @@ from gramwise.operators.report import small_frame
 
 ROWS_PER_BIN = 1_000_000
 ROWS_PER_RANGE = 100_000
+#: Sorted ranges of a walk at most; each sends keys for the choice of the cuts, so more of them cost the driver memory.
+MAX_RANGES = 1_000
 _LARGEST = float(np.finfo(float).max)
 
 
@@ -156,14 +158,14 @@ def durbin_watson(
     Rows with equal keys are ordered by the value itself, and rows equal in both are combined first: their
     differences are zero.  Spark range-partitions and sorts; every task walks its range once and returns one
     row, and the differences across neighbouring ranges are added from those rows.  The number of ranges
-    follows the number of rows, which ``rows`` gives if it is known.
+    follows the number of rows, which ``rows`` gives if it is known, up to ``MAX_RANGES``: beyond, ranges are longer.
     """
     _check_names(order_by, column)
     present = complete_cases(df.select(*order_by, F.col(column).cast("double").alias("__e")), ["__e"])
     total = present.count() if rows is None else rows
     combined = present.groupBy(*order_by, "__e").agg(F.count("*").cast("double").alias("__n"))
     keys = [*[F.col(k).asc_nulls_last() for k in order_by], F.col("__e").asc()]
-    ranges = max(1, math.ceil(total / rows_per_range))
+    ranges = min(MAX_RANGES, max(1, math.ceil(total / rows_per_range)))
     sorted_rows = combined.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).select("__e", "__n")
 
     def walk(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

@@ -1,8 +1,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from gramwise.operators import diagnose
+from gramwise.operators import diagnose, order
 from gramwise.operators.gram import gram_table
 from gramwise.operators.ols import ols, with_residuals
 from gramwise.operators.order import balanced_ranges, durbin_watson, order_statistics, quantiles, value_ranks
@@ -143,3 +144,14 @@ def test_durbin_watson_of_a_trend_is_small(spark):
     frame = pd.DataFrame({"t": np.arange(400), "y": np.sin(np.arange(400) / 40)})
     df = spark.createDataFrame(frame)
     assert durbin_watson(with_residuals(df, ols(df, "y", ["t"])), "residual", ["t"]).first()[0] < 0.05
+
+
+def test_durbin_watson_ranges_are_longer_beyond_the_most(spark, monkeypatch):
+    df = spark.range(500).select(F.col("id").alias("t"), F.hash("id").cast("double").alias("e"))
+    asked, plain = [], type(df).repartitionByRange
+    monkeypatch.setattr(order, "MAX_RANGES", 4)
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, n, *keys: asked.append(n) or plain(self, n, *keys))
+    found = durbin_watson(df, "e", ["t"], rows_per_range=5).first()[0]
+    e = np.array([r["e"] for r in df.orderBy("t").collect()])
+    assert asked == [4]
+    assert found == pytest.approx((np.diff(e) ** 2).sum() / (e**2).sum(), rel=1e-12)
