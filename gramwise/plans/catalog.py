@@ -643,9 +643,11 @@ def residuals(spark: SparkSession, sf: str) -> DataFrame:
 
 @register
 def residual_scatter(spark: SparkSession, sf: str) -> DataFrame:
-    section = _section(spark, sf)
-    fit = cs.CrossSectionModel.estimate(section).fit
-    return rounded(diagnose.binned_pairs(with_residuals(section, fit), "fitted", "residual", 20))
+    # The tables are joined once; only the cells, 400 at most, leave the block.
+    with kept(_section(spark, sf)) as section:
+        fit = cs.CrossSectionModel.estimate(section).fit
+        cells = rounded(diagnose.binned_pairs(with_residuals(section, fit), "fitted", "residual", 20))
+        return spark.createDataFrame(cells.toArrow())
 
 
 @register

@@ -90,3 +90,10 @@ def test_read_csv_by_name_needs_no_inference(spark, tmp_path):
 
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     assert "y" not in _plan(read_csv(spark, str(tmp_path), {"x": "int"})).split("ReadSchema")[1].split("\n")[0]
+
+
+def test_residual_scatter_reads_the_tables_once(spark):
+    """The cells are counted while the cross-section is kept: the result reads no table again."""
+    found = queries()["residual_scatter"](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() == [] and found.columns[:3] == ["x_bin", "y_bin", "n"]
+    assert dict(found.dtypes)["n"] == "bigint"
