@@ -48,10 +48,23 @@ class LevelSystem:
         size = len(v)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(size)
+            out, v = np.zeros(size), shared.value
+            waiting, rows = [], 0
+
+            def sum_up() -> None:
+                nonlocal out
+                i, j, n = (np.concatenate(x) for x in zip(*waiting, strict=True))
+                out += np.bincount(i, n * v[j], size) + np.bincount(j, n * v[i], size)
+
             for batch in batches:
-                i, j, n = (batch.column(k).to_numpy() for k in range(3))
-                out += np.bincount(i, n * shared.value[j], size) + np.bincount(j, n * shared.value[i], size)
+                waiting.append([batch.column(k).to_numpy() for k in range(3)])
+                rows += batch.num_rows
+                # A sum passes over all levels, so it waits for as many cells.
+                if rows >= size:
+                    sum_up()
+                    waiting, rows = [], 0
+            if rows:
+                sum_up()
             at = np.flatnonzero(out)
             yield pa.RecordBatch.from_pydict({"at": at.astype(np.int32), "v": out[at]})
 

@@ -168,3 +168,19 @@ def test_certificate_accepts_the_path_and_rejects_others(mixed):
     cv.solutions[2][1][5, 0] *= 1.01
     bad = [r["fold"] for r in cv.certificate(mixed, "y", "fold").collect() if r["gap"] > 1e-3]
     assert bad == [2]
+
+
+def test_pairs_are_summed_for_as_many_cells_as_there_are_levels(spark):
+    """Batches far smaller than the vector, summed together."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        df = spark.range(400).select(F.col("id").cast("string").alias("g"), (F.col("id") % 7).cast("string").alias("h"), F.rand(1).alias("x"), F.rand(2).alias("y"))
+        with level_system(df, "y", ["x"], ["g", "h"]) as system:
+            v = np.arange(len(system.levels), dtype=float)
+            expected = np.zeros(len(v))
+            for i, j, n in system.cells.collect():
+                expected[i] += n * v[j]
+                expected[j] += n * v[i]
+            assert np.allclose(system.pairs_times(v), expected)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
