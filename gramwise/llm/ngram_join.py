@@ -7,8 +7,8 @@ prefix shingle.  Classes that have a fifth of their shingles alone are linked wi
 
 Rounds of stars check every open class against one class of another component that shares a prefix shingle, which joins groups of
 near copies along trees instead of pairs.  They go on until few pairs are left between components, or a round leaves most of them.
-Then all remaining pairs that share a prefix shingle, lie in different components and pass the filters are checked, so no link
-between components is lost.  Common shingles are counted on lists of shared shingles: no text is read again.
+Then the remaining pairs that share a prefix shingle, lie in different components and pass the filters are checked: a few of each
+two components first, and all whose components these did not join, so no link between components is lost.  Common shingles are counted on lists of shared shingles: no text is read again.
 
 Defined results: null or empty text has no shingles and is linked with nothing; equal texts are linked; a null id stays
 null and never names a component; repeated rows are returned as often as they come; other columns are ignored.
@@ -46,6 +46,8 @@ PROGRESS = 0.75
 LEADS = 4
 #: Pairs between components that are checked at once in any case.
 FEW_PAIRS = 20_000
+#: Pairs between components beyond which a few of each two components are compared first.
+DRAWN_FROM = 1_000
 #: Parts of the hash range in which the suffix filter counts shingles.
 _BINS = 64
 
@@ -268,12 +270,15 @@ def _alike(num: int, den: int) -> F.Column:
     return F.expr(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}") & (apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(num, den))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sets really are that similar; each is compared once, after length and suffix filter."""
-    sized = pairs
+def _alike_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """``a, b, n_a, n_b`` of the pairs that length and suffix filter leave."""
     for side in "ab":
-        sized = sized.join(classes.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "alone", "bins"))), side)
-    pairs = sized.filter(_alike(num, den)).select("a", "b", "n_a", "n_b")
+        pairs = pairs.join(classes.select(F.col("class").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("n", "alone", "bins"))), side)
+    return pairs.filter(_alike(num, den)).select("a", "b", "n_a", "n_b")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs ``a, b, n_a, n_b`` whose sets really are that similar; each is compared once."""
     for side in "ab":
         pairs = pairs.join(classes.select(F.col("class").alias(side), F.col("tokens").alias(f"tokens_{side}")), side)
 
@@ -315,6 +320,31 @@ def _stars(postings: DataFrame, attempt: int, num: int, den: int) -> DataFrame:
     return written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
 
 
+def _between(pairs: DataFrame, classes: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
+    """``links`` and those that ``pairs(a, b, n_a, n_b, component_a, component_b)`` add to join components.
+
+    One link joins two components, however many their classes have: a few pairs of each two components are compared first, and
+    all of those that are still apart after that.
+    """
+    left, before, attempt = pairs.count(), float("inf"), 0
+    while left > DRAWN_FROM and left <= PROGRESS * before:
+        drawn = [F.min(F.struct(F.xxhash64("a", "b", F.lit(LEADS * attempt + k)).alias("draw"), "a", "b", "n_a", "n_b")) for k in range(LEADS)]
+        two = F.least("component_a", "component_b").alias("low"), F.greatest("component_a", "component_b").alias("high")
+        some = pairs.groupBy(*two).agg(F.array(*drawn).alias("drawn")).select("low", "high", F.explode("drawn").alias("x"))
+        some = written(some.select("low", "high", "x.a", "x.b", "x.n_a", "x.n_b").distinct(), "drawn")
+        found = written(_verified(some, classes, num, den), "links")
+        links = links.unionByName(found)
+        # Only what joins components is followed further, not all links again.
+        joined = components(some.join(found, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b")).distinct())
+        pairs = pairs.join(some.select("a", "b"), ["a", "b"], "left_anti")
+        for side in "ab":
+            now = joined.select(F.col("node").alias(f"component_{side}"), F.col("component").alias("now"))
+            pairs = pairs.join(now, f"component_{side}", "left").withColumn(f"component_{side}", F.coalesce("now", f"component_{side}")).drop("now")
+        pairs = written(pairs.filter("component_a <> component_b"), "pairs")
+        before, left, attempt = left, pairs.count(), attempt + 1
+    return links.unionByName(_verified(pairs, classes, num, den))
+
+
 def link_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (80, 100),
     carried: Sequence[str] = (),
@@ -339,7 +369,7 @@ def link_components(
     shared = written(postings.join(leaders, "token"), "postings")
 
     # Stars: each class is checked against a few classes, and what is left open against some of other components.
-    links = written(_verified(_stars(shared.filter("class <> lead"), 0, num, den), classes, num, den), "links")
+    links = written(_verified(_alike_pairs(_stars(shared.filter("class <> lead"), 0, num, den), classes, num, den), classes, num, den), "links")
     open_ = _open(shared, links, 0)
     attempt, before = 0, float("inf")
     while True:
@@ -350,7 +380,7 @@ def link_components(
             break
         before, attempt = left["pairs"], attempt + 1
         stars = _stars(open_.filter("component <> lead_component"), attempt, num, den)
-        links = written(links.unionByName(_verified(stars, classes, num, den)), "links")
+        links = written(links.unionByName(_verified(_alike_pairs(stars, classes, num, den), classes, num, den)), "links")
         open_ = _open(open_, links, attempt)
 
     # Linked sizes differ by a factor of at most den/num, so their steps on this scale differ by at most one.
@@ -365,11 +395,10 @@ def link_components(
         left.join(right, ["token", "step"])
         .filter("class_a < class_b and component_a <> component_b")
         .filter((follows >= _needed(num, den)) & _alike(num, den))
-        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b", "component_a", "component_b")
         .distinct()
     )
-    more = _verified(written(pairs, "pairs"), classes, num, den)
-    joined = components(written(links.unionByName(more), "links"))
+    joined = components(written(_between(written(pairs, "pairs"), classes, links, num, den), "links"))
 
     label = F.coalesce("component", "class")
     sets = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(joined.withColumnRenamed("node", "class"), "class", "left")

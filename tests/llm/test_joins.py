@@ -75,6 +75,25 @@ def test_jaccard_join_equals_brute_force(make, prose, edge_rows):
     assert sorted(map(tuple, found), key=key) == sorted(brute(rows), key=key)
 
 
+def test_large_components_are_joined_by_few_pairs(make, prose, monkeypatch):
+    """Two halves of a group of near copies that the stars leave apart: not each pair between them is compared."""
+    monkeypatch.setattr(ngram_join, "DRAWN_FROM", 10, raising=False)
+    stars, verified, compared = ngram_join._stars, ngram_join._verified, []
+
+    def counted(pairs, *more):
+        compared.append(pairs.select("a", "b").count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "_stars", lambda *x: stars(*x).filter("a % 2 = 0 and b % 2 = 0 or a % 2 <> 0 and b % 2 <> 0"))
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    rng = random.Random(5)
+    base = prose(1, 400, 51)[0]
+    rows = [(i, edits(base, 0.005, rng)) for i in range(60)] + [(100 + i, text) for i, text in enumerate(prose(5, 90, 52))]
+    found = ngram_join.link_components(make(rows)).collect()
+    assert sorted(map(tuple, found), key=key) == sorted(brute(rows), key=key)
+    assert sum(compared[1:]) < 100
+
+
 def test_common_shingles_and_many_parts(make, prose, monkeypatch):
     """Shingles that most documents have go another way; parts and gatherings are small; one class heads a large group."""
     monkeypatch.setattr(ngram_join, "COMMON", 4)
