@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_bytes, written
-from gramwise.llm.graph import components
+from gramwise.llm.graph import roots
 
 #: Shingles of one part, about: what a task sorts at a time.
 PART_SHINGLES = 1 << 21
@@ -293,14 +293,31 @@ def _verified(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataF
     return pairs.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _open(postings: DataFrame, links: DataFrame, attempt: int) -> DataFrame:
+def _merged(components: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows with a ``component`` by its new name in ``found(node, root)``."""
+    named = components.join(found.withColumnRenamed("node", "component"), "component", "left")
+    return named.withColumn("component", F.coalesce("root", "component")).drop("root")
+
+
+def _joined(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``node, root`` of the components that ``links(a, b)`` between classes join: only these are followed, not all links again."""
+    links = _named(links, labels)
+    return written(roots(links.select(F.col("component_a").alias("a"), F.col("component_b").alias("b"))), "joined")
+
+
+def _named(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of classes with ``component_a, component_b``."""
+    for side in "ab":
+        pairs = pairs.join(labels.select(F.col("class").alias(side), F.col("component").alias(f"component_{side}")), side)
+    return pairs
+
+
+def _open(postings: DataFrame, found: DataFrame, attempt: int) -> DataFrame:
     """Postings of the tokens that several components share; ``lead`` is one class of each token, another each attempt.
 
-    ``across`` is, for each token, the pairs of its classes that lie in different components.
+    ``found`` names the components anew; ``across`` is, for each token, the pairs of its classes that lie in different components.
     """
-    labels = components(links).withColumnRenamed("node", "class")
-    named = postings.select("token", "class", "n", "pos").join(labels, "class", "left")
-    named = named.withColumn("component", F.coalesce("component", "class"))
+    named = _merged(postings.select("token", "class", "n", "pos", "component"), found)
     # Each token draws for itself: a class meets different leads by its different tokens.
     drawn = F.min(F.struct(F.xxhash64("class", "token", F.lit(attempt)).alias("draw"), "class", "component", "n"))
     mixed = named.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("m"), drawn.alias("x")).groupBy("token").agg(
@@ -320,29 +337,29 @@ def _stars(postings: DataFrame, attempt: int, num: int, den: int) -> DataFrame:
     return written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "stars")
 
 
-def _between(pairs: DataFrame, classes: DataFrame, links: DataFrame, num: int, den: int) -> DataFrame:
-    """``links`` and those that ``pairs(a, b, n_a, n_b, component_a, component_b)`` add to join components.
+def _between(pairs: DataFrame, classes: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """``labels(class, component)`` after the links among ``pairs(a, b, n_a, n_b, component_a, component_b)``.
 
     One link joins two components, however many their classes have: a few pairs of each two components are compared first, and
-    all of those that are still apart after that.
+    all of those that are still apart after that.  As many pairs as classes cost no more than another round.
     """
+
+    def after(some: DataFrame) -> DataFrame:
+        # No other classes travel.
+        few = classes.join(some.select(F.explode(F.array("a", "b")).alias("class")), "class", "left_semi")
+        return written(_merged(labels, _joined(_verified(some, few, num, den), labels)), "labels")
+
     left, before, attempt = pairs.count(), float("inf"), 0
-    while left > DRAWN_FROM and left <= PROGRESS * before:
+    while left > max(DRAWN_FROM, labels.count()) and left <= PROGRESS * before:
         drawn = [F.min(F.struct(F.xxhash64("a", "b", F.lit(LEADS * attempt + k)).alias("draw"), "a", "b", "n_a", "n_b")) for k in range(LEADS)]
         two = F.least("component_a", "component_b").alias("low"), F.greatest("component_a", "component_b").alias("high")
-        some = pairs.groupBy(*two).agg(F.array(*drawn).alias("drawn")).select("low", "high", F.explode("drawn").alias("x"))
-        some = written(some.select("low", "high", "x.a", "x.b", "x.n_a", "x.n_b").distinct(), "drawn")
-        found = written(_verified(some, classes, num, den), "links")
-        links = links.unionByName(found)
-        # Only what joins components is followed further, not all links again.
-        joined = components(some.join(found, ["a", "b"]).select(F.col("low").alias("a"), F.col("high").alias("b")).distinct())
-        pairs = pairs.join(some.select("a", "b"), ["a", "b"], "left_anti")
-        for side in "ab":
-            now = joined.select(F.col("node").alias(f"component_{side}"), F.col("component").alias("now"))
-            pairs = pairs.join(now, f"component_{side}", "left").withColumn(f"component_{side}", F.coalesce("now", f"component_{side}")).drop("now")
+        some = pairs.groupBy(*two).agg(F.array(*drawn).alias("drawn")).select(F.explode("drawn").alias("x"))
+        some = written(some.select("x.a", "x.b", "x.n_a", "x.n_b").distinct(), "drawn")
+        labels = after(some)
+        pairs = _named(pairs.select("a", "b", "n_a", "n_b").join(some.select("a", "b"), ["a", "b"], "left_anti"), labels)
         pairs = written(pairs.filter("component_a <> component_b"), "pairs")
         before, left, attempt = left, pairs.count(), attempt + 1
-    return links.unionByName(_verified(pairs, classes, num, den))
+    return after(pairs.select("a", "b", "n_a", "n_b"))
 
 
 def link_components(
@@ -363,14 +380,16 @@ def link_components(
     # One exchange by token serves both the leaders and the join with them.
     postings = classes.select("class", "n", "alone", F.posexplode("prefix").alias("at", "token"))
     postings = postings.select("token", "class", "n", (F.col("alone") + F.col("at")).alias("pos")).repartition("token")
-    drawn = F.min_by(F.struct("class", "n"), F.xxhash64("class", "token"))
+    drawn = F.min_by(F.struct("class", "n", "pos"), F.xxhash64("class", "token"))
     leaders = postings.groupBy("token").agg(F.count(F.lit(1)).alias("found"), drawn.alias("x")).filter("found > 1")
     leaders = leaders.select("token", F.col("x.class").alias("lead"), F.col("x.n").alias("lead_n"))
     shared = written(postings.join(leaders, "token"), "postings")
 
     # Stars: each class is checked against a few classes, and what is left open against some of other components.
-    links = written(_verified(_alike_pairs(_stars(shared.filter("class <> lead"), 0, num, den), classes, num, den), classes, num, den), "links")
-    open_ = _open(shared, links, 0)
+    links = _verified(_alike_pairs(_stars(shared.filter("class <> lead"), 0, num, den), classes, num, den), classes, num, den)
+    found = written(roots(links), "joined")
+    labels = written(_merged(classes.select("class", F.col("class").alias("component")), found), "labels")
+    open_ = _open(shared.withColumn("component", F.col("class")), found, 0)
     attempt, before = 0, float("inf")
     while True:
         left = open_.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.first("across").alias("across"))
@@ -380,29 +399,29 @@ def link_components(
             break
         before, attempt = left["pairs"], attempt + 1
         stars = _stars(open_.filter("component <> lead_component"), attempt, num, den)
-        links = written(links.unionByName(_verified(_alike_pairs(stars, classes, num, den), classes, num, den)), "links")
-        open_ = _open(open_, links, attempt)
+        found = _joined(_verified(_alike_pairs(stars, classes, num, den), classes, num, den), labels)
+        labels = written(_merged(labels, found), "labels")
+        open_ = _open(open_, found, attempt)
 
-    # Linked sizes differ by a factor of at most den/num, so their steps on this scale differ by at most one.
+    # Linked sizes differ by a factor of at most den/num, so the larger is at most one step further on this scale.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
     sized = open_.select("token", "class", "pos", "component").join(classes.select("class", "n", "alone", "bins"), "class").withColumn("step", step)
-    right = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)))
+    right = sized.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"))))
     columns = ("class", "n", "alone", "pos", "component", "bins")
     left, right = (x.select("token", "step", *(F.col(c).alias(f"{c}_{s}") for c in columns)) for x, s in ((sized, "a"), (right, "b")))
     # At the first shingle that two prefixes share, what follows must hold all that linked sets have in common.
     follows = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     pairs = (
         left.join(right, ["token", "step"])
-        .filter("class_a < class_b and component_a <> component_b")
+        .filter("(n_a < n_b or n_a = n_b and class_a < class_b) and component_a <> component_b")
         .filter((follows >= _needed(num, den)) & _alike(num, den))
         .select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "n_a", "n_b", "component_a", "component_b")
         .distinct()
     )
-    joined = components(written(_between(written(pairs, "pairs"), classes, links, num, den), "links"))
+    labels = _between(written(pairs, "pairs"), classes, labels, num, den)
 
-    label = F.coalesce("component", "class")
-    sets = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(joined.withColumnRenamed("node", "class"), "class", "left")
-    sets = sets.select("class", "low", label.alias("component"))
+    sets = rows.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("low")).join(labels, "class", "left")
+    sets = sets.select("class", "low", F.coalesce("component", "class").alias("component"))
     lowest = sets.groupBy("component").agg(F.min("low").alias("component_id"))
     named = sets.join(lowest, "component").select("class", "component_id", F.col("component").alias("group"))
     out = rows.withColumn("class", F.when(F.col("n") > 0, F.col("class"))).join(named, "class", "left")

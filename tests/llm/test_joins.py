@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gramwise.llm import minhash, ngram_join
+from gramwise.llm import graph, minhash, ngram_join
 from gramwise.llm.graph import components
 
 
@@ -59,6 +59,26 @@ def test_components_of_long_chain(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_by_rounds_alone(spark, monkeypatch):
+    """A chain in order, one in disorder, a star and a ring, without a last task that follows what is left."""
+    monkeypatch.setattr(graph, "FEW_LINKS", 0, raising=False)
+    order = random.Random(3).sample(range(1000, 1060), 60)
+    links = [(i, i + 1) for i in range(50)] + list(zip(order, order[1:], strict=False)) + [(2000, 2000 + i) for i in range(1, 30)]
+    links += [(3000 + i, 3000 + (i + 1) % 7) for i in range(7)] + [(-5, -6), (-6, -5)]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    low = lambda x: -6 if x < 0 else x // 1000 * 1000
+    assert found == {x: low(x) for link in links for x in link}
+
+
+def test_few_links_take_few_tables(spark, monkeypatch):
+    """Tables that are written for a long chain of few links: not two and one for each round."""
+    write, names = graph.written, []
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or write(df, name))
+    links = spark.createDataFrame([(i, i + 1) for i in range(100)], "a bigint, b bigint")
+    assert components(links).agg({"component": "max"}).first()[0] == 0
+    assert len(names) <= 3
+
+
 def test_jaccard_join_equals_brute_force(make, prose, edge_rows):
     rng = random.Random(3)
     rows = list(edge_rows)
