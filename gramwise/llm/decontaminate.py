@@ -28,6 +28,8 @@ EDITS = 0.2
 RUN = 4
 #: Items, and bytes of their texts, that travel at once.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
+#: Bytes of text that are searched at once, or one document: each byte takes some forty meanwhile.
+TEXT_BYTES = 1 << 20
 _SEPARATOR = np.ones(256, bool)
 _SEPARATOR[[*range(48, 58), *range(97, 123), *range(128, 256)]] = False
 _ALLOWED = 1e-9
@@ -238,7 +240,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, recal
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             clean = np.ones(batch.num_rows, bool)
-            for low, high in pieces(offsets):
+            for low, high in pieces(offsets, TEXT_BYTES):
                 words, _, _, first = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 clean[low + known.leaks(words, first)[0]] = False
             yield batch.filter(pa.array(clean))
@@ -266,7 +268,7 @@ def _searched(docs: DataFrame, items: Items) -> DataFrame:
         known = Items(**shared.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            for low, high in pieces(offsets):
+            for low, high in pieces(offsets, TEXT_BYTES):
                 words, starts, ends, first = words_of(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
                 text, item, start, distance = known.leaks(words, first)
                 if not len(text):

@@ -28,6 +28,8 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from gramwise.llm.common import SHINGLE_WORDS, pieces, shingle_hashes, text_bytes, written
 from gramwise.llm.graph import roots
 
+#: Bytes of text whose shingles are found at once, or one document: each byte takes some forty while they are.
+SET_BYTES = 1 << 19
 #: Shingles of one part, about: what a task sorts at a time.
 PART_SHINGLES = 1 << 21
 #: Shingles that a task gathers before it sends them to the parts.
@@ -56,7 +58,7 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Re
     """The distinct shingles of each document, sorted."""
     for batch in batches:
         data, offsets = text_bytes(batch.column("text"))
-        for low, high in pieces(offsets):
+        for low, high in pieces(offsets, SET_BYTES):
             part = data[offsets[low] : offsets[high]]
             found = shingle_hashes(part, offsets[low : high + 1] - offsets[low], words)
             yield batch.slice(low, high - low), [np.unique(x) for x in found]
@@ -197,7 +199,9 @@ def _shared(blocks: DataFrame, parts: int) -> DataFrame:
         arrays = [pa.array(v, k) for v, k in zip(zip(*found, strict=True), kinds, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "classes", "sizes", "counts", "tokens", "often"])
 
-    return blocks.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_gathered(settle), _LISTS)
+    # One part to a task: what a task holds, and what travels to it at once, is no more than a part or two.
+    dealt = blocks.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int"))
+    return dealt.sortWithinPartitions("part").mapInArrow(_gathered(settle), _LISTS)
 
 
 def _gathered(settle: Callable[[list[tuple]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -6,6 +6,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,22 @@ def test_large_components_are_joined_by_few_pairs(make, prose, monkeypatch):
     assert sum(compared[1:]) < 100
 
 
+def test_each_part_has_a_task_of_its_own(make, prose, monkeypatch):
+    """What a task gathers is one part, not several that hash to the same place."""
+
+    def parts_met(settle):
+        def count(batches):
+            met = {x for batch in batches for x in batch.column("part").to_pylist()}
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([len(met)], pa.int32())} | {c: pa.array([b""]) for c in ("classes", "sizes", "counts", "tokens", "often")})
+
+        return count
+
+    monkeypatch.setattr(ngram_join, "_gathered", parts_met)
+    docs = make(list(enumerate(prose(20, 60, 61)))).select("doc_id", "text")
+    met = [r["bucket"] for r in ngram_join._shared(ngram_join._dealt(docs, 5, 12), 12).collect()]
+    assert sum(met) == 12 and max(met) == 1
+
+
 def test_common_shingles_and_many_parts(make, prose, monkeypatch):
     """Shingles that most documents have go another way; parts and gatherings are small; one class heads a large group."""
     monkeypatch.setattr(ngram_join, "COMMON", 4)
