@@ -184,3 +184,105 @@ def test_pairs_are_summed_for_as_many_cells_as_there_are_levels(spark):
             assert np.allclose(system.pairs_times(v), expected)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.fixture
+def gathered(monkeypatch):
+    """How many rows each result had that reached the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rows, to_arrow, collect = [], DataFrame.toArrow, DataFrame.collect
+    monkeypatch.setattr(DataFrame, "toArrow", lambda df: (t := to_arrow(df), rows.append(t.num_rows))[0])
+    monkeypatch.setattr(DataFrame, "collect", lambda df: (t := collect(df), rows.append(len(t)))[0])
+    return rows
+
+
+def test_levels_of_the_largest_column_stay_off_the_driver(spark, gathered):
+    df = spark.range(60_000).select(
+        (F.col("id") % 20_000).alias("g"), (F.xxhash64("id") % 7).alias("h"), (F.xxhash64("id", F.lit(1)) % 1000 / 1000.0).alias("x")
+    )
+    df = df.withColumn("y", 2.0 * F.col("x") + (F.col("g") % 100) / 100.0 + F.when(F.col("h") == 3, 5.0).otherwise(0.0))
+    model = ols_many_levels(df, "y", ["x"], ["g", "h"])
+    assert model.coefficient("x") == pytest.approx(2.0, abs=1e-9)
+    assert model.coefficient("h_3") - model.coefficient("h_4") == pytest.approx(5.0, abs=1e-9)
+    assert model.coefficient("g_70") - model.coefficient("g_12345") == pytest.approx(0.25, abs=1e-9)
+    with pytest.raises(ValueError):
+        model.coefficient("g_0")
+    assert len(model.terms) == 1 + 19_999 + 12
+    assert max(gathered) < 100
+    table = {r["term"]: r["estimate"] for r in model.table(spark).where("term in ('_cons', 'x', 'g_70', 'h_3')").toArrow().to_pylist()}
+    assert table == {"_cons": model.intercept} | {n: model.coefficient(n) for n in ("x", "g_70", "h_3")}
+    assert max(gathered) < 100
+
+
+@pytest.mark.parametrize("columns", [["a"], ["a", "b"], ["b", "a", "c"]])
+def test_blocks_of_few_cells_equal_the_dense_solution(spark, monkeypatch, columns):
+    """Levels longer than a block and a batch, missing ones and odd names, in columns of any order."""
+    from gramwise.operators import iterative
+
+    monkeypatch.setattr(iterative, "BLOCK_CELLS", 30)
+    rng = np.random.default_rng(11)
+    n = 2500
+    frame = pd.DataFrame({"x": rng.normal(size=n), "a": np.where(rng.random(n) < 0.3, "hot", rng.integers(0, 60, n).astype(str))})
+    frame["a"] = frame["a"].replace({"7": "nan", "8": "\0z", "9": "", "10": None})
+    frame["b"] = rng.integers(0, 45, n).astype(str)
+    frame["c"] = rng.choice(["u", "v", None], n)
+    frame["y"] = 1.5 * frame.x + (frame.a == "hot") + (frame.b == "3") * 2.0 + rng.normal(0, 0.3, n)
+    df = spark.createDataFrame(frame).repartition(5)
+    names, design = ["_cons", "x"], [np.ones(n), frame.x]
+    for c in columns:
+        values = frame[c].tolist()
+        present = sorted({v for v in values if isinstance(v, str)})
+        for v in present[1:]:
+            names.append(f"{c}_{v}")
+            design.append([u == v for u in values])
+        if len(present) < len({str(v) for v in values}):
+            names.append("a_nan_" if c == "a" else f"{c}_nan")
+            design.append([not isinstance(u, str) for u in values])
+    dense = dict(zip(names, np.linalg.lstsq(np.column_stack(design).astype(float), frame.y, rcond=None)[0], strict=True))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        model = ols_many_levels(df, "y", ["x"], columns)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = _by_name(model)
+    assert list(found) == [*names[1:], "_cons"]
+    for name in dense:
+        assert found[name] == pytest.approx(dense[name], rel=1e-8, abs=1e-8), name
+    for name in ("a_nan", "a_nan_", "a_\0z", "x"):
+        assert model.coefficient(name) == pytest.approx(dense[name], rel=1e-8, abs=1e-8)
+    assert model.table(spark).count() == len(dense)
+
+
+def test_collinear_levels_predict_alike(spark):
+    """A column given by the levels of another, and parts of the table that share no level."""
+    rng = np.random.default_rng(12)
+    n = 3000
+    part = rng.integers(0, 3, n)
+    frame = pd.DataFrame({"x": rng.normal(size=n), "g": 50 * part + rng.integers(0, 50, n), "h": 9 * part + rng.integers(0, 9, n)})
+    frame["z"] = (frame.g % 4).astype(float)
+    frame["y"] = 3.0 * frame.x + frame.g / 7 + frame.h + rng.normal(0, 0.1, n)
+    df = spark.createDataFrame(frame).repartition(4)
+    model = ols_many_levels(df, "y", ["x", "z"], ["g", "h"])
+    dummies = pd.get_dummies(frame[["g", "h"]].astype(str)).to_numpy(float)
+    design = np.column_stack([np.ones(n), frame.x, frame.z, dummies])
+    w = np.linalg.lstsq(design, frame.y, rcond=None)[0]
+    assert model.coefficient("x") == pytest.approx(w[1], abs=1e-9)
+    shown = df.select("x", "z", "g", "h", model.predict().alias("p")).toPandas()
+    expected = pd.Series(design @ w, index=pd.MultiIndex.from_frame(frame[["x", "z", "g", "h"]]))
+    np.testing.assert_allclose(shown.p, expected[pd.MultiIndex.from_frame(shown[["x", "z", "g", "h"]])].to_numpy(), atol=1e-8)
+
+
+def test_vectors_of_many_segments(spark):
+    """More levels of both columns than a task sends in a row."""
+    def draw(seed, n):
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
+
+    df = spark.range(150_000).select(draw(1, 9_000).alias("g"), draw(2, 5_003).alias("h"), (draw(3, 1000) / 1000.0).alias("x"))
+    df = df.withColumn("y", F.col("x") - F.col("g") / 1000 + F.col("h") / 100)
+    model = ols_many_levels(df, "y", ["x"], ["h", "g"], tolerance=1e-10)
+    found = _by_name(model)
+    assert found["x"] == pytest.approx(1.0, abs=1e-8)
+    assert found["h_4999"] - found["h_100"] == pytest.approx(48.99, abs=1e-6)
+    assert found["g_8000"] - found["g_200"] == pytest.approx(-7.8, abs=1e-6)
+    assert len(found) == 2 + 9_000 + 5_003 - 2
